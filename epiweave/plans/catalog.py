@@ -1,4 +1,4 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import q_calendar, q_curation, q_evaluation, q_features  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
