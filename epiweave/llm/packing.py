@@ -129,23 +129,24 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, grain:
             return pa.RecordBatch.from_arrays([doc if t is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
         for b in batches:
-            rows, held = [], 0
-            for i, text in enumerate(text_column(b, "text")):
-                ids = enc(text) + end
-                n = len(ids) // 4
-                cuts = list(range(0, n + 1, size))
-                rest = n - cuts[-1]
-                cuts += [cuts[-1] + x for x in sorted({rest - rest % grain, rest}) if x]
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    rank = ranks[z - a] = ranks.get(z - a, -1) + 1
-                    rows.append((uid, part, rank, i, a, z - a, n, ids[4 * a : 4 * z]))
-                    uid += 1
-                held += len(ids)
-                if held > 8 << 20:
-                    yield flush(rows, b)
-                    rows, held = [], 0
-            if rows:
+            texts, done, rows = text_column(b, "text"), 0, []
+            while done < len(texts):  # about 4 million characters at a time, so long texts don't add up
+                to, held = done, 0
+                while to < len(texts) and held < 4 << 20:
+                    held += len(texts[to])
+                    to += 1
+                for i, ids in enumerate(enc.many(texts[done:to]), done):
+                    ids += end
+                    n = len(ids) // 4
+                    cuts = list(range(0, n + 1, size))
+                    rest = n - cuts[-1]
+                    cuts += [cuts[-1] + x for x in sorted({rest - rest % grain, rest}) if x]
+                    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                        rank = ranks[z - a] = ranks.get(z - a, -1) + 1
+                        rows.append((uid, part, rank, i, a, z - a, n, ids[4 * a : 4 * z]))
+                        uid += 1
                 yield flush(rows, b)
+                rows, done = [], to
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

@@ -34,11 +34,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
         for b in batches:
             done = 0
             texts = text_column(b, "text")
-            while done < len(texts):  # about 8 MB of ids at a time, so long texts don't add up
-                ids, size = [], 0
-                while done + len(ids) < len(texts) and size < 8 << 20:
-                    ids.append(enc(texts[done + len(ids)]) + end)
-                    size += len(ids[-1])
+            while done < len(texts):  # about 4 million characters at a time, so long texts don't add up
+                to, size = done, 0
+                while to < len(texts) and size < 4 << 20:
+                    size += len(texts[to])
+                    to += 1
+                ids = [x + end for x in enc.many(texts[done:to])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))

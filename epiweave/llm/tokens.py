@@ -12,52 +12,143 @@ _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u300
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: Runs that both vocabularies split off on their own: Latin letters, ASCII marks but the apostrophe, and (below) digits.
+_PIECE = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\\[-`{-~]+"
+
+
 class Encoder:
     """Encodes whole texts as the tokenizers library does, as little-endian unsigned 32-bit ids.
 
-    Both kinds of public vocabularies split a text at white space before they merge bytes, so a text is
-    the concatenation of its words' ids. keeps_space: a word carries the one space before it (byte-level
-    BPE); else white space is dropped. Words come from the library once and then from a cache of at most
-    `most` words, which is emptied when full. Texts with unusual white space are cut at safe places only
-    or not at all, so results equal the library's on every text.
+    Both kinds of public vocabularies split a text into words before they merge bytes, so a text is the
+    concatenation of its words' ids. keeps_space: a word carries the one space before it (byte-level BPE);
+    else white space is dropped and letters are lower-cased. Words, and the letter, digit and mark runs they
+    consist of, come from the library once and then from caches of at most `most` entries each, which are
+    emptied when full. A text of such runs and single blanks alone is looked up run by run, any other word
+    by word; words with other characters go to the library whole, and texts with unusual white space are
+    cut at safe places only or not at all, so results equal the library's on every text.
     """
 
-    def __init__(self, blob: str, keeps_space: bool, most: int = 400_000):
+    def __init__(self, blob: str, keeps_space: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_space, self.most = Tokenizer.from_str(blob), keeps_space, most
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.split = re.compile(_PIECE + ("|[0-9]+|\\n" if keeps_space else "|[0-9]")).findall
+        self.runs = re.compile(" ?(?:" + _PIECE + "|[0-9]+)|\\n" if keeps_space else _PIECE + "|[0-9]").findall
+        names = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(names.values()) + 1, bool)  # ids that begin (kept space) or end (dropped space) a word
+        for name, i in names.items():
+            self.edge[i] = name.startswith("\u0120") if keeps_space else name.endswith("</w>")
+        self.line = names.get("\u010a", -1)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _known(self, words: list[str], before: str) -> list[bytes]:
-        got = list(map(self.words.get, words))
-        if None in got:
-            if len(self.words) > self.most:
-                self.words.clear()
-            new = list({w for w, g in zip(words, got, strict=True) if g is None})
-            self.words.update(zip(new, self.plain([before + w for w in new]), strict=True))
-            table = self.words
-            got = [table.get(w) for w in words]
-            if None in got:  # the cache was emptied in between
-                return self._known(words, before)
-        return got
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def _joined(self, pieces: list[str], joint: str) -> list[bytes]:
+        """The ids of many pieces from one text in which `joint` parts them (space: by word edges; line feed: by its id)."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 2000):
+            part = pieces[k : k + 2000]
+            lead = " " if self.keeps_space and joint == " " else ""
+            ids = np.array(self.tokenizer.encode(lead + joint.join(part), add_special_tokens=False).ids, "<u4")
+            raw, n = ids.tobytes(), len(ids)
+            if joint == "\n":
+                at = (4 * np.flatnonzero(ids == self.line)).tolist()
+                got = [raw[i:j] for i, j in zip([0, *(i + 4 for i in at)], [*at, 4 * n], strict=True)]
+            else:
+                at = (4 * np.flatnonzero(self.edge[ids])).tolist()
+                bounds = [*at, 4 * n] if self.keeps_space else [0, *(i + 4 for i in at)]
+                got = [raw[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            out += got if len(got) == len(part) else self.plain([lead + p for p in part])
+        return out
+
+    def _learn_pieces(self, new: set[str]) -> None:
+        if not new:
+            return
+        if self.keeps_space:
+            spaced = [x for x in new if x[0] == " "]
+            self.pieces.update(zip(spaced, self._joined([x[1:] for x in spaced], " "), strict=True))
+            bare = [x for x in new if x[0] != " " and x != "\n"]
+            self.pieces.update(zip(bare, self._joined(bare, "\n"), strict=True))
+            self.pieces["\n"] = np.array([self.line], "<u4").tobytes()
+        else:
+            new = list(new)
+            self.pieces.update(zip(new, self._joined(new, " "), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds the words to the cache, piece by piece where that is safe."""
+        if not new:
+            return
+        parts: dict[str, list[str]] = {}
+        whole: list[str] = []
+        for w in new:
+            p = self.split(w)
+            if "".join(p) != w or "<|" in w or "\n\n" in w or w[-1:] == "\n" or w[:1] == "\n":
+                whole.append(w)
+            elif self.keeps_space:
+                p[0] = " " + p[0]
+                parts[w] = p
+            else:
+                parts[w] = [x.lower() for x in p]
+        known = self.pieces
+        self._learn_pieces({x for p in parts.values() for x in p}.difference(known))
+        self.words.update((w, b"".join([known[x] for x in p])) for w, p in parts.items())
+        before = " " if self.keeps_space else ""
+        self.words.update(zip(whole, self.plain([before + w for w in whole]), strict=True))
+
+    def _words(self, text: str) -> tuple[str, list[str]] | None:
+        """(head, words) of a text, head without a space before it; None if the text has to stay whole."""
         rare = any(c in text for c in (_RARE[:8] if text.isascii() else _RARE))
         if not self.keeps_space:
-            return self.plain([text])[0] if rare else b"".join(self._known(text.split(), ""))
+            return None if rare else ("", text.split())
         if rare or "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
             cut = [i.start() for i in _BEFORE_SPACE.finditer(text)]
             words = [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)]
-            head, rest = words[0], [w[1:] for w in words[1:]]
-        else:
-            head, *rest = text.split(" ")
-        return b"".join([self.plain([head])[0], *self._known(rest, " ")])
+            return words[0], [w[1:] for w in words[1:]]
+        head, *rest = text.split(" ")
+        return head, rest
+
+    def _plain_runs(self, text: str) -> list[str] | None:
+        """The runs of a text that holds nothing but runs and single blanks; else None."""
+        if "<|" in text:
+            return None
+        if self.keeps_space:
+            if "\n\n" in text or "\n " in text or text[-1] in " \n" or text[0] == " ":
+                return None
+            runs = self.runs(text)
+            return runs if sum(map(len, runs)) == len(text) else None
+        runs = self.runs(text)
+        if sum(map(len, runs)) + text.count(" ") + text.count("\n") != len(text):
+            return None
+        return self.runs(text.lower())
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what was not seen before is learned for 64 texts at once."""
+        out: list[bytes] = []
+        for k in range(0, len(texts), 64):
+            group = texts[k : k + 64]
+            runs = [self._plain_runs(t) if t else [] for t in group]
+            cut = [self._words(t) if r is None else ("", []) for t, r in zip(group, runs, strict=True)]
+            if len(self.pieces) > self.most:
+                self.pieces.clear()
+            if len(self.words) > self.most:
+                self.words.clear()
+            self._learn(set().union(*(c[1] for c in cut if c)).difference(self.words))
+            self._learn_pieces(set().union(*(r for r in runs if r)).difference(self.pieces))
+            piece, word = self.pieces.__getitem__, self.words.__getitem__
+            for t, r, c in zip(group, runs, cut, strict=True):
+                if r is not None:
+                    out.append(b"".join(map(piece, r)))
+                elif c is None:
+                    out += self.plain([t])
+                else:
+                    out.append(b"".join([self.plain([c[0]])[0] if c[0] else b"", *map(word, c[1])]))
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 _ENCODERS: dict[tuple[int, bool], Encoder] = {}
