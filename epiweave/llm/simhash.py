@@ -208,8 +208,26 @@ def wide_replicas(classes: DataFrame, layouts: int) -> DataFrame:
     return classes.select("cid", *_PARTS).mapInArrow(run, kinds)
 
 
+def stars(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The groups that edges (pairs of positions) join, as pairs of ids: each member with its group's smallest id."""
+    low = ids.copy()
+    while len(edges):
+        was = low.copy()
+        least = np.minimum(low[edges[:, 0]], low[edges[:, 1]])
+        np.minimum.at(low, edges[:, 0], least)
+        np.minimum.at(low, edges[:, 1], least)
+        if np.array_equal(low, was):
+            break
+    i = np.flatnonzero(low != ids)
+    return np.stack([low[i], ids[i]], 1)
+
+
 def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096) -> DataFrame:
-    """Distinct wide fingerprints (cid, f0..f3) -> links (src, dst) of cids that span each anchor's near groups."""
+    """Distinct wide fingerprints (cid, f0..f3) -> links (src, dst) of cids that span each anchor's near groups.
+
+    Near members of an anchor form stars round their smallest cid, at most members - 1 links, so that those
+    of the many layouts in which a group meets are few and often the same.
+    """
     cells = split_hot(wide_replicas(classes, layouts), ["anchor"], "cid", most)
     keys = ["anchor", "cell_i", "cell_j"]
 
@@ -220,20 +238,21 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
             small = size[owner] <= 8
-            pairs = []
+            near = []
             for k in range(1, min(8, len(cid))):
                 i = np.flatnonzero(small[:-k] & (owner[k:] == owner[:-k]))
                 if not len(i):
                     break
                 i = i[np.bitwise_count(fp[i] ^ fp[i + k]).sum(1) <= radius]
-                pairs.append(np.stack([cid[i], cid[i + k]], 1))
+                near.append(np.stack([i, i + k], 1))
+            pairs = [stars(cid, np.concatenate(near))] if near else []
             for g in np.flatnonzero(size > 8).tolist():
                 own = fp[at[g] : at[g + 1]]
                 e = list(spanning(len(own), lambda i, js, own=own: np.bitwise_count(own[js] ^ own[i]).sum(1) <= radius))
                 if e:
-                    pairs.append(cid[at[g] : at[g + 1]][np.array(e)])
+                    pairs.append(stars(cid[at[g] : at[g + 1]], np.array(e)))
             if pairs:
-                pair = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+                pair = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["src", "dst"])
 
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
