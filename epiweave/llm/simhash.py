@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary_column, sorted_runs, spanning, split_hot, stage, table
-from .components import components
+from .components import components, forest_components
 
 SEED = 42
 
@@ -153,6 +153,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 WIDE = 256
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _PARTS = ("f0", "f1", "f2", "f3")
+#: The parts that travel to the anchors and are compared there; an exact check follows.
+_CARRIED = _PARTS[:2]
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -167,14 +169,14 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")
 
 
-def wide_radius(least: float) -> int:
-    """Differing bits of 256 at which two fingerprints link, for a shingle similarity (Jaccard) of `least`.
+def wide_radius(least: float, bits: int = 64 * len(_CARRIED)) -> int:
+    """Differing bits at which two fingerprints become a candidate, for a shingle similarity (Jaccard) of `least`.
 
-    A bit differs with probability acos(cosine) / pi, where cosine = 2 least / (1 + least); 1.25 standard
-    deviations are added, so that nine of ten pairs at exactly `least` link, and nearly all above it.
+    A bit differs with probability acos(cosine) / pi, where cosine is at least 2 least / (1 + least); two
+    standard deviations are added, so that 97 of 100 pairs at exactly `least` pass, and nearly all above it.
     """
     p = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(WIDE * p + 1.25 * np.sqrt(WIDE * p * (1 - p)))
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
 
 
 def _home_words() -> np.ndarray:
@@ -186,7 +188,7 @@ def _home_words() -> np.ndarray:
 
 
 def wide_replicas(classes: DataFrame, layouts: int) -> DataFrame:
-    """(cid, f0..f3) -> (anchor, cid, f0..f3): each fingerprint at its anchor of every layout.
+    """(cid, f0..f3) -> (anchor, cid, f0, f1): each fingerprint at its anchor of every layout.
 
     A layout draws 30 of the 256 bits; its 2^22 anchors are pairs of Hamming codewords, so every word has
     one anchor within the covering radius. Two fingerprints meet if they do in any layout.
@@ -194,6 +196,7 @@ def wide_replicas(classes: DataFrame, layouts: int) -> DataFrame:
     draw = np.random.default_rng(SEED)
     drawn = [draw.permutation(WIDE)[:30].reshape(2, 15) for _ in range(layouts)]
     home = _home_words()
+    names = ["anchor", "cid", *_CARRIED]
 
     def run(batches):
         power = 1 << np.arange(15, dtype=np.int64)
@@ -202,31 +205,16 @@ def wide_replicas(classes: DataFrame, layouts: int) -> DataFrame:
             bits = np.unpackbits(parts.view(np.uint8).reshape(len(parts), 32), axis=1, bitorder="little")
             for k, (low, high) in enumerate(drawn):
                 anchor = (k << 30) | (home[bits[:, high] @ power] << 15) | home[bits[:, low] @ power]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), *(b.column(c) for c in ("cid", *_PARTS))], ["anchor", "cid", *_PARTS])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), *(b.column(c) for c in names[1:])], names)
 
-    kinds = ", ".join(f"{c} long" for c in ("anchor", "cid", *_PARTS))
-    return classes.select("cid", *_PARTS).mapInArrow(run, kinds)
-
-
-def stars(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """The groups that edges (pairs of positions) join, as pairs of ids: each member with its group's smallest id."""
-    low = ids.copy()
-    while len(edges):
-        was = low.copy()
-        least = np.minimum(low[edges[:, 0]], low[edges[:, 1]])
-        np.minimum.at(low, edges[:, 0], least)
-        np.minimum.at(low, edges[:, 1], least)
-        if np.array_equal(low, was):
-            break
-    i = np.flatnonzero(low != ids)
-    return np.stack([low[i], ids[i]], 1)
+    return classes.select("cid", *_PARTS).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096) -> DataFrame:
-    """Distinct wide fingerprints (cid, f0..f3) -> links (src, dst) of cids that span each anchor's near groups.
+    """Distinct wide fingerprints (cid, f0..f3) -> candidate links (src < dst) between cids, each once.
 
-    Near members of an anchor form stars round their smallest cid, at most members - 1 links, so that those
-    of the many layouts in which a group meets are few and often the same.
+    An anchor with up to 8 members yields all its near pairs, a larger one a spanning forest of them from
+    its smallest cid on, at most members - 1, which many layouts share.
     """
     cells = split_hot(wide_replicas(classes, layouts), ["anchor"], "cid", most)
     keys = ["anchor", "cell_i", "cell_j"]
@@ -234,7 +222,7 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
     def run(batches):
         for cols, at in sorted_runs(batches, keys):
             cid = cols["cid"].to_numpy()
-            fp = np.stack([cols[c].to_numpy() for c in _PARTS], 1).view(np.uint64)
+            fp = np.stack([cols[c].to_numpy() for c in _CARRIED], 1).view(np.uint64)
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
             small = size[owner] <= 8
@@ -245,41 +233,79 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
                     break
                 i = i[np.bitwise_count(fp[i] ^ fp[i + k]).sum(1) <= radius]
                 near.append(np.stack([i, i + k], 1))
-            pairs = [stars(cid, np.concatenate(near))] if near else []
             for g in np.flatnonzero(size > 8).tolist():
                 own = fp[at[g] : at[g + 1]]
                 e = list(spanning(len(own), lambda i, js, own=own: np.bitwise_count(own[js] ^ own[i]).sum(1) <= radius))
                 if e:
-                    pairs.append(stars(cid[at[g] : at[g + 1]], np.array(e)))
-            if pairs:
-                pair = np.unique(np.concatenate(pairs), axis=0)
+                    near.append(at[g] + np.array(e))
+            if near:
+                pair = np.unique(np.sort(cid[np.concatenate(near)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["src", "dst"])
 
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+    found = cells.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(run, "src long, dst long")
+    return found.where("src <> dst").distinct()
+
+
+def distinct_shingles(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """docs(doc_id, text), members(cid, first_id, f0..f3) -> (cid, shingles array<int>), one row per cid.
+
+    The text is that of the row with doc_id first_id and the fingerprint f0..f3, so repeated doc_ids do no
+    harm; of several such rows the least set counts. Shingles are 32 bits of their hashes, ascending.
+    """
+
+    def run(batches):
+        for b in batches:
+            made = [distinct_shingles(x, width) for x in binary_column(b, "text")]
+            want = np.stack([b.column(c).to_numpy() for c in _PARTS], 1)
+            same = [i for i, h in enumerate(made) if np.array_equal(wide_fingerprint(h), want[i])]
+            sets = [np.unique(made[i].astype(np.uint32)).view(np.int32) for i in same]
+            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(same, pa.int64())), held], ["cid", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string"))
+    found = texts.join(members.select("first_id", "cid", *_PARTS), "first_id").select("cid", *_PARTS, "text")
+    return found.mapInArrow(run, "cid long, shingles array<int>").groupBy("cid").agg(F.min("shingles").alias("shingles"))
+
+
+def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (src, dst) whose shingle sets have a Jaccard similarity of `least` or more; two empty sets have 1."""
+    a, b = (sets.select(F.col("cid").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    shared = F.size(F.array_intersect("a", "b")) * (1 + least) + 1e-9
+    return links.join(a, "src").join(b, "dst").where(shared >= least * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, layouts: int = 96, most: int = 4096) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id): groups of documents of shingle similarity `least` or more.
 
-    Texts become 256-bit fingerprints of their `width`-word shingles (lower-cased, words between ASCII white
-    space, repeats included); fingerprints link at up to `wide_radius(least)` differing bits if an anchor of
-    one of the layouts holds both. The share of links found is that of the layouts' draws: of pairs at a
-    similarity of 0.8, 0.85 and 0.9 about 0.94, 0.99 and 1 meet, whatever the size of the corpus.
+    Texts become 256-bit fingerprints of their distinct `width`-word shingles (lower-cased, words between
+    ASCII white space); fingerprints that an anchor of one of the layouts holds at up to `wide_radius(least)`
+    differing bits are candidates, and those whose shingle sets have a Jaccard similarity of `least` or more
+    link. Links are thus never looser than `least`; the share of them found is that of the layouts' draws,
+    whatever the size of the corpus. Texts with one fingerprint count as copies.
 
     Null and empty texts are copies of each other. Repeated doc_ids stay separate rows; a null doc_id names
-    no component that has others. An empty table gives an empty result; other columns are not read.
+    no component that has others, and a fingerprint of which every row's doc_id is null links with no other.
+    An empty table gives an empty result; other columns are not read.
     """
 
     def run(batches):
         for b in batches:
-            made = np.array([wide_fingerprint(shingle_hashes(x, width)) for x in binary_column(b, "text")], np.int64).reshape(-1, 4)
+            made = np.array([wide_fingerprint(distinct_shingles(x, width)) for x in binary_column(b, "text")], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(made[:, k]) for k in range(4))], ["doc_id", *_PARTS])
 
     kinds = "doc_id long, " + ", ".join(f"{c} long" for c in _PARTS)
     prints = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds), "prints")
     classes = prints.groupBy(*_PARTS).agg(F.min("doc_id").alias("first_id"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    comp = stage(components(wide_links(classes, wide_radius(least), layouts, most)).select(F.col("node").alias("cid"), "comp"), "comp")
+    links = stage(wide_links(classes, wide_radius(least), layouts, most), "candidates")
+    ends = links.select(F.col("src").alias("cid")).union(links.select("dst")).distinct()
+    sets = stage(shingle_sets(docs, classes.join(ends, "cid", "left_semi"), width), "sets")
+    comp = stage(forest_components(verified(links, sets, least)).select(F.col("node").alias("cid"), "comp"), "comp")
     low = comp.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("low"))
     named = classes.join(comp.join(low, "comp").select("cid", "low"), "cid", "left")
     named = stage(named.select(*_PARTS, F.coalesce("low", "first_id").alias("component_id")), "named")
