@@ -148,24 +148,26 @@ def test_simhash(spark, docs, odd):
 
 
 def test_similar_documents(spark, odd):
-    """Groups against brute-force similarity: near copies found, texts with little in common left alone."""
+    """Groups against brute-force similarity: near copies found, all that are looser than 0.8 left alone."""
     d = np.random.default_rng(4)
     texts, pairs = [], []
-    for k in range(60):
+    for k in range(90):
         words = d.integers(0, 5000, 300).astype(str)
         copy = words.copy()
-        copy[d.choice(300, 1 + k % 6, replace=False)] = "changed"
+        copy[d.choice(300, 1 + k % 6 if k < 60 else 8 + k % 3, replace=False)] = "changed"
         half = np.concatenate([words[:180], d.integers(0, 5000, 120).astype(str)])
         pairs.append((3 * k, 3 * k + 1))
         texts += [" ".join(words), "\n".join(copy).upper().lower(), " ".join(half)]
     bags = [decontaminate.shingles(t.encode().split(), 5) for t in texts]
     near = [p for p in pairs if decontaminate.weighted_jaccard(bags[p[0]], bags[p[1]]) >= 0.8]
-    assert len(near) >= 50
+    far = [p for p in pairs if p not in near]
+    assert len(near) >= 50 and len(far) >= 20
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, cid int")
     for most in (2, 4096):
         group = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, most=most).collect()}
         assert np.mean([group[a] == group[b] for a, b in near]) >= 0.95
-        assert all(group[3 * k + 2] == 3 * k + 2 for k in range(60))
+        assert all(group[a] != group[b] for a, b in far)
+        assert all(group[3 * k + 2] == 3 * k + 2 for k in range(90))
     rows = simhash.similar_documents(odd).collect()
     assert sorted(str(r["component_id"]) for r in rows) == ["1", "1", "1", "1", "5", "5", "7"]
     assert simhash.similar_documents(empty(odd)).count() == 0 == simhash.deduplicate(empty(odd)).count()
@@ -184,9 +186,17 @@ def test_anchors_meet_and_hot_cells(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 2000), (2000, 1000), (5, 5), (None, 3)]
-    got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(chain, "src long, dst long")).collect()}
-    assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 2000: 1000}
-    assert components.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    drawn = [(int(a), int(b)) for a, b in np.random.default_rng(6).integers(0, 90, (70, 2))]
+    low = {x: x for pair in drawn for x in pair if pair[0] != pair[1]}
+    for _ in low:
+        for a, b in drawn:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    for find in (components.components, components.forest_components):
+        got = {r["node"]: r["comp"] for r in find(spark.createDataFrame(chain, "src long, dst long")).collect()}
+        assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 2000: 1000}
+        assert {r["node"]: r["comp"] for r in find(spark.createDataFrame(drawn, "src long, dst long")).collect()} == low
+        assert find(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_html(spark):
