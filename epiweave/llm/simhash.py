@@ -211,10 +211,11 @@ def wide_replicas(classes: DataFrame, layouts: int) -> DataFrame:
 
 
 def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096) -> DataFrame:
-    """Distinct wide fingerprints (cid, f0..f3) -> candidate links (src < dst) between cids, each once.
+    """Distinct wide fingerprints (cid, f0..f3) -> candidates (src < dst, big) between cids, each once.
 
-    An anchor with up to 8 members yields all its near pairs, a larger one a spanning forest of them from
-    its smallest cid on, at most members - 1, which many layouts share.
+    An anchor with up to 8 members yields all its near pairs. A larger one (big) yields a spanning forest of
+    them from its smallest cid on, at most members - 1, which many layouts share. A forest holds its members
+    together but leaves pairs out, so its trees must be searched whole (`tree_links`), not edge by edge.
     """
     cells = split_hot(wide_replicas(classes, layouts), ["anchor"], "cid", most)
     keys = ["anchor", "cell_i", "cell_j"]
@@ -226,7 +227,7 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
             small = size[owner] <= 8
-            near = []
+            near, whole = [], []
             for k in range(1, min(8, len(cid))):
                 i = np.flatnonzero(small[:-k] & (owner[k:] == owner[:-k]))
                 if not len(i):
@@ -237,12 +238,13 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
                 own = fp[at[g] : at[g + 1]]
                 e = list(spanning(len(own), lambda i, js, own=own: np.bitwise_count(own[js] ^ own[i]).sum(1) <= radius))
                 if e:
-                    near.append(at[g] + np.array(e))
-            if near:
-                pair = np.unique(np.sort(cid[np.concatenate(near)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["src", "dst"])
+                    whole.append(at[g] + np.array(e))
+            for found, big in ((near, False), (whole, True)):
+                if found:
+                    pair = np.unique(np.sort(cid[np.concatenate(found)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.full(len(pair), big))], ["src", "dst", "big"])
 
-    found = cells.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(run, "src long, dst long")
+    found = cells.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(run, "src long, dst long, big boolean")
     return found.where("src <> dst").distinct()
 
 
@@ -279,6 +281,42 @@ def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return links.join(a, "src").join(b, "dst").where(shared >= least * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
+def tree_links(trees: DataFrame, sets: DataFrame, least: float, most: int = 256) -> DataFrame:
+    """trees(node, comp), sets(cid, shingles) -> links (src, dst) that span the pairs of similarity `least` or more in each tree.
+
+    Every pair of a tree stands in a cell of at most about two chunks of `most` sets; there a member leaves
+    the search only by an exact link, and each that left is held against all that are still in it.
+    """
+    cells = split_hot(trees.select("comp", F.col("node").alias("cid")), ["comp"], "cid", most)
+    keys = ["comp", "cell_i", "cell_j"]
+
+    def run(batches):
+        for cols, at in sorted_runs(batches, keys):
+            cid, held = cols["cid"].to_numpy(), cols["shingles"]
+            off, values = held.offsets.to_numpy(), held.values.to_numpy()
+            src, dst = [], []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = np.unique(values[off[lo] : off[hi]], return_inverse=True)[1]
+                start = off[lo : hi + 1] - off[lo]
+                size, mark = np.diff(start), np.zeros(len(ids), np.int32)
+
+                def near(i, js, ids=ids, start=start, size=size, mark=mark):
+                    own = ids[start[i] : start[i + 1]]
+                    mark[own] = 1
+                    upto = np.append(0, np.cumsum(mark[ids]))
+                    mark[own] = 0
+                    return (upto[start[js + 1]] - upto[start[js]]) * (1 + least) + 1e-9 >= least * (size[i] + size[js])
+
+                for i, j in spanning(hi - lo, near):
+                    src.append(cid[lo + i])
+                    dst.append(cid[lo + j])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    full = cells.select(*keys, "cid").join(sets, "cid").repartition(*keys).sortWithinPartitions(*keys, "cid")
+    return full.mapInArrow(run, "src long, dst long")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, layouts: int = 96, most: int = 4096) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id): groups of documents of shingle similarity `least` or more.
 
@@ -305,7 +343,9 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, layou
     links = stage(wide_links(classes, wide_radius(least), layouts, most), "candidates")
     ends = links.select(F.col("src").alias("cid")).union(links.select("dst")).distinct()
     sets = stage(shingle_sets(docs, classes.join(ends, "cid", "left_semi"), width), "sets")
-    comp = stage(forest_components(verified(links, sets, least)).select(F.col("node").alias("cid"), "comp"), "comp")
+    trees = stage(forest_components(links.where("big")), "big-trees")
+    exact = stage(verified(links.where("not big"), sets, least).union(tree_links(trees, sets, least)), "exact")
+    comp = stage(forest_components(exact).select(F.col("node").alias("cid"), "comp"), "comp")
     low = comp.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("low"))
     named = classes.join(comp.join(low, "comp").select("cid", "low"), "cid", "left")
     named = stage(named.select(*_PARTS, F.coalesce("low", "first_id").alias("component_id")), "named")

@@ -173,6 +173,22 @@ def test_similar_documents(spark, odd):
     assert simhash.similar_documents(empty(odd)).count() == 0 == simhash.deduplicate(empty(odd)).count()
 
 
+def test_similar_edits_of_one_text(spark):
+    """Thousands of independent edits, each 0.81 to 0.85 like the text and under 0.8 like each other, are one group."""
+    d = np.random.default_rng(8)
+    base = d.integers(0, 5000, 300).astype(str)
+    texts = []
+    for k in range(2000):
+        copy = base.copy()
+        copy[np.arange(5 + k % 2) * 45 + d.integers(5, 40, 5 + k % 2)] = d.integers(5000, 10**9, 5 + k % 2).astype(str)
+        texts.append(" ".join(copy))
+    bags = [set(simhash.distinct_shingles(t.encode(), 5).tolist()) for t in (" ".join(base), *texts[:60])]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(0.8 <= alike(bags[0], b) < 0.86 for b in bags[1:]) and np.mean([alike(a, b) < 0.8 for a in bags[1:30] for b in bags[30:]]) > 0.95
+    df = spark.createDataFrame([*enumerate(texts), (5000, " ".join(base))], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.similar_documents(df).collect()} == {0}
+
+
 def test_anchors_meet_and_hot_cells(spark):
     d = np.random.default_rng(2)
     centre = d.integers(0, 2**63, 30, dtype=np.uint64)
