@@ -149,81 +149,70 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits of a wide fingerprint, and what turns a shingle's XXH64 into its four parts.
-WIDE = 256
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_PARTS = ("f0", "f1", "f2", "f3")
-#: The parts that travel to the anchors and are compared there; an exact check follows.
-_CARRIED = _PARTS[:2]
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """256 bits as four longs: bits of four mixes of each hash, 1 where over half of them have it; none: 0."""
-    count = np.zeros(WIDE, np.int64)
-    for i in range(0, len(hashes), 16384):
-        h = hashes[i : i + 16384, None] ^ _MIX
-        for step, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-            h = (h ^ (h >> np.uint64(step))) * np.uint64(by)
-        h ^= h >> np.uint64(33)
-        count += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), 32), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")
-
-
-def wide_radius(least: float, bits: int = 64 * len(_CARRIED)) -> int:
-    """Differing bits at which two fingerprints become a candidate, for a shingle similarity (Jaccard) of `least`.
-
-    A bit differs with probability acos(cosine) / pi, where cosine is at least 2 least / (1 + least); two
-    standard deviations are added, so that 97 of 100 pairs at exactly `least` pass, and nearly all above it.
-    """
-    p = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+#: The key of a shingle set: two longs.
+_PARTS = ("k0", "k1")
+#: Documents drawn to see which shingles are common, and how many common shingles are held at most.
+DRAWN, COMMON = 4_000, 65_536
+
+
+def distinct_shingles(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
 
 
-def _home_words() -> np.ndarray:
-    """The codeword of the perfect Hamming code [15, 11] nearest to each 15-bit word (covering radius 1)."""
-    word = np.arange(1 << 15, dtype=np.int64)
-    position = np.arange(1, 16)
-    syndrome = np.bitwise_xor.reduce(((word[:, None] >> (position - 1)) & 1) * position, axis=1)
-    return np.where(syndrome > 0, word ^ (1 << np.maximum(syndrome - 1, 0)), word)
+def set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of an ascending shingle set, as two signed longs: equal sets are copies."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(np.ascontiguousarray(hashes).astype("<u8", copy=False)), "<i8").tolist())
 
 
-def wide_replicas(classes: DataFrame, layouts: int) -> DataFrame:
-    """(cid, f0..f3) -> (anchor, cid, f0, f1): each fingerprint at its anchor of every layout.
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of three or more of some DRAWN drawn documents: ascending hashes, and each one's place from rare to common.
 
-    A layout draws 30 of the 256 bits; its 2^22 anchors are pairs of Hamming codewords, so every word has
-    one anchor within the covering radius. Two fingerprints meet if they do in any layout.
+    They only steer the order in `prefix`, of which any gives the same links; the driver sees at most COMMON.
     """
-    draw = np.random.default_rng(SEED)
-    drawn = [draw.permutation(WIDE)[:30].reshape(2, 15) for _ in range(layouts)]
-    home = _home_words()
-    names = ["anchor", "cid", *_CARRIED]
 
     def run(batches):
-        power = 1 << np.arange(15, dtype=np.int64)
         for b in batches:
-            parts = np.stack([b.column(c).to_numpy() for c in _PARTS], 1).astype("<i8")
-            bits = np.unpackbits(parts.view(np.uint8).reshape(len(parts), 32), axis=1, bitorder="little")
-            for k, (low, high) in enumerate(drawn):
-                anchor = (k << 30) | (home[bits[:, high] @ power] << 15) | home[bits[:, low] @ power]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), *(b.column(c) for c in names[1:])], names)
+            held = [distinct_shingles(x, width) for x in binary_column(b, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64) if held else [], pa.int64())], ["shingle"])
 
-    return classes.select("cid", *_PARTS).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    share = min(1.0, DRAWN / max(docs.count(), 1))
+    found = docs.select(F.col("text").cast("string")).sample(share, SEED).mapInArrow(run, "shingle long").groupBy("shingle").count()
+    rows = found.where("count >= 3").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    hashes = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - 1 - np.arange(len(hashes)))[order]
 
 
-def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096) -> DataFrame:
-    """Distinct wide fingerprints (cid, f0..f3) -> candidates (src < dst, big) between cids, each once.
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first n - ceil(least n) + 1 of n shingles, in one order for all sets: by hash, the common ones last.
 
-    An anchor with up to 8 members yields all its near pairs. A larger one (big) yields a spanning forest of
-    them from its smallest cid on, at most members - 1, which many layouts share. A forest holds its members
-    together but leaves pairs out, so its trees must be searched whole (`tree_links`), not edge by edge.
+    Sets of similarity `least` share at least ceil(least n) shingles, for the n of either one, so the first
+    shingle that they share stands in both prefixes. No pair is lost.
     """
-    cells = split_hot(wide_replicas(classes, layouts), ["anchor"], "cid", most)
-    keys = ["anchor", "cell_i", "cell_j"]
+    known, place = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        is_common = known[at] == hashes
+        hashes = np.concatenate([hashes[~is_common], hashes[is_common][np.argsort(place[at[is_common]])]])
+    return hashes[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-6)) + 1]
+
+
+def prefix_links(classes: DataFrame, least: float, most: int = 4096) -> DataFrame:
+    """Shingle sets (cid, n, prefix) -> candidates (src < dst, big) between cids, each once; all pairs of similarity `least` are held.
+
+    Sets that share a shingle of their prefixes are a candidate unless those that follow it are too few: at
+    the first shared shingle, positions i and j, at most min(n_a - i, n_b - j) are shared. A shingle of up to
+    8 sets yields all its pairs. One of more (big) yields a spanning forest of them, at most members - 1; it
+    holds them together but leaves pairs out, so its trees must be searched whole (`tree_links`).
+    """
+    rows = classes.select("cid", "n", F.posexplode("prefix").alias("i", "shingle")).select("shingle", "cid", "n", (F.col("n") - F.col("i")).alias("rest"))
+    cells = split_hot(rows, ["shingle"], "cid", most)
+    keys = ["shingle", "cell_i", "cell_j"]
 
     def run(batches):
         for cols, at in sorted_runs(batches, keys):
-            cid = cols["cid"].to_numpy()
-            fp = np.stack([cols[c].to_numpy() for c in _CARRIED], 1).view(np.uint64)
+            cid, n, rest = (cols[c].to_numpy() for c in ("cid", "n", "rest"))
+            may = lambda i, j, n=n, rest=rest: np.minimum(rest[i], rest[j]) * (1 + least) + 1e-9 >= least * (n[i].astype(np.int64) + n[j])
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
             small = size[owner] <= 8
@@ -232,11 +221,10 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
                 i = np.flatnonzero(small[:-k] & (owner[k:] == owner[:-k]))
                 if not len(i):
                     break
-                i = i[np.bitwise_count(fp[i] ^ fp[i + k]).sum(1) <= radius]
+                i = i[may(i, i + k)]
                 near.append(np.stack([i, i + k], 1))
             for g in np.flatnonzero(size > 8).tolist():
-                own = fp[at[g] : at[g + 1]]
-                e = list(spanning(len(own), lambda i, js, own=own: np.bitwise_count(own[js] ^ own[i]).sum(1) <= radius))
+                e = list(spanning(int(size[g]), lambda i, js, lo=at[g], may=may: may(lo + i, lo + js)))
                 if e:
                     whole.append(at[g] + np.array(e))
             for found, big in ((near, False), (whole, True)):
@@ -248,30 +236,26 @@ def wide_links(classes: DataFrame, radius: int, layouts: int, most: int = 4096)
     return found.where("src <> dst").distinct()
 
 
-def distinct_shingles(text: bytes, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
-
-
 def shingle_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """docs(doc_id, text), members(cid, first_id, f0..f3) -> (cid, shingles array<int>), one row per cid.
+    """docs(doc_id, text), members(cid, first_id, k0, k1) -> (cid, shingles array<bigint>), one row per cid.
 
-    The text is that of the row with doc_id first_id and the fingerprint f0..f3, so repeated doc_ids do no
-    harm; of several such rows the least set counts. Shingles are 32 bits of their hashes, ascending.
+    The text is that of the row with doc_id first_id and the key k0, k1, so repeated doc_ids do no harm; of
+    several such rows one counts.
     """
 
     def run(batches):
         for b in batches:
             made = [distinct_shingles(x, width) for x in binary_column(b, "text")]
-            want = np.stack([b.column(c).to_numpy() for c in _PARTS], 1)
-            same = [i for i, h in enumerate(made) if np.array_equal(wide_fingerprint(h), want[i])]
-            sets = [np.unique(made[i].astype(np.uint32)).view(np.int32) for i in same]
+            want = zip(*(b.column(c).to_pylist() for c in _PARTS), strict=True)
+            same = [i for i, (h, key) in enumerate(zip(made, want, strict=True)) if set_key(h) == key]
+            sets = [made[i].view(np.int64) for i in same]
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
+            held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(same, pa.int64())), held], ["cid", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string"))
     found = texts.join(members.select("first_id", "cid", *_PARTS), "first_id").select("cid", *_PARTS, "text")
-    return found.mapInArrow(run, "cid long, shingles array<int>").groupBy("cid").agg(F.min("shingles").alias("shingles"))
+    return found.mapInArrow(run, "cid long, shingles array<bigint>").groupBy("cid").agg(F.min("shingles").alias("shingles"))
 
 
 def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -317,30 +301,34 @@ def tree_links(trees: DataFrame, sets: DataFrame, least: float, most: int = 256)
     return full.mapInArrow(run, "src long, dst long")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, layouts: int = 96, most: int = 4096) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, most: int = 4096) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id): groups of documents of shingle similarity `least` or more.
 
-    Texts become 256-bit fingerprints of their distinct `width`-word shingles (lower-cased, words between
-    ASCII white space); fingerprints that an anchor of one of the layouts holds at up to `wide_radius(least)`
-    differing bits are candidates, and those whose shingle sets have a Jaccard similarity of `least` or more
-    link. Links are thus never looser than `least`; the share of them found is that of the layouts' draws,
-    whatever the size of the corpus. Texts with one fingerprint count as copies.
+    Texts become sets of their distinct `width`-word shingles (lower-cased, words between ASCII white space;
+    64-bit hashes). Two sets link if their Jaccard similarity is `least` or more: `prefix_links` holds every
+    such pair, the exact similarity decides. Equal sets are copies.
 
     Null and empty texts are copies of each other. Repeated doc_ids stay separate rows; a null doc_id names
-    no component that has others, and a fingerprint of which every row's doc_id is null links with no other.
+    no component that has others, and a set of which every row's doc_id is null links with no other.
     An empty table gives an empty result; other columns are not read.
     """
+    common = common_shingles(docs, width)
 
     def run(batches):
         for b in batches:
-            made = np.array([wide_fingerprint(distinct_shingles(x, width)) for x in binary_column(b, "text")], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(made[:, k]) for k in range(4))], ["doc_id", *_PARTS])
-
-    kinds = "doc_id long, " + ", ".join(f"{c} long" for c in _PARTS)
+            made = [distinct_shingles(x, width) for x in binary_column(b, "text")]
+            keys = np.array([set_key(h) for h in made], np.int64).reshape(-1, 2)
+            first = [prefix(h, common, least).view(np.int64) for h in made]
+            at = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            held = pa.ListArray.from_arrays(at, pa.array(np.concatenate(first) if first else [], pa.int64()))
+            cols = [b.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(h) for h in made], pa.int32()), held]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *_PARTS, "n", "prefix"])
+
+    kinds = "doc_id long, k0 long, k1 long, n int, prefix array<bigint>"
     prints = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds), "prints")
-    classes = prints.groupBy(*_PARTS).agg(F.min("doc_id").alias("first_id"))
+    classes = prints.groupBy(*_PARTS).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    links = stage(wide_links(classes, wide_radius(least), layouts, most), "candidates")
+    links = stage(prefix_links(classes, least, most), "candidates")
     ends = links.select(F.col("src").alias("cid")).union(links.select("dst")).distinct()
     sets = stage(shingle_sets(docs, classes.join(ends, "cid", "left_semi"), width), "sets")
     trees = stage(forest_components(links.where("big")), "big-trees")

@@ -173,6 +173,37 @@ def test_similar_documents(spark, odd):
     assert simhash.similar_documents(empty(odd)).count() == 0 == simhash.deduplicate(empty(odd)).count()
 
 
+def test_similar_documents_are_all_found(spark):
+    """Pairs from 0.80 to 0.82, among texts of all lengths that share a passage: groups are those of brute force."""
+    d = np.random.default_rng(9)
+    texts = []
+    for k in range(400):
+        words = d.integers(0, 5000, [4, 12, 60, 150, 300][k % 5] + k % 7).astype(str)
+        if k % 4 == 0:
+            words[: len(words) // 3] = [f"common{i}" for i in range(len(words) // 3)]
+        gap = max(1, (len(words) - 4) // 45)
+        copy = words.copy()
+        copy[np.linspace(5, len(words) - 6, gap).astype(int) if len(words) > 12 else [-1]] = f"new{k}"
+        texts += [" ".join(words), " ".join(copy)]
+    sets = [set(simhash.distinct_shingles(t.encode(), 5).tolist()) for t in texts]
+    low = list(range(len(sets)))
+    edge = 0
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (shared := len(sets[a] & sets[b])) and 1.8 * shared + 1e-9 >= 0.8 * (len(sets[a]) + len(sets[b]))]
+    for a, b in pairs:
+        edge += len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.83
+    for _ in sets:
+        was = low.copy()
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if was == low:
+            break
+    assert edge >= 100
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for most in (3, 4096):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, most=most).collect()}
+        assert [got[i] for i in range(len(texts))] == low
+
+
 def test_similar_edits_of_one_text(spark):
     """Thousands of independent edits, each 0.81 to 0.85 like the text and under 0.8 like each other, are one group."""
     d = np.random.default_rng(8)
