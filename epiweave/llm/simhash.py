@@ -237,17 +237,23 @@ def prefix_links(classes: DataFrame, least: float, most: int = 4096) -> DataFram
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """docs(doc_id, text), members(cid, first_id, k0, k1) -> (cid, shingles array<bigint>), one row per cid.
+    """docs(doc_id, text), members(cid, first_id, k0, k1) -> (cid, shingles array<bigint>).
 
-    The text is that of the row with doc_id first_id and the key k0, k1, so repeated doc_ids do no harm; of
-    several such rows one counts.
+    The text is that of the row with doc_id first_id and the key k0, k1, so repeated doc_ids do no harm. A
+    task gives each cid once; one that several tasks give has the same set in each, which changes no link.
     """
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             made = [distinct_shingles(x, width) for x in binary_column(b, "text")]
             want = zip(*(b.column(c).to_pylist() for c in _PARTS), strict=True)
-            same = [i for i, (h, key) in enumerate(zip(made, want, strict=True)) if set_key(h) == key]
+            cids = b.column("cid").to_pylist()
+            same = []
+            for i, (h, key) in enumerate(zip(made, want, strict=True)):
+                if cids[i] not in seen and set_key(h) == key:
+                    seen.add(cids[i])
+                    same.append(i)
             sets = [made[i].view(np.int64) for i in same]
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
@@ -255,7 +261,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string"))
     found = texts.join(members.select("first_id", "cid", *_PARTS), "first_id").select("cid", *_PARTS, "text")
-    return found.mapInArrow(run, "cid long, shingles array<bigint>").groupBy("cid").agg(F.min("shingles").alias("shingles"))
+    return found.mapInArrow(run, "cid long, shingles array<bigint>")
 
 
 def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
