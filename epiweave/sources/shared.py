@@ -1,4 +1,4 @@
-"""Folders that driver and executors share."""
+"""Folders that driver and executors share, and tables staged in them."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests on one machine), below a temporary folder."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset: below a temporary folder on local masters, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_epiweave_dir", None)
         if base is None:
             base = spark._epiweave_dir = tempfile.mkdtemp(prefix="spark-epiweave-")
@@ -22,4 +24,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in a shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._staged)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
