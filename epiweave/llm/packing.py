@@ -9,10 +9,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_column
-from .tokens import encoder, read_vocabulary
+from .common import stage, table
+from .tokens import encoder, portions, read_vocabulary
 
-PIECES = "uid long, part int, rank long, doc_id long, start long, length int, doc_tokens long, ids binary"
+PIECES = "part int, rank long, doc_id long, start long, length int, doc_tokens long, ids binary"
 
 
 def best_pattern(lengths: np.ndarray, values: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -118,35 +118,25 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, grain:
     blob = read_vocabulary(vocabulary)
 
     def run(batches):
-        enc, part = encoder(blob, keeps_space), TaskContext.get().partitionId()
-        end, uid, ranks = np.array([end_id], "<u4").tobytes(), part << 33, {}
+        enc, part, ranks = encoder(blob, keeps_space), TaskContext.get().partitionId(), {}
         names = [f.split()[0] for f in PIECES.split(", ")]
 
-        def flush(rows, b):
-            cols = list(zip(*rows, strict=True))
-            doc = b.column("doc_id").take(pa.array(cols[3], pa.int64()))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), None, pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([doc if t is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
         for b in batches:
-            texts, done, rows = text_column(b, "text"), 0, []
-            while done < len(texts):  # about 4 million characters at a time, so long texts don't add up
-                to, held = done, 0
-                while to < len(texts) and held < 4 << 20:
-                    held += len(texts[to])
-                    to += 1
-                for i, ids in enumerate(enc.many(texts[done:to]), done):
-                    ids += end
-                    n = len(ids) // 4
+            for first, k in portions(b.column("text")):
+                ids, sizes = enc.encode(b.column("text").slice(first, k), end_id)
+                raw, begin, rows = ids.tobytes(), 0, []
+                for i, n in enumerate(sizes.tolist(), first):
                     cuts = list(range(0, n + 1, size))
                     rest = n - cuts[-1]
                     cuts += [cuts[-1] + x for x in sorted({rest - rest % grain, rest}) if x]
                     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                         rank = ranks[z - a] = ranks.get(z - a, -1) + 1
-                        rows.append((uid, part, rank, i, a, z - a, n, ids[4 * a : 4 * z]))
-                        uid += 1
-                yield flush(rows, b)
-                rows, done = [], to
+                        rows.append((part, rank, i, a, z - a, n, raw[4 * (begin + a) : 4 * (begin + z)]))
+                    begin += n
+                cols = list(zip(*rows, strict=True))
+                cols[2] = b.column("doc_id").take(pa.array(cols[2], pa.int64()))
+                kinds = [pa.int32(), pa.int64(), None, pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

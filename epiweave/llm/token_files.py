@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_column
-from .tokens import encoder, read_vocabulary
+from .common import shared_dir, table
+from .tokens import encoder, portions, read_vocabulary
 
 SCHEMA = "part int, doc_id long, before long, n_tokens long, ids array<int>"
 
@@ -30,23 +30,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
 
     def run(batches):
         enc, part, before = encoder(blob, keeps_space), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            done = 0
-            texts = text_column(b, "text")
-            while done < len(texts):  # about 4 million characters at a time, so long texts don't add up
-                to, size = done, 0
-                while to < len(texts) and size < 4 << 20:
-                    size += len(texts[to])
-                    to += 1
-                ids = [x + end for x in enc.many(texts[done:to])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for at, k in portions(b.column("text")):
+                ids, n = enc.encode(b.column("text").slice(at, k), end_id)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                cols = [pa.array(np.full(len(n), part, np.int32)), b.column("doc_id").slice(done, len(n)), pa.array(before + ends - n), pa.array(n), lists]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
+                cols = [pa.array(np.full(k, part, np.int32)), b.column("doc_id").slice(at, k), pa.array(before + ends - n), pa.array(n), lists]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "before", "n_tokens", "ids"])
                 before += int(ends[-1])
-                done += len(n)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
