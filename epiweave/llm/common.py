@@ -1,9 +1,7 @@
-"""Helpers shared by the training-data operators: shared folders, staged tables, sorted runs."""
+"""Helpers shared by the training-data operators: columns, sorted runs, hot groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,30 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epiweave.sources.shared import shared_dir, stage, unstage
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_epiweave_dir", None)
-        if base is None:
-            base = spark._epiweave_dir = tempfile.mkdtemp(prefix="spark-epiweave-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["binary_column", "bounded", "shared_dir", "sorted_runs", "spanning", "split_hot", "stage", "table", "text_column", "unstage"]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -75,6 +56,11 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield {n: rest.column(n).combine_chunks() for n in rest.column_names}, bounds(rest)
 
 
+def bounded(df: DataFrame, most_rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most most_rows rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def split_hot(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
     """Adds chunk, cell_i, cell_j: groups of over `most` rows become pairs of chunks of about `most` rows.
 
@@ -84,10 +70,9 @@ def split_hot(rows: DataFrame, keys: list[str], member: str, most: int) -> DataF
     """
     hot = rows.groupBy(*keys).count().where(F.col("count") > most)
     hot = stage(hot.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("chunks")), "hot")
-    few = hot.limit(10_001).count()
-    if few == 0:
+    if hot.isEmpty():
         return rows.withColumns({c: F.lit(0) for c in ("chunk", "cell_i", "cell_j")})
-    joined = rows.join(F.broadcast(hot) if few <= 10_000 else hot, keys, "left")
+    joined = rows.join(bounded(hot, 10_000), keys, "left")
     n = F.coalesce("chunks", F.lit(1))
     chunk = F.pmod(F.xxhash64(member), n.cast("bigint")).cast("int")
     return (

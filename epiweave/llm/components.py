@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        was, e = e, stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstage(was)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -45,10 +46,12 @@ def forest_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = stage(e, "links")
-    trees = stage(components(e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("src"), F.col("v").alias("dst"))), "trees")
+    first = components(e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    trees = stage(first, "trees")
     a, b = (trees.select(F.col("node").alias(end), F.col("comp").alias(name)) for end, name in (("u", "src"), ("v", "dst")))
     across = e.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("src", "u").alias("src"), F.coalesce("dst", "v").alias("dst"))
     joined = stage(components(across.where("src <> dst")), "joined")
+    unstage(e)
     root = joined.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     inner = trees.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
     return inner.union(joined.join(trees, "node", "left_anti").select("node", "comp"))

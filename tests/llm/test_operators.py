@@ -4,14 +4,15 @@ import re
 import zlib
 
 import numpy as np
-import pytest
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from epiweave.llm import chat, common, components, decontaminate, embeddings, html_text, packing, pii, quality, simhash, token_files, tokens, url_graph
+from epiweave.llm import chat, common, components, decontaminate, embeddings, html_text, packing, pii, quality, simhash, similar, token_files, tokens, url_graph
 
 from ..conftest import SF, rows_of
 
@@ -87,12 +88,19 @@ def test_token_files(spark, docs, odd, tmp_path):
 
 def test_encoder_is_exact():
     d = np.random.default_rng(1)
-    bits = ["a", "the", "É", "ß", " ", " ", "\n", ".", "&&", "'", "'s", "12", "7", "x", "_", "<|", "<|endoftext|>", "\t", "λ", "\u0301", "\u2003", "\x1c"]
-    texts = ["", *("".join(d.choice(bits, d.integers(1, 14))) for _ in range(1500))]
+    bits = ["a", "the", "É", "ß", " ", " ", "\n", "\n\n", " \n", ".", "&&", "'", "'s", "12", "7", "x", "_", "<|", "<|endoftext|>", "\t", "λ", "Σ", "İ", "\0", "\u0301", "\u2003", "\xa0", "\x1c", "漢"]
+    texts = ["", *("".join(d.choice(bits, d.integers(1, 14))) for _ in range(3000))]
     for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         t = Tokenizer.from_file(P.path(name))
-        got = tokens.Encoder(tokens.read_vocabulary(P.path(name)), keeps, most=40).many(texts)
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        for most, size in ((40, 1000), (10**6, 1), (10**6, len(texts))):
+            made, got = tokens.Encoder(tokens.read_vocabulary(P.path(name)), keeps, most), []
+            for k in range(0, len(texts) if size > 1 else 500, size):
+                ids, n = made.encode(pa.array(texts[k : k + size]), 7)
+                got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert got == [[*x, 7] for x in want[: len(got)]]
+    text = pa.array(["ab", None, "c" * 30, "d"])
+    assert list(tokens.portions(text, 8)) == [(0, 2), (2, 1), (3, 1)] and made.encode(text)[1][1] == 0
 
 
 def test_decontamination(spark, docs, odd):
@@ -144,7 +152,6 @@ def test_simhash(spark, docs, odd):
     rows = simhash.near_duplicates(odd).toPandas()
     assert len(rows) == len(ODD) and set(rows[rows.fp == 0].component_id) == {1}
     assert simhash.near_duplicates(empty(odd)).count() == 0
-    assert simhash.deduplicate(odd).count() == 4 and simhash.deduplicate(odd).columns == odd.columns
 
 
 def test_similar_documents(spark, odd):
@@ -164,13 +171,13 @@ def test_similar_documents(spark, odd):
     assert len(near) >= 50 and len(far) >= 20
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, cid int")
     for most in (2, 4096):
-        group = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, most=most).collect()}
+        group = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df, most=most, most_shingles=500 * most).collect()}
         assert np.mean([group[a] == group[b] for a, b in near]) >= 0.95
         assert all(group[a] != group[b] for a, b in far)
         assert all(group[3 * k + 2] == 3 * k + 2 for k in range(90))
-    rows = simhash.similar_documents(odd).collect()
+    rows = similar.similar_documents(odd).collect()
     assert sorted(str(r["component_id"]) for r in rows) == ["1", "1", "1", "1", "5", "5", "7"]
-    assert simhash.similar_documents(empty(odd)).count() == 0 == simhash.deduplicate(empty(odd)).count()
+    assert similar.similar_documents(empty(odd)).count() == 0 == similar.deduplicate(empty(odd)).count()
 
 
 def test_similar_documents_are_all_found(spark):
@@ -185,7 +192,7 @@ def test_similar_documents_are_all_found(spark):
         copy = words.copy()
         copy[np.linspace(5, len(words) - 6, gap).astype(int) if len(words) > 12 else [-1]] = f"new{k}"
         texts += [" ".join(words), " ".join(copy)]
-    sets = [set(simhash.distinct_shingles(t.encode(), 5).tolist()) for t in texts]
+    sets = [set(similar.distinct_shingles(t.encode(), 5).tolist()) for t in texts]
     low = list(range(len(sets)))
     edge = 0
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (shared := len(sets[a] & sets[b])) and 1.8 * shared + 1e-9 >= 0.8 * (len(sets[a]) + len(sets[b]))]
@@ -200,7 +207,7 @@ def test_similar_documents_are_all_found(spark):
     assert edge >= 100
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     for most in (3, 4096):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, most=most).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df, most=most, most_shingles=200 * most).collect()}
         assert [got[i] for i in range(len(texts))] == low
 
 
@@ -213,11 +220,35 @@ def test_similar_edits_of_one_text(spark):
         copy = base.copy()
         copy[np.arange(5 + k % 2) * 45 + d.integers(5, 40, 5 + k % 2)] = d.integers(5000, 10**9, 5 + k % 2).astype(str)
         texts.append(" ".join(copy))
-    bags = [set(simhash.distinct_shingles(t.encode(), 5).tolist()) for t in (" ".join(base), *texts[:60])]
+    bags = [set(similar.distinct_shingles(t.encode(), 5).tolist()) for t in (" ".join(base), *texts[:60])]
     alike = lambda a, b: len(a & b) / len(a | b)
     assert all(0.8 <= alike(bags[0], b) < 0.86 for b in bags[1:]) and np.mean([alike(a, b) < 0.8 for a in bags[1:30] for b in bags[30:]]) > 0.95
     df = spark.createDataFrame([*enumerate(texts), (5000, " ".join(base))], "doc_id long, text string")
-    assert {r["component_id"] for r in simhash.similar_documents(df).collect()} == {0}
+    for most in (300, 4096):
+        assert {r["component_id"] for r in similar.similar_documents(df, most=most, most_shingles=100 * most).collect()} == {0}
+
+
+def test_deduplicate_by_row(spark, odd):
+    """Repeated and null doc_ids: what goes is a row, never another text under the same doc_id."""
+    assert sorted(str(r["doc_id"]) for r in similar.deduplicate(odd).collect()) == ["1", "5", "7"]
+    text = "one two three four five six seven"
+    rows = [(1, text, 0), (5, text, 0), (5, "a text of its own that nothing else repeats", 0), (None, text, 0), (None, "another text without an id but with words", 0), (9, "same row twice here and now", 0), (9, "same row twice here and now", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th int")
+    out = similar.deduplicate(df)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == df.columns and sorted(got, key=str) == sorted([rows[0][:2], rows[2][:2], rows[4][:2], rows[5][:2]], key=str)
+
+
+def test_trees_of_many_chunks(spark):
+    """Chunks of a tree that meet only in further cells: every link between members counts, whatever the chunk size."""
+    d = np.random.default_rng(3)
+    bags = [set(d.integers(0, 2**62, 40).tolist()) for _ in range(12)]
+    sets = [np.array(sorted([*list(bags[k % 12])[: 40 - k % 2], int(d.integers(0, 2**62))]), np.uint64) for k in range(240)]
+    payload = spark.createDataFrame([(i, len(s), bytearray(s.astype("<u8").tobytes())) for i, s in enumerate(sets)], "cid long, n int, data binary")
+    trees = spark.createDataFrame([(i, 0) for i in range(240)], "node long, comp long")
+    for most in (7, 30, 1000):
+        links = similar.tree_links(trees, payload, similar.sets_near, 0.8, most)
+        assert {r["node"]: r["comp"] for r in components.components(links).collect()} == {i: i % 12 for i in range(240)}
 
 
 def test_anchors_meet_and_hot_cells(spark):
