@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -13,13 +14,19 @@ from pyspark.sql import functions as F
 
 from .common import table, text_column
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[^\s/>]+")
+#: Attributes up to the end of the tag: > counts only outside of quoted values. Possessive, so each character is read once.
+_ATTRIBUTES = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video select head".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr label".split())
-_CLOSED_BY: dict[str, frozenset[str]] = {
-    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
-}
+#: Elements whose content is not markup: it ends with their end tag only, or with the page.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style title textarea xmp iframe noembed noframes".split()}
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr label "
+    "audio video picture object canvas noscript svg math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded semantics annotation".split()
+)
+#: A start tag of the first kind ends the nearest open element of the others within the same list or table.
+_CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
+_LISTS = ("ul", "ol", "dl", "table", "select")
 _SCOPE = frozenset("article aside body div fieldset footer form header main nav section table td th ul ol dl blockquote figure html".split())
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BAD = frozenset(
@@ -30,7 +37,7 @@ _GOOD = frozenset("article content main post entry story text body maincontent a
 _TYPES = ("root", "nav", "header", "footer", "aside", "form", "article", "div", "bad", "good", "p", "heading", "list", "item", "table", "quote", "other", "leaf")
 _TYPE = {t: i for i, t in enumerate(_TYPES)}
 _OF = {
-    "html": "root", "body": "root", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "dialog": "aside", "article": "article", "main": "article",
+    "html": "root", "body": "root", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "select": "form", "datalist": "form", "template": "form", "dialog": "aside", "article": "article", "main": "article",
     "div": "div", "section": "div", "center": "div", "p": "p", "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "table",
     "th": "table", "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", **{f"h{i}": "heading" for i in range(1, 7)},
 }
@@ -55,7 +62,8 @@ class Page:
     """The DOM of one page: parents before children; leaves are text blocks in page order.
 
     Block elements and text blocks are nodes; inline markup only bears on the share of linked text. Scripts,
-    styles, comments and other unseen elements are left out. Unclosed elements end with their container.
+    styles, titles, text areas and comments are left out; the model judges all other text. Unclosed elements
+    end with their container. Each character is read a bounded number of times.
     """
 
     __slots__ = ("depth", "features", "leaves", "parent", "texts", "types")
@@ -73,6 +81,8 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # tag, its block node
+        opened: dict[str, list[int]] = defaultdict(list)  # tag -> its places in the stack
+        scopes: list[int] = []  # places of the elements that an open paragraph can't reach beyond
         held: list[str] = []
         linked, links = 0, 0
 
@@ -95,74 +105,105 @@ class Page:
                     self.texts.append(text)
                 linked = 0
 
-        def text_at(a: int, b: int) -> None:
-            nonlocal linked
-            if b > a:
-                part = source[a:b]
+        def end(place: int) -> None:
+            """Ends the element at this place of the stack and all within it."""
+            for tag, _ in reversed(stack[place:]):
+                opened[tag].pop()
+                if tag in _SCOPE:
+                    scopes.pop()
+            del stack[place:]
+
+        def last(tags) -> int:
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+        for part, close, tag, attributes in _tokens(source):
+            if part:
                 part = htmllib.unescape(part) if "&" in part else part
                 held.append(part)
                 if links:
                     linked += len(part.strip())
-
-        at, end = 0, len(source)
-        while at < end:
-            m = _MARKUP.search(source, at)
-            if not m:
-                text_at(at, end)
-                break
-            text_at(at, m.start())
-            at = m.end()
-            tag = m[2] or m[5]
-            if not tag:
-                continue
-            tag, close, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if not close and tag in _RAW and not attributes.endswith("/"):
-                if tag == "head":
-                    continue
-                done = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = done.end() if done else end
-                continue
             if tag in ("br", "hr", "img") and not close:
                 held.append(" ")
             if tag == "a":
                 links = 0 if close else 1
-            if tag in _INLINE or tag in _VOID:
+            if not tag or tag in _INLINE or tag in _VOID:
                 if tag == "hr":
                     flush()
                 continue
+            flush()
             if tag in ("html", "head", "body"):
-                flush()
                 continue
-            flush()
+            links = 0
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if tag == "p" and stack[k][0] in _SCOPE:
-                        break
-                links = 0
+                place = last((tag,))
+                if place and not (tag == "p" and scopes and scopes[-1] > place):
+                    end(place)
                 continue
             if tag in _CLOSED_BY:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in _CLOSED_BY[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table"):
-                        break
-            elif _OF.get(tag) is not None:  # a block ends an open paragraph
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _SCOPE:
-                        break
-            links = 0
+                place, bound = last(_CLOSED_BY[tag][:1]) or last(_CLOSED_BY[tag]), last(_LISTS)
+                place = place if place > bound else last(_CLOSED_BY[tag])
+                if place > bound:
+                    end(place)
+            elif tag in _OF:  # a block ends an open paragraph, and a form control that was left open
+                place = last(("select", "p"))
+                if place and not (scopes and scopes[-1] > place):
+                    end(place)
             if not attributes.endswith("/"):
+                opened[tag].append(len(stack))
+                if tag in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append((tag, self._node(stack[-1][1], _element_type(tag, attributes))))
         flush()
 
 
+def _tokens(source: str):
+    """(text before a tag, is it an end tag, its name or empty, its attributes), in one pass over the page.
+
+    Comments and declarations end as HTML has it, or with the page; so do elements whose content is no
+    markup (scripts, styles, titles, text areas). A < that begins no tag is text; so is one without any >
+    behind it. Where a quote is never closed, tags end at the next >, whatever quotes say.
+    """
+    at, held, strict = 0, [], True
+    while True:
+        begin = source.find("<", at)
+        stop = source.find(">", begin + 1) if begin >= 0 else -1
+        if stop < 0 and not (begin >= 0 and source.startswith(("<!--", "<!", "<?"), begin)):
+            held.append(source[at:])
+            yield "".join(held), False, "", ""
+            return
+        held.append(source[at:begin])
+        if source.startswith("<!--", begin):
+            done = begin + 4 if source.startswith((">", "->"), begin + 4) else source.find("-->", begin + 4)
+            at = source.find(">", done) + 1 if done >= 0 else len(source)
+            continue
+        if source.startswith(("<!", "<?"), begin):
+            at = stop + 1 if stop >= 0 else len(source)
+            continue
+        close = source.startswith("/", begin + 1)
+        first = source[begin + 1 + close : begin + 2 + close]
+        if not (first.isascii() and first.isalpha()):
+            if close:  # a bogus comment
+                at = stop + 1
+            else:
+                held.append("<")
+                at = begin + 1
+            continue
+        name = _NAME.match(source, begin + 1 + close)
+        finish = stop
+        if strict:
+            finish = _ATTRIBUTES.match(source, name.end()).end()
+            if finish >= len(source):
+                strict, finish = False, max(stop, name.end())
+        finish = finish if source.startswith(">", finish) else source.find(">", name.end())
+        tag, attributes = name[0].lower(), source[name.end() : finish]
+        at = finish + 1
+        yield "".join(held), close, tag, attributes
+        held.clear()
+        if not close and tag in _RAW and not attributes.endswith("/"):
+            done = _RAW[tag].search(source, at)
+            at = len(source) if done is None else max(source.find(">", done.end()) + 1, done.end())
+
+
 class Forest:
     """Several pages as arrays, so that messages pass for all of them at once, depth by depth."""
 

@@ -1,6 +1,8 @@
 """Each operator against brute force on the smallest tables, and on nulls, empties, ties, repeats and extra columns."""
 
+import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -287,13 +289,42 @@ def test_html(spark):
         total += len(labels)
     assert right >= 0.98 * total
     page = '<body><nav><a href="/">Home</a></nav><article><h1>T &amp; t</h1><p>One\n two&nbsp;x <a href="#">link</a>.<p>Two</article><div class="comments"><p>Great text, thanks to you all.</p></div><script>x="<p>no</p>"</script></body>'
-    rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "v", ""), (4, "w", "<p" * 2000), (5, "x", "<div>" * 3000 + "deep text here.")]
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "v", ""), (4, "w", "<p" * 100_000), (5, "x", "<div>" * 3000 + "deep text here.")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = html_text.main_text(df, model).collect()
     assert [r["text"] for r in got[:4]] == ["T & t\nOne two x link.\nTwo"] * 2 + ["", ""] and len(got) == 6
     assert all(r["n_chars"] == len(r["text"]) for r in got) and html_text.main_text(empty(df), model).count() == 0
 
 
+def test_html_on_the_given_pages(spark):
+    """The query against a plain reading of the article element, which the given pages all have."""
+    cut = r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|td|pre)\b[^>]*>"
+    want = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = re.split(cut, re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", inner.replace("<br>", " ")))
+        want[r["page_id"]] = "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
+    got = html_text.op6_html(spark, SF).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(want[r["page_id"]]) for r in got)
+
+
+def test_html_keeps_what_the_model_may_judge():
+    model = html_text.train()
+    for source, text in (
+        ("<article><h1>T</h1><p>One</p><video src=x><p>Two</p>", "T\nOne\nTwo"), ("<article><p>Let <math><mi>x</mi></math> be y</p></article>", "Let x be y"),
+        ("<article><h1>Head line here</h1><p>One is a sentence.</p><select><p>Two is another sentence.</p></article>", "Head line here\nOne is a sentence.\nTwo is another sentence."),
+        ("<article><p>a < b and c <= d.</p><p title='x>y'>next one <!-- c --> goes on.</p></article><!-- open", "a < b and c <= d.\nnext one goes on."),
+    ):
+        assert html_text.extract([source], model) == [text]
+
+
+def test_html_is_linear():
+    for part, n in (("<p", 10**5), ("<a x='", 10**5), ('<a x=">" ', 20_000), ("<!--", 10**5), ("</", 10**5), ("<script>", 50_000), ("<a id ", 50_000), ("<div>", 20_000), ("<p><x>", 20_000)):
+        began = time.process_time()
+        html_text.Page(part * n + "</y>" * (n // 10) + ">")
+        assert time.process_time() - began < 3
+
+
 def test_tree_marginals_against_enumeration():
     page = html_text.Page("<div><p>a b c d e</p><p>x</p></div><nav><a>l</a></nav>")
     d = np.random.default_rng(0)
