@@ -4,145 +4,232 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sorted_runs, spanning, split_hot, stage, table
+from .common import sorted_runs, split_hot, stage, table, unstage
 from .components import components
 
+#: Bytes of reference points that may travel with the tasks, and how many points at most.
+PIVOT_BYTES, PIVOTS = 64 << 20, 32_768
 
-def pivot_count(n: int) -> int:
-    """Reference points for n vectors: the power of two at or above the root of n, 64 to 4096."""
-    return int(min(4096, max(64, 2 ** np.ceil(np.log2(max(1.0, n**0.5))))))
+
+def pivot_count(n: int, dim: int) -> int:
+    """Reference points for n vectors: four times their root, as a power of two, so that lists grow with the root only."""
+    most = 2 ** int(np.log2(max(2, min(PIVOTS, PIVOT_BYTES // (8 * max(1, dim))))))
+    return int(min(most, max(256, 2 ** np.ceil(np.log2(4 * max(1.0, n**0.5))))))
+
+
+def shared_count(pivots: int) -> int:
+    """Of 16 nearest reference points, how many two vectors must share: over 97 of 100 pairs of cosine 0.93 in 64 dimensions do."""
+    return 6 - (pivots > 2048) - (pivots > 8192)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def describe(classes: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
-    """(cid, label, v, copies) -> one row for each of the `prefix` nearest pivots: the inverted pivot lists.
+def spread_points(sample: np.ndarray, most: int, apart: float = 0.7) -> np.ndarray:
+    """Up to `most` points of the sample of which no two have a cosine of `apart` or more: a dense group gives one."""
+    points = np.zeros((most, sample.shape[1]))
+    n = 0
+    for x in sample:
+        if n == most:
+            break
+        if not n or (points[:n] @ x).max() < apart:
+            points[n] = x
+            n += 1
+    return points[:n]
 
-    order holds the ordered nearest pivots as 16-bit numbers.
-    """
-    points = {d: _unit(np.array([p for p in pivots if len(p) == d])) for d in {len(p) for p in pivots}}
+
+def keyed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, lab, k, v): v the components as little-endian doubles and k their 128-bit hash, null where a vector links with nothing."""
 
     def run(batches):
         for b in batches:
-            v = [np.frombuffer(x) for x in b.column("v").to_pylist()]
-            cid, label, copies = (b.column(c).to_numpy() for c in ("cid", "label", "copies"))
-            for dim in sorted({len(x) for x in v}):
-                at = np.array([i for i, x in enumerate(v) if len(x) == dim])
-                x = _unit(np.stack([v[i] for i in at]))
+            keys, vs = [], []
+            for x, has in zip(b.column("embedding").to_pylist(), b.column("lab").is_valid().to_pylist(), strict=True):
+                v = np.array([np.nan if c is None else c for c in x]) + 0.0 if x and has else None  # + 0.0: one zero
+                good = v is not None and np.isfinite(v).all() and v.any()
+                vs.append(v.astype("<f8").tobytes() if good else None)
+                keys.append(xxhash.xxh3_128_digest(vs[-1]) if good else None)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("lab"), pa.array(keys, pa.binary()), pa.array(vs, pa.binary())], ["vec_id", "lab", "k", "v"])
+
+    real = dict(vectors.dtypes)["label"] in ("float", "double")
+    lab = (F.col("label") + F.lit(0.0) if real else F.col("label")).cast("string")
+    rows = vectors.select(F.col("vec_id").cast("long"), lab.alias("lab"), F.col("embedding").cast("array<double>"))
+    return rows.mapInArrow(run, "vec_id long, lab string, k binary, v binary")
+
+
+def described(classes: DataFrame, points: dict[int, np.ndarray], prefix: int) -> DataFrame:
+    """(cid, lab, v, copies) -> with dim and tops: the numbers of the `prefix` nearest reference points, ascending."""
+
+    def run(batches):
+        for b in batches:
+            raw = b.column("v").to_pylist()
+            tops, size = [b""] * len(raw), np.array([len(x) // 8 for x in raw], np.int32)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
                 if dim in points:
-                    order = np.argsort(-(x @ points[dim].T), axis=1, kind="stable")[:, :prefix].astype("<i2")
+                    x = _unit(np.frombuffer(b"".join([raw[i] for i in at]), "<f8").reshape(-1, dim))
+                    near = x @ points[dim].T
+                    k = min(prefix, near.shape[1])
+                    near = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1).astype("<u2")
                 else:  # a dimension without reference points is one list
-                    order = np.zeros((len(at), 1), "<i2")
-                k = order.shape[1]
-                rep = np.repeat(np.arange(len(at)), k)
-                vec, tops = [x_.tobytes() for x_ in x], [o.tobytes() for o in order]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(label[at][rep].astype(np.int64)), pa.array(np.full(len(rep), dim, np.int32)), pa.array(order.ravel().astype(np.int32)), pa.array(cid[at][rep]),
-                        pa.array(copies[at][rep]), pa.array([vec[i] for i in rep], pa.binary()), pa.array([tops[i] for i in rep], pa.binary()),
-                    ],
-                    ["label", "dim", "pivot", "cid", "copies", "v", "tops"],
-                )
-
-    return classes.select("cid", "label", "v", "copies").mapInArrow(run, "label long, dim int, pivot int, cid long, copies long, v binary, tops binary")
-
-
-def verified(lists: DataFrame, least: float, shared: int, most: int) -> DataFrame:
-    """Rows (kind, a, b): kind 0 adds b links to class a; kind 1 is an edge of a spanning forest.
-
-    Within a list every pair with at least `shared` common pivots is verified by its cosine in double
-    precision. A pair counts only in the list of its smallest common pivot, so each link counts once.
+                    near = np.zeros((len(at), 1), "<u2")
+                for i, t in zip(at.tolist(), near, strict=True):
+                    tops[i] = t.tobytes()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cid", "lab", "copies", "v")), pa.array(size), pa.array(tops, pa.binary())], ["cid", "lab", "copies", "v", "dim", "tops"])
+
+    return classes.select("cid", "lab", "copies", "v").mapInArrow(run, "cid long, lab string, copies long, v binary, dim int, tops binary")
+
+
+def inverted(index: DataFrame, shared: int) -> DataFrame:
+    """(lab, dim, pivot, cid, tops): a vector's entries in the inverted lists of its reference points.
+
+    Two vectors that share `shared` of their points meet in the list of the smallest one they share, which is
+    among the first m - shared + 1 of the m points of each; the other points need no entry.
+    """
+
+    def run(batches):
+        for b in batches:
+            tops = [np.frombuffer(t, "<u2") for t in b.column("tops").to_pylist()]
+            keep = [t[: max(1, len(t) - shared + 1)] for t in tops]
+            owner = pa.array(np.repeat(np.arange(len(keep)), [len(t) for t in keep]))
+            pivot = pa.array(np.concatenate(keep).astype(np.int32) if keep else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(owner) for c in ("lab", "dim")), pivot, *(b.column(c).take(owner) for c in ("cid", "tops"))], ["lab", "dim", "pivot", "cid", "tops"])
+
+    return index.select("lab", "dim", "cid", "tops").mapInArrow(run, "lab string, dim int, pivot int, cid long, tops binary")
+
+
+CELL = ("lab", "dim", "pivot", "cell_i", "cell_j")
+
+
+def candidates(tops: list[bytes], chunk: np.ndarray, pivot: int, cross: bool, shared: int):
+    """Blocks (i, j) of pairs of one list that share at least `shared` points, none of them below `pivot`; each pair twice."""
+    t = np.frombuffer(b"".join(tops), "<u2").reshape(len(tops), -1)
+    need = min(shared, t.shape[1])
+    values, code, count = np.unique(t, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1  # points of a single member can't be shared
+    code = code.reshape(t.shape)
+    row, col = np.nonzero(count[code] > 1)
+    has = np.zeros((len(t), int((count > 1).sum())), np.float32)
+    has[row, place[code[row, col]]] = 1
+    below = int(np.searchsorted(values[count > 1], pivot))
+    for i in range(0, len(t), 512):
+        q = slice(i, min(i + 512, len(t)))
+        ok = has[q] @ has.T >= need
+        ok[np.arange(q.stop - i), np.arange(i, q.stop)] = False
+        if cross:
+            ok &= chunk[q, None] != chunk[None, :]
+        if below and ok.any():
+            ok &= (has[q, :below] @ has[:, :below].T) == 0
+        a, b = np.nonzero(ok)
+        yield a + i, b
+
+
+def survivors(lists: DataFrame, shared: int, most: int) -> DataFrame:
+    """The entries (CELL, cid, chunk) of the lists that have a candidate there: only their vectors are fetched."""
+    cells = split_hot(lists, ["lab", "dim", "pivot"], "cid", most)
+
+    def run(batches):
+        for cols, at in sorted_runs(batches, list(CELL)):
+            chunk, pivot, ci, cj = (cols[c].to_numpy() for c in ("chunk", "pivot", "cell_i", "cell_j"))
+            keep = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    hit = np.zeros(hi - lo, bool)
+                    for i, _ in candidates(cols["tops"].slice(lo, hi - lo).to_pylist(), chunk[lo:hi], int(pivot[lo]), ci[lo] != cj[lo], shared):
+                        hit[i] = True
+                    keep.append(lo + np.flatnonzero(hit))
+            if keep:
+                kept = pa.array(np.concatenate(keep))
+                names = [*CELL, "cid", "chunk"]
+                yield pa.RecordBatch.from_arrays([cols[c].take(kept) for c in names], names)
+
+    kinds = "lab string, dim int, pivot int, cell_i int, cell_j int, cid long, chunk int"
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, kinds)
+
+
+def verified(entries: DataFrame, index: DataFrame, least: float, shared: int) -> DataFrame:
+    """Rows (kind, a, b): kind 0 adds b links to class a; kind 1 is an edge of a spanning forest of the links.
+
+    The candidates of each list are verified by their cosine in double precision; a pair is a candidate in
+    one list only, so each link counts once.
     """
-    keys = ["label", "dim", "pivot", "cell_i", "cell_j"]
 
     def run(batches):
-        for cols, at in sorted_runs(batches, keys):
-            num = {c: cols[c].to_numpy() for c in ("dim", "pivot", "cid", "copies", "chunk", "cell_i", "cell_j")}
+        for cols, at in sorted_runs(batches, list(CELL)):
+            chunk, pivot, ci, cj, cids, copies = (cols[c].to_numpy() for c in ("chunk", "pivot", "cell_i", "cell_j", "cid", "copies"))
             kinds, a, b = [], [], []
-            for g in np.flatnonzero(np.diff(at) > 1).tolist():
-                s = slice(at[g], at[g + 1])
-                n, p = at[g + 1] - at[g], int(num["pivot"][s.start])
-                x = np.frombuffer(b"".join(cols["v"].slice(at[g], n).to_pylist())).reshape(n, -1)
-                tops = np.frombuffer(b"".join(cols["tops"].slice(at[g], n).to_pylist()), "<i2").reshape(n, -1)
-                need = min(shared, tops.shape[1])
-                has = np.zeros((n, int(tops.max()) + 1), np.float32)
-                has[np.arange(n)[:, None], tops] = 1
-                cid, copies, chunk = num["cid"][s], num["copies"][s], num["chunk"][s]
-                cross = num["cell_i"][s.start] != num["cell_j"][s.start]
-                links = np.zeros(n, np.int64)
-                any_ = np.zeros(n, bool)
-                for i in range(0, n, 512):
-                    q = slice(i, min(i + 512, n))
-                    ok = x[q] @ x.T >= least
-                    ok[np.arange(q.stop - i), np.arange(i, q.stop)] = False
-                    if cross:
-                        ok &= chunk[q, None] != chunk[None, :]
-                    if not ok.any():
-                        continue
-                    ok &= has[q] @ has.T >= need
-                    any_[q] |= ok.any(1)
-                    ok &= (has[q, :p] @ has[:, :p].T) == 0
-                    links[q] += ok @ copies
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                n = hi - lo
+                x = _unit(np.frombuffer(b"".join(cols["v"].slice(lo, n).to_pylist()), "<f8").reshape(n, -1))
+                links, root, cid = np.zeros(n, np.int64), np.arange(n), cids[lo:hi]
+                for i, j in candidates(cols["tops"].slice(lo, n).to_pylist(), chunk[lo:hi], int(pivot[lo]), ci[lo] != cj[lo], shared):
+                    for k in range(0, len(i), 100_000):
+                        p, q = i[k : k + 100_000], j[k : k + 100_000]
+                        ok = np.einsum("ij,ij->i", x[p], x[q]) >= least
+                        p, q = p[ok], q[ok]
+                        np.add.at(links, p, copies[lo:hi][q])
+                        while len(p):  # the least root spreads over the links
+                            was = root.copy()
+                            np.minimum.at(root, p, root[q])
+                            np.minimum.at(root, q, root[p])
+                            np.minimum.at(root, was, root)
+                            root = root[root]
+                            if (root == was).all():
+                                break
                 own = np.flatnonzero(links)
                 kinds.append(np.zeros(len(own), np.int64)), a.append(cid[own]), b.append(links[own])
-                own = np.flatnonzero(any_)
-                if len(own):
-                    u, h = x[own], has[own]
-                    e = [(cid[own[i]], cid[own[j]]) for i, j in spanning(len(own), lambda i, js, u=u, h=h, need=need: (u[js] @ u[i] >= least) & (h[js] @ h[i] >= need))]
-                    if e:
-                        e = np.array(e)
-                        kinds.append(np.ones(len(e), np.int64)), a.append(e[:, 0]), b.append(e[:, 1])
+                own = np.flatnonzero(root != np.arange(n))
+                kinds.append(np.ones(len(own), np.int64)), a.append(cid[own]), b.append(cid[root[own]])
             if kinds:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (kinds, a, b)], ["kind", "a", "b"])
 
-    cells = split_hot(lists, ["label", "dim", "pivot"], "cid", most)
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "kind long, a long, b long")
+    full = entries.join(index.select("cid", "copies", "v", "tops"), "cid")
+    return full.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "kind long, a long, b long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, shared: int = 2, most: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most: int = 2048) -> DataFrame:
     """vectors(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept).
 
-    Vectors link if their labels are equal and not null and their cosine is at least `least`; those that are
-    null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of different
-    lengths. Equal vectors of a label collapse to one class with a count before the index is built, so
-    copies link without being expanded. The pivots are a bounded sample (`pivot_count`, at most 4096) of the
-    classes; every class is indexed by its `prefix` nearest pivots. Repeated vec_ids stay separate rows; a
-    null vec_id never names a component. An empty table gives an empty result; other columns are not read.
+    Vectors link if their labels are equal and not null (compared as they are, of any type) and their cosine
+    is at least `least`; those that are null, empty, zero, or hold null or non-finite components link with
+    nothing, nor do vectors of different lengths. Equal vectors of a label collapse to one class with a count
+    before the index is built, so copies link without being expanded. Repeated vec_ids stay separate rows; a
+    null vec_id names no component that has others. An empty table gives an empty result; other columns are
+    not read.
+
+    The reference points come from a bounded sample (`pivot_count`, `spread_points`); every class is described
+    by its `prefix` nearest ones. Inverted lists of ids find the pairs that share enough of them
+    (`shared_count`); only then are vectors fetched, and only those pairs verified.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    top = F.array_max(F.transform("embedding", F.abs))
-    good = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (top > 0)
-    rows = rows.withColumn("key", F.when(F.coalesce(good, F.lit(False)), F.col("embedding")))
-    valid = rows.where("key is not null")
-    classes = valid.groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
+    rows = stage(keyed(vectors), "vectors")
+    classes = rows.where("k is not null").groupBy("lab", "k").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    n = classes.count()
-    if n == 0:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = classes.orderBy(F.xxhash64("key"), "cid").limit(pivot_count(n)).select("key").collect()
-    pivots = [np.array(r[0]) / np.abs(r[0]).max() for r in sample]
-
-    def pack(batches):  # scaled by the largest component, so that squares neither overflow nor vanish
-        for b in batches:
-            v = [(lambda x: (x / np.abs(x).max()).tobytes())(np.array(x)) for x in b.column("key").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("label"), b.column("copies"), pa.array(v, pa.binary())], ["cid", "label", "copies", "v"])
-
-    packed = classes.select("cid", "label", "copies", "key").mapInArrow(pack, "cid long, label long, copies long, v binary")
-    lists = stage(describe(packed, pivots, prefix), "lists")
-    found = stage(verified(lists, least, shared, most), "found")
+    sizes = {r[0]: r[1] for r in classes.groupBy((F.length("v") / 8).cast("int")).count().orderBy(F.desc("count")).limit(8).collect()}
+    points, shared = {}, 6
+    for dim, n in sizes.items():
+        most_points = pivot_count(n, dim)
+        drawn = classes.where(F.length("v") == 8 * dim).orderBy(F.xxhash64("k"), "cid").limit(2 * most_points).select("v").collect()
+        points[dim] = spread_points(_unit(np.stack([np.frombuffer(r[0], "<f8") for r in drawn])), most_points)
+        shared = min(shared, shared_count(most_points))
+    index = stage(described(classes, points, prefix), "index")
+    entries = stage(survivors(inverted(index, shared), shared, most), "entries")
+    found = stage(verified(entries, index, least, shared), "found")
+    unstage(index, entries)
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     comp = stage(components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("cid"), "comp"), "comp")
-    low = comp.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("low"))
+    facts = classes.select("cid", "lab", "k", "copies", "first_id")
+    low = comp.join(facts, "cid").groupBy("comp").agg(F.min("first_id").alias("low"))
     named = comp.join(low, "comp").select("cid", "low")
-    facts = classes.join(links, "cid", "left").join(named, "cid", "left").select(
-        "label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "first_id").alias("component_id")
+    facts = facts.join(links, "cid", "left").join(named, "cid", "left").select(
+        "lab", "k", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "first_id").alias("component_id")
     )
-    out = rows.join(stage(facts, "facts"), ["label", "key"], "left")
+    out = rows.select("vec_id", "lab", "k").join(stage(facts, "facts"), ["lab", "k"], "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
 

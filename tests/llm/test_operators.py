@@ -58,6 +58,7 @@ def test_vectors(spark):
     rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
     rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [float("inf")] + [1.0] * 15, 0), (904, rows[0][1], None), (905, [], 0), (906, [1.0, None], 0), (907, [1.0, 2.0], 0), (907, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cid", F.lit(1))
+    df = df.withColumn("k", F.lit(2))
     got = embeddings.near_vectors(df, most=8).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     same = np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None, :] % 2
@@ -70,6 +71,44 @@ def test_vectors(spark):
     assert embeddings.near_vectors(empty(df)).count() == 0
 
 
+def test_vectors_of_other_labels(spark):
+    """Labels are compared as they are: no rounding of doubles, texts allowed."""
+    v = [1.0, 2.0, 3.0]
+    for kind, labels, want in (("double", [1.2, 1.7, 1.2, None], [1, 0, 1, 0]), ("string", ["a", "b", "a", None], [1, 0, 1, 0])):
+        got = embeddings.near_vectors(spark.createDataFrame([(i, v, x) for i, x in enumerate(labels)], f"vec_id long, embedding array<float>, label {kind}")).orderBy("vec_id").collect()
+        assert [r["n_links"] for r in got] == want
+
+
+def test_vectors_query_with_planted_copies(spark, tmp_path):
+    """The registered query on the given vectors beside near copies (cosine 0.93 to 0.97), a dense group, and exact copies, against brute force."""
+    d = np.random.default_rng(5)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, label = np.stack(rows.embedding).astype(float), rows.label.to_numpy()
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+
+    def turned(z, cosine):
+        e = d.normal(size=z.shape)
+        z = unit(z)
+        e = unit(e - (e * z).sum(1, keepdims=True) * z)
+        return cosine[:, None] * z + np.sqrt(1 - cosine**2)[:, None] * e
+
+    parts = [x, turned(x[:800], d.uniform(0.931, 0.97, 800)), turned(np.repeat(x[:1], 600, 0), d.uniform(0.962, 0.985, 600)), x[100:140]]
+    x, label = np.concatenate(parts), np.concatenate([label, label[:800], np.repeat(label[:1], 600), label[100:140]])
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = embeddings.op2_embeddings(spark, str(tmp_path)).toPandas().sort_values("vec_id")
+    u = unit(x)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    true = near.sum(1)
+    assert true.max() > 500 and (got.n_links.to_numpy() <= true).all() and got.n_links.sum() >= 0.95 * true.sum()
+    low = np.arange(len(x))
+    for _ in range(60):
+        low = np.minimum(low, np.where(near, low[None, :], len(x)).min(1))
+    comp = got.component_id.to_numpy()
+    assert (comp >= low).all() and (comp == low).mean() >= 0.95 and (got.kept == (got.vec_id == comp)).all()
+
+
 def test_token_files(spark, docs, odd, tmp_path):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = token_files.op3_token_files(spark, SF).toPandas().sort_values("doc_id")
