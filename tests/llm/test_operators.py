@@ -144,25 +144,65 @@ def test_encoder_is_exact():
     assert list(tokens.portions(text, 8)) == [(0, 2), (2, 1), (3, 1)] and made.encode(text)[1][1] == 0
 
 
+def _leaks(docs, items):
+    """Every window of every document against every item that shares a shingle with it."""
+    bags = [(i, len(w), decontaminate.shingles(w, 5)) for i, w in ((r["item_id"], (r["text"] or "").encode().lower().split()) for r in items.collect())]
+    by_shingle = {}
+    for k, (_, _, bag) in enumerate(bags):
+        for s in bag:
+            by_shingle.setdefault(s, []).append(k)
+    want = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        short = [k for k, (_, n, _) in enumerate(bags) if n < 5]
+        for k in {*short, *(k for s in decontaminate.shingles(w, 5) for k in by_shingle.get(s, ()))}:
+            i, n, bag = bags[k]
+            for s in range(max(1, len(w) - n + 1)):
+                j = decontaminate.weighted_jaccard(decontaminate.shingles(w[s : s + n], 5), bag)
+                if j >= 0.8 and j > want.get((r["doc_id"], i), (0,))[0]:
+                    want[r["doc_id"], i] = (j, s)
+    return want
+
+
+def test_decontamination_query(spark):
+    larger = SF.replace("sf0.001", "sf0.01")
+    docs, items = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontaminate.op4_decontamination(spark, larger).collect()}
+    assert got == _leaks(docs, items) and len(got) > 10
+
+
 def test_decontamination(spark, docs, odd):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontaminate.contamination(docs, items, block_items=15).collect()}
-    bags = [(i, len(w), decontaminate.shingles(w, 5)) for i, w in ((r["item_id"], r["text"].encode().lower().split()) for r in items.collect())]
-    want = {}
-    for r in docs.collect():
-        w = r["text"].encode().lower().split()
-        every = set(decontaminate.shingles(w, 5))
-        for i, n, bag in bags:
-            if len(every & set(bag)) > 0.3 * len(bag):
-                for s in range(max(1, len(w) - n + 1)):
-                    j = decontaminate.weighted_jaccard(decontaminate.shingles(w[s : s + n], 5), bag)
-                    if j >= 0.8 and j > want.get((r["doc_id"], i), (0,))[0]:
-                        want[r["doc_id"], i] = (j, s)
-    assert got == want and want
+    assert got == _leaks(docs, items) and got
+    d = np.random.default_rng(7)  # items of all lengths with edits near the limit
+    texts, rows = [], []
+    for k in range(150):
+        w = d.integers(0, 900, int(d.choice([3, 5, 6, 12, 30, 80]))).astype(str)
+        c = w.copy()
+        c[d.choice(len(c), len(c) // 25)] = "x"
+        texts.append((k, " ".join(w)))
+        rows.append((k, " ".join([*d.integers(0, 900, d.integers(0, 40)).astype(str), *c, *d.integers(0, 900, d.integers(0, 40)).astype(str)])))
+    made, own = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontaminate.contamination(made, own).collect()}
+    assert got == _leaks(made, own) and 80 < len(got)
     tiny = spark.createDataFrame([(1, "same words in here twice"), (2, ""), (3, None), (4, "in here")], "item_id long, text string")
     hits = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.contamination(odd, tiny).collect())
     assert hits == [(0, 1), (0, 4), (5, 1), (5, 4)]
     assert decontaminate.contamination(empty(odd), tiny).count() == 0 and decontaminate.contamination(odd, empty(tiny)).count() == 0
+    mixed = odd.union(spark.createDataFrame([(5, "a text of its own", 1, "y")], DOCS)).withColumn("_th", F.lit(0))
+    kept = decontaminate.decontaminate(mixed, tiny)
+    assert kept.columns == mixed.columns and sorted(str(r["doc_id"]) + str(r["chunk"]) for r in kept.collect()) == ["17", "27", "27", "51", "67", "77"]
+
+
+def test_blocks_hold_all_within_the_radius():
+    d = np.random.default_rng(0)
+    prints = d.integers(0, 2**63, 300)
+    for radius in (0, 5, 15, 22):
+        blocks = decontaminate.HammingBlocks(prints.tolist(), radius)
+        for p in prints[:40].astype(np.uint64):
+            q = p ^ np.bitwise_or.reduce(np.uint64(1) << d.choice(64, radius, replace=False).astype(np.uint64)) if radius else p
+            assert blocks.near(int(q)) == np.flatnonzero(np.bitwise_count(prints.astype(np.uint64) ^ q) <= radius).tolist()
 
 
 def _components(ids, fps, radius=3):
