@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed patterns of the report layout.
-HEADER = r"(?i)Epi\s*Week[:\s]*(\d{1,2})\s*(20\d{2}|19\d{2})"
+HEADER = r"(?i)Epi\s*Week[:\s]*(\d{1,2})\s*(20\d{2})"
 CUMULATIVE = r"Cumulative\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s*%"
 STATES = r"(?i)(\d+)\s+States?\s+have\s+recorded"
 SHARE = r"([A-Z][a-z]+)\s+reported\s+(\d+)%|([A-Z][a-z]+)\s+(\d+)%"
@@ -17,8 +17,17 @@ def _int(pattern: str, group: int, text: str) -> Column:
     return F.regexp_extract(F.col(text), pattern, group).try_cast("int")
 
 
-def header(text: str = "text") -> dict[str, Column]:
-    return {"year": _int(HEADER, 2, text), "week": _int(HEADER, 1, text)}
+#: A link's target in double quotes, in single quotes, or bare.
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def header_pattern(years: str = r"20\d{2}") -> str:
+    """The header's pattern for reports of other years than this century's."""
+    return HEADER.replace(r"20\d{2}", years)
+
+
+def header(text: str = "text", years: str = r"20\d{2}") -> dict[str, Column]:
+    return {"year": _int(header_pattern(years), 2, text), "week": _int(header_pattern(years), 1, text)}
 
 
 def cumulative(text: str = "text") -> dict[str, Column]:
@@ -45,8 +54,14 @@ def narrative(text: str = "text") -> dict[str, Column]:
 
 
 def links(pages: DataFrame, suffix: str = "", base: str = "") -> DataFrame:
-    """pages(page_id, html) -> (page_id, ord, href): each target once, in order of first occurrence, made absolute."""
-    every = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)).alias("pos", "href")).where(F.col("href").endswith(suffix))
+    """pages(page_id, html) -> (page_id, ord, href): each target once, in order of first occurrence, made absolute.
+
+    Targets may be quoted either way or not at all, tags and suffix in any case; empty targets are none.
+    """
+    both = lambda a, b: F.concat(a, b)  # noqa: E731 (one of the forms; the others are empty)
+    forms = [F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), g) for g in (1, 2, 3)]
+    every = pages.select("page_id", F.posexplode(F.zip_with(F.zip_with(forms[0], forms[1], both), forms[2], both)).alias("pos", "href"))
+    every = every.where((F.col("href") != "") & F.lower("href").endswith(suffix.lower()))
     first = every.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
     full = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base), F.col("href")))
     return first.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("ord"), full.alias("href"))

@@ -31,6 +31,52 @@ COMPETITORS = (
 )
 TARGET = "Lassa fever"
 CATEGORIES = {"low": ("LOW PROBABILITY", "#22c55e", False), "moderate": ("MODERATE -- CONSIDER TESTING", "#f59e0b", False), "high": ("HIGH -- TEST AND MONITOR", "#f97316", True), "very_high": ("VERY HIGH -- ISOLATE IMMEDIATELY", "#ef4444", True)}
+#: Fixed recommendations and actions by category.
+ADVICE = {
+    "low": (
+        "Lassa fever is unlikely based on current presentation. Consider alternative diagnoses.",
+        (
+            "Continue standard fever workup (malaria RDT, blood culture)",
+            "Monitor patient for 48 hours",
+            "Reassess if symptoms worsen or new features develop",
+            "No isolation required at this probability level",
+        ),
+    ),
+    "moderate": (
+        "Clinical features are consistent with Lassa fever. Laboratory testing is recommended.",
+        (
+            "Collect blood sample for Lassa PCR (RT-PCR)",
+            "Use standard barrier precautions while awaiting results",
+            "Notify infection control / state epidemiologist",
+            "Do NOT administer ribavirin without laboratory confirmation unless critically ill",
+            "Continue malaria and typhoid workup concurrently",
+        ),
+    ),
+    "high": (
+        "Significant clinical and/or epidemiological risk for Lassa fever. Testing required and enhanced precautions indicated.",
+        (
+            "Place patient in single room with contact and droplet precautions",
+            "Healthcare workers must use full PPE (gown, gloves, N95/FFP2 mask, eye protection)",
+            "Collect blood for Lassa PCR IMMEDIATELY -- do not delay",
+            "Report to state epidemiologist and NCDC within 24 hours",
+            "Consider ribavirin if PCR pending and high clinical suspicion",
+            "Do not perform aerosol-generating procedures without enhanced PPE",
+        ),
+    ),
+    "very_high": (
+        "Strong clinical and epidemiological features of Lassa fever. Immediate isolation and reporting mandatory.",
+        (
+            "ISOLATE PATIENT IMMEDIATELY in negative-pressure room if available",
+            "Full PPE mandatory for all healthcare contacts -- no exceptions",
+            "Activate hospital outbreak protocol",
+            "Call NCDC Emergency Line NOW: 0800-970000-10",
+            "Collect blood for Lassa PCR STAT",
+            "Administer ribavirin empirically -- do not wait for PCR results",
+            "Contact trace all healthcare workers who have been exposed",
+            "Suspend aerosol-generating procedures until isolation confirmed",
+        ),
+    ),
+}
 #: Fixed points of the additive scorer.
 POINTS = {
     "fever": 15, "refractory_fever": 20, "sore_throat": 12, "chest_pain": 18, "mucosal_bleeding": 20, "facial_edema": 15, "hearing_loss": 22, "headache": 5, "myalgia": 5, "vomiting": 7, "diarrhea": 5, "abdominal_pain": 6,
@@ -90,9 +136,10 @@ def features_active() -> Column:
 
 
 def actions(patients_scored: DataFrame) -> DataFrame:
-    """Joins label, colour and isolation of the category (four rows)."""
+    """Joins label, colour, isolation, recommendation and list of actions of the category (four rows)."""
     spark = patients_scored.sparkSession
-    dim = spark.createDataFrame([(c, *v) for c, v in CATEGORIES.items()], "category string, label string, color string, isolate boolean")
+    kinds = "category string, label string, color string, isolate boolean, recommendation string, actions array<string>"
+    dim = spark.createDataFrame([(c, *v, ADVICE[c][0], list(ADVICE[c][1])) for c, v in CATEGORIES.items()], kinds)
     return patients_scored.join(F.broadcast(dim), "category")
 
 

@@ -109,9 +109,10 @@ def place_rank(rows: DataFrame, place: str, day: str) -> DataFrame:
     return places.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n"))))  # one row a place: a small table
 
 
-def weather_weekly(daily: DataFrame, place: str, day: str, value: str) -> DataFrame:
+def weather_weekly(daily: DataFrame, place: str, day: str) -> DataFrame:
+    """daily(place, day, temperature, humidity, rain, dew_point, wind) -> weeks: means, the sum of rain, the strongest wind, days observed."""
     return daily.groupBy(F.col(place).alias("k"), cal.iso_year(day).alias("epi_year"), cal.iso_week(day).alias("epi_week")).agg(
-        F.avg(value).alias("mean_value"), F.sum(value).alias("sum_value"), F.max(value).alias("max_value"), F.count_distinct(F.to_date(day)).alias("obs_days")
+        F.avg("temperature").alias("temperature"), F.avg("humidity").alias("humidity"), F.sum("rain").alias("rain"), F.avg("dew_point").alias("dew_point"), F.max("wind").alias("wind"), F.count_distinct(F.to_date(day)).alias("obs_days")
     )
 
 

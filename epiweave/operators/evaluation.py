@@ -58,12 +58,12 @@ def bin_edges(bins: int) -> list[float]:
 
 
 def reliability(scored: DataFrame, by: Sequence[str], bins: int = 5, p: str = "prob", y: str = "y") -> DataFrame:
-    """By bin of p: n, mean p, observed rate; empty bins are rows with n 0 and nulls; the last bin is closed."""
+    """By bin of p: n, mean p, observed rate; empty bins are rows with n 0 and nulls; the last bin is closed; null p count nowhere."""
     edges = bin_edges(bins)
     at = F.lit(bins)
     for i in range(bins - 1, 0, -1):
         at = F.when(F.col(p) < edges[i], i).otherwise(at)
-    full = scored.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed"))
+    full = scored.where(F.col(p).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed"))
     spine = scored.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     return spine.join(full, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

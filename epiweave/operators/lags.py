@@ -88,15 +88,20 @@ def scenarios(weeks: DataFrame, lags: dict[str, int], lead: int = 1, least: int
 def guard(requests: DataFrame, by: Sequence[str], lead: int) -> DataFrame:
     """requests(by, epi_year, epi_week, issued_at text) -> reason: null if the forecast is eligible.
 
-    Times without an offset are refused, then weeks their year does not have, then a second request for one
-    week, then requests not before Monday 00:00 UTC of the target's first week. lead has no default.
+    Refused are times that are null or can't be read, then those without an offset, then weeks their year
+    does not have, then a second request for one week (by the instant, among times that could be read), then
+    requests not before Monday 00:00 UTC of the target's first week. lead has no default.
     """
-    naive = ~F.col("issued_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     issued = F.try_to_timestamp("issued_at")
+    offset = F.coalesce(F.col("issued_at").rlike(r"T\d{2}:\d{2}.*(Z|[+-]\d{2}:\d{2})$"), F.lit(False))
     start = cal.monday(*WEEK)
-    again = F.row_number().over(Window.partitionBy(*by, *WEEK).orderBy("issued_at")) > 1
-    opens = F.to_timestamp(F.date_add(start, 7 * lead))
-    reason = F.when(naive, "naive_timestamp_rejected").when(start.isNull(), "malformed_source_week").when(again, "duplicate_data_through_week").when(issued >= opens, "target_already_started")
+    first = Window.partitionBy(*by, *WEEK).orderBy(F.desc(issued.isNotNull() & offset), issued, "issued_at")
+    again = F.row_number().over(first) > 1
+    opens = F.to_timestamp(F.concat(F.date_format(F.date_add(start, 7 * lead), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    reason = (
+        F.when(issued.isNull(), "malformed_timestamp").when(~offset, "naive_timestamp_rejected").when(start.isNull(), "malformed_source_week")
+        .when(again, "duplicate_data_through_week").when(issued >= opens, "target_already_started")
+    )
     return requests.withColumn("reason", reason)
 
 

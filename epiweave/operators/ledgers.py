@@ -24,15 +24,16 @@ def chain(records: DataFrame, genesis: str = GENESIS) -> DataFrame:
     """records(chain, seq, payload) -> + prev, hash; hash is the SHA-256 of prev | payload.
 
     Chains are dealt out over tasks and read in order as a stream that keeps one hash, so a chain of any
-    length passes in bounded memory; building one chain is sequential by nature. Ties of seq go by payload.
+    length passes in bounded memory; building one chain is sequential by nature. Ties of seq go by payload,
+    and the records of a null chain form one chain.
     """
 
     def run(batches):
-        last_chain, last = None, genesis
+        last_chain, last = run, genesis  # no chain equals run
         for b in batches:
             prevs, hashes = [], []
             for c, p in zip(b.column("chain").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                if c != last_chain or not prevs and last_chain is None:
+                if last_chain is run or c != last_chain:
                     last_chain, last = c, genesis
                 prevs.append(last)
                 last = hashlib.sha256(f"{last}|{p or ''}".encode()).hexdigest()
@@ -43,17 +44,59 @@ def chain(records: DataFrame, genesis: str = GENESIS) -> DataFrame:
     return rows.repartition("chain").sortWithinPartitions("chain", "seq", "payload").mapInArrow(run, "chain long, seq long, payload string, prev string, hash string")
 
 
-def verify(ledger: DataFrame, genesis: str = GENESIS) -> DataFrame:
-    """By chain: the first bad sequence number and why, or null: every row is checked on its own and against its neighbour."""
-    w = Window.partitionBy("chain").orderBy("seq")
-    own = F.sha2(F.concat_ws("|", "prev", "payload"), 256) != F.col("hash")
-    link = F.col("prev") != F.coalesce(F.lag("hash").over(w), F.lit(genesis))
-    order = F.row_number().over(w) != F.col("seq")
-    rows = ledger.withColumn("reason", F.when(order, "sequence").when(link, "broken link").when(own, "altered record"))
-    bad = rows.groupBy("chain").agg(F.count("*").alias("records"), F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))).alias("_b"))
+def verify(ledger: DataFrame, genesis: str | None = GENESIS, own: Column | None = None) -> DataFrame:
+    """ledger(chain, seq, payload, prev, hash) -> by chain: records, the first bad sequence number and why, or null.
+
+    own is the hash a record should have (by default the SHA-256 of prev | payload). Every record meets its
+    predecessor by a join on chain and seq - 1, so even one single chain of any length spreads over all tasks.
+    A record is out of sequence if its number is below 1, repeated, or lacks the one before it; the first
+    record's prev must be genesis, which may be null.
+    """
+    own = F.sha2(F.concat_ws("|", "prev", "payload"), 256) if own is None else own
+    rows = ledger.select("chain", "seq", "prev", "hash", own.alias("_own"))
+    rows = rows.groupBy("chain", "seq").agg(F.count("*").alias("_n"), F.max("prev").alias("prev"), F.max("hash").alias("hash"), F.max("_own").alias("_own"))
+    before = rows.select(F.col("chain").alias("_c"), (F.col("seq") + 1).alias("_s"), F.col("hash").alias("_before"), F.lit(True).alias("_there"))
+    both = rows.join(before, F.col("chain").eqNullSafe(F.col("_c")) & (F.col("seq") == F.col("_s")), "left")
+    order = (F.col("_n") > 1) | (F.col("seq") < 1) | ((F.col("seq") > 1) & F.col("_there").isNull())
+    expected = F.when(F.col("seq") == 1, F.lit(genesis)).otherwise(F.col("_before"))
+    reason = F.when(order, "sequence").when(~F.col("prev").eqNullSafe(expected), "broken link").when(~F.col("hash").eqNullSafe(F.col("_own")), "altered record")
+    bad = both.withColumn("reason", reason).groupBy("chain").agg(F.sum("_n").alias("records"), F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))).alias("_b"))
     return bad.select("chain", "records", F.col("_b.seq").alias("first_bad_seq"), F.col("_b.reason").alias("reason"))
 
 
+def verify_json(lines: DataFrame, own: str, previous: str, genesis: str | None = None) -> DataFrame:
+    """lines(chain, seq, raw JSON) -> as `verify`, for ledgers whose records embed their own and their predecessor's hash.
+
+    A record's hash is the SHA-256 of its canonical JSON (sorted keys, no spaces) without the field `own`.
+    """
+    rows = canonical_json(lines, "raw", [own])
+    rows = rows.select("chain", "seq", "payload", F.get_json_object("raw", f"$.{previous}").alias("prev"), F.get_json_object("raw", f"$.{own}").alias("hash"))
+    return verify(rows, genesis, F.sha2("payload", 256))
+
+
+def chain_json(records: DataFrame, own: str, previous: str, genesis: str | None = None) -> DataFrame:
+    """records(chain, seq, payload: a JSON object) -> (chain, seq, raw): each with its predecessor's and its own hash embedded."""
+
+    def run(batches):
+        last_chain, last = run, genesis
+        for b in batches:
+            out = []
+            for c, p in zip(b.column("chain").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                if last_chain is run or c != last_chain:
+                    last_chain, last = c, genesis
+                record = {**json.loads(p or "{}"), previous: last}
+                last = hashlib.sha256(_canonical(record).encode()).hexdigest()
+                out.append(_canonical({**record, own: last}))
+            yield pa.RecordBatch.from_arrays([b.column("chain"), b.column("seq"), pa.array(out, pa.string())], ["chain", "seq", "raw"])
+
+    rows = records.select(F.col("chain").cast("long"), F.col("seq").cast("long"), F.col("payload").cast("string"))
+    return rows.repartition("chain").sortWithinPartitions("chain", "seq", "payload").mapInArrow(run, "chain long, seq long, raw string")
+
+
+def _canonical(record: dict) -> str:
+    return json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def canonical_json(lines: DataFrame, raw: str = "raw", own: Sequence[str] = ()) -> DataFrame:
     """Adds payload: the line's JSON with sorted keys, no spaces, without its own hash fields (foreign ledgers)."""
 
@@ -62,7 +105,7 @@ def canonical_json(lines: DataFrame, raw: str = "raw", own: Sequence[str] = ())
             out = []
             for x in b.column(raw).to_pylist():
                 r = json.loads(x.lstrip("﻿"))
-                out.append(json.dumps({k: v for k, v in r.items() if k not in own}, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+                out.append(_canonical({k: v for k, v in r.items() if k not in own}))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "payload"])
 
     from pyspark.sql.types import StringType, StructField, StructType
@@ -121,5 +164,15 @@ def outcomes(forecasts: DataFrame, weekly: DataFrame, k: Sequence[str], threshol
     return out.withColumn("correct", (F.col("p") >= cut) == F.col("was_elevated")).drop("_sum")
 
 
+def without_outcome(scored: DataFrame, recorded: DataFrame, k: Sequence[str]) -> DataFrame:
+    """The forecasts that have no outcome yet; those that do are refused a second one."""
+    return scored.join(recorded.select(*k).distinct(), list(k), "left_anti")
+
+
+def by_study(records: DataFrame, study: str, own: str) -> DataFrame:
+    """Adds accepted: whether a record is of the study that is read; records of others, or of none, are rejected."""
+    return records.withColumn("accepted", F.coalesce(F.col(study) == own, F.lit(False)))
+
+
 def refusals(requests: DataFrame, by: Sequence[str]) -> DataFrame:
     return requests.groupBy(*by, F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))

@@ -63,9 +63,13 @@ def category(spark, d):
     return cl.scored(line_list(spark, d)).select("id", "pct", "category")
 
 
-@query("cln_actions", with_("line_list", "SELECT id, category, CASE category " + " ".join(f"WHEN '{c}' THEN '{v[0]}'" for c, v in cl.CATEGORIES.items()) + " END AS label, category IN ('high', 'very_high') AS isolate FROM cat", **_SCORED))
+def _by_category(text) -> str:
+    return "CASE category " + " ".join(f"WHEN '{c}' THEN '{text(c)}'" for c in cl.CATEGORIES) + " END"
+
+
+@query("cln_actions", with_("line_list", f"SELECT id, category, {_by_category(lambda c: cl.CATEGORIES[c][0])} AS label, {_by_category(lambda c: cl.CATEGORIES[c][1])} AS color, category IN ('high', 'very_high') AS isolate, {_by_category(lambda c: cl.ADVICE[c][0])} AS recommendation, {_by_category(lambda c: ' | '.join(cl.ADVICE[c][1]))} AS actions FROM cat", **_SCORED))
 def actions(spark, d):
-    return cl.actions(cl.scored(line_list(spark, d))).select("id", "category", "label", "isolate")
+    return cl.actions(cl.scored(line_list(spark, d))).select("id", "category", "label", "color", "isolate", "recommendation", F.array_join("actions", " | ").alias("actions"))
 
 
 _ACTIVE = " UNION ALL ".join(f"SELECT id, {abs(w)} AS o, {i} AS i, '{n}' AS key FROM flagged WHERE fever AND f_{n}" for i, (n, w) in enumerate(cl.WEIGHTS.items()))

@@ -110,12 +110,17 @@ def state_rank(spark, d):
     return cur.place_rank(_patients(spark, d), "c_nationkey", "day")
 
 
-_WEATHER = "SELECT event_type AS k, CAST(isoyear(ts) AS INTEGER) AS epi_year, CAST(week(ts) AS INTEGER) AS epi_week, round(avg(value), 6) AS mean_value, round(sum(value), 4) AS sum_value, max(value) AS max_value, count(DISTINCT CAST(ts AS DATE)) AS obs_days FROM events GROUP BY 1, 2, 3"
+_DAILY = "SELECT event_type AS k, CAST(ts AS DATE) AS day, avg(value) AS temperature, max(value) AS humidity, sum(value) AS rain, min(value) AS dew_point, max(value) - min(value) AS wind FROM events GROUP BY 1, 2"
+_WEATHER = f"SELECT k, CAST(isoyear(day) AS INTEGER) AS epi_year, CAST(week(day) AS INTEGER) AS epi_week, round(avg(temperature), 6) AS temperature, round(avg(humidity), 6) AS humidity, round(sum(rain), 4) AS rain, round(avg(dew_point), 6) AS dew_point, round(max(wind), 6) AS wind, count(DISTINCT day) AS obs_days FROM ({_DAILY}) GROUP BY 1, 2, 3"
 
 
 def _weather(spark, d):
-    rows = cur.weather_weekly(read(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value"), "event_type", "ts", "value")
-    return rows.withColumns({"mean_value": F.round("mean_value", 6), "sum_value": F.round("sum_value", 4)})
+    """Five measures a day and event type, by week."""
+    days = read(spark, d, "events").groupBy(F.col("event_type"), F.to_date("ts").alias("day")).agg(
+        F.avg("value").alias("temperature"), F.max("value").alias("humidity"), F.sum("value").alias("rain"), F.min("value").alias("dew_point"), (F.max("value") - F.min("value")).alias("wind")
+    )
+    rows = cur.weather_weekly(days, "event_type", "day")
+    return rows.withColumns({c: F.round(c, 4 if c == "rain" else 6) for c in ("temperature", "humidity", "rain", "dew_point", "wind")})
 
 
 @query("cur_weather_weekly", _WEATHER)
@@ -123,13 +128,14 @@ def weather_weekly(spark, d):
     return _weather(spark, d)
 
 
-@query("cur_outer_merge", f"""WITH w AS ({_WEATHER}), c AS (SELECT event_type AS k, CAST(isoyear(ts) AS INTEGER) AS epi_year, CAST(week(ts) AS INTEGER) AS epi_week, count(*) AS cases FROM events WHERE user_id % 7 = 0 AND day(ts) < 20 GROUP BY 1, 2, 3)
-    SELECT coalesce(c.k, w.k) AS k, coalesce(c.epi_year, w.epi_year) AS epi_year, coalesce(c.epi_week, w.epi_week) AS epi_week, cases, mean_value, c.k IS NOT NULL AS has_cases, w.k IS NOT NULL AS has_weather
-    FROM c FULL JOIN (SELECT * FROM w WHERE epi_week > 1) w ON c.k = w.k AND c.epi_year = w.epi_year AND c.epi_week = w.epi_week""")
+@query("cur_outer_merge", f"""WITH w AS ({_WEATHER}), c AS (SELECT event_type AS k, CAST(isoyear(ts + INTERVAL 7 DAY) AS INTEGER) AS epi_year, CAST(week(ts + INTERVAL 7 DAY) AS INTEGER) AS epi_week, count(*) AS cases FROM events GROUP BY 1, 2, 3)
+    SELECT coalesce(c.k, w.k) AS k, coalesce(c.epi_year, w.epi_year) AS epi_year, coalesce(c.epi_week, w.epi_week) AS epi_week, cases, temperature, c.k IS NOT NULL AS has_cases, w.k IS NOT NULL AS has_weather
+    FROM c FULL JOIN w ON c.k = w.k AND c.epi_year = w.epi_year AND c.epi_week = w.epi_week""")
 def outer_merge(spark, d):
-    rows = read(spark, d, "events").where("user_id % 7 = 0").withColumn("ts", F.col("ts").cast("timestamp")).where("day(ts) < 20")
-    cases = rows.groupBy(F.col("event_type").alias("k"), cal.iso_year("ts").alias("epi_year"), cal.iso_week("ts").alias("epi_week")).agg(F.count("*").alias("cases"))
-    return cur.outer_merge(cases, _weather(spark, d).where("epi_week > 1").select("k", *WEEK, "mean_value"), K)
+    """All events as cases, reported a week after the weather they met: the first and last weeks have one side only."""
+    told = read(spark, d, "events").select(F.col("event_type").alias("k"), F.date_add(F.to_date("ts"), 7).alias("day"))
+    cases = told.groupBy("k", cal.iso_year("day").alias("epi_year"), cal.iso_week("day").alias("epi_week")).agg(F.count("*").alias("cases"))
+    return cur.outer_merge(cases, _weather(spark, d).select("k", *WEEK, "temperature"), K)
 
 
 @query("cur_missing_weeks", with_("panel_nation", f"""SELECT s.k, CAST(isoyear(s.day) AS INTEGER) AS epi_year, CAST(week(s.day) AS INTEGER) AS epi_week FROM spine s WHERE NOT EXISTS (SELECT 1 FROM days d WHERE d.k = s.k AND d.day = s.day)""",

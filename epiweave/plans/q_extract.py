@@ -15,10 +15,8 @@ CTES["texts"] = (
     (k + 3) || ' States have recorded cases. Ondo reported ' || (epi_week % 50) || '% and Edo ' || (k + 10) || '%.' || chr(10) || 'In week ' || epi_week || ', cases from ' || cum_probable || ' reported in epi week ' || (epi_week - 1) || ' of ' || epi_year || ' to ' || cum_confirmed || '.' AS text FROM reports""",
     ("reports",),
 )
-_H = r"(?i)Epi\s*Week[:\s]*(\d{1,2})\s*(20\d{2}|19\d{2})"
-_C = r"Cumulative\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s*%"
-_S = r"([A-Z][a-z]+)\s+reported\s+(\d+)%|([A-Z][a-z]+)\s+(\d+)%"
-_N = r"In week (\d+), .*? from (\d+) reported in epi week (\d+) of (\d{4}) to (\d+)"
+_YEARS = r"20\d{2}|19\d{2}"  # the given tables are of the nineties
+_H, _C, _S, _N = ex.header_pattern(_YEARS), ex.CUMULATIVE, ex.SHARE, ex.NARRATIVE
 
 
 def _n(pattern: str, g: int) -> str:
@@ -31,15 +29,15 @@ def _all(g: int, at: int, kind: str = "INTEGER") -> str:
 
 @query("ext_header", with_("texts", f"SELECT id, {_n(_H, 2)} AS year, {_n(_H, 1)} AS week FROM texts"))
 def header(spark, d):
-    return report_text(spark, d).select("id", *(c.alias(n) for n, c in ex.header().items()))
+    return report_text(spark, d).select("id", *(c.alias(n) for n, c in ex.header(years=_YEARS).items()))
 
 
 @query("ext_cumulative", with_("texts", f"SELECT id, {_n(_H, 2)} AS year, {_n(_H, 1)} AS week, {_all(1, 1)} AS cum_suspected, {_all(2, 1)} AS cum_confirmed, {_all(3, 1)} AS cum_probable, {_all(4, 1)} AS cum_deaths, {_all(5, 1, 'DOUBLE')} AS cfr, {_all(2, 2)} AS prior_confirmed, {_all(4, 2)} AS prior_deaths FROM texts"))
 def cumulative(spark, d):
-    return report_text(spark, d).select("id", *(c.alias(n) for n, c in (ex.header() | ex.cumulative()).items()))
+    return report_text(spark, d).select("id", *(c.alias(n) for n, c in (ex.header(years=_YEARS) | ex.cumulative()).items()))
 
 
-@query("ext_states_affected", with_("texts", r"SELECT id, TRY_CAST(regexp_extract(text, '(?i)(\d+)\s+States?\s+have\s+recorded', 1) AS INTEGER) AS n FROM texts"))
+@query("ext_states_affected", with_("texts", f"SELECT id, TRY_CAST(regexp_extract(text, '{ex.STATES}', 1) AS INTEGER) AS n FROM texts"))
 def states_affected(spark, d):
     return report_text(spark, d).select("id", ex.states_affected().alias("n"))
 
@@ -56,15 +54,21 @@ def narrative(spark, d):
 
 @query("ext_parse_quality", with_("texts", f"SELECT count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed FROM (SELECT {_n(_H, 1)} IS NOT NULL AND {_all(2, 1)} IS NOT NULL AS ok FROM texts)"))
 def parse_quality(spark, d):
-    ok = ex.header()["week"].isNotNull() & ex.cumulative()["cum_confirmed"].isNotNull()
+    ok = ex.header(years=_YEARS)["week"].isNotNull() & ex.cumulative()["cum_confirmed"].isNotNull()
     return report_text(spark, d).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
 
 
-@query("ext_links", r"""WITH e AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages)),
-    f AS (SELECT page_id, href, min(pos) AS pos FROM e GROUP BY 1, 2)
+_PDF = r"""CASE page_id % 3 WHEN 0 THEN regexp_replace(html, 'href="(/[^"]*)"', 'HREF=' || chr(39) || '\1.PDF' || chr(39), 'g') WHEN 1 THEN regexp_replace(html, 'href="(/[^" ]*)"', 'href = \1.pdf', 'g') ELSE html END"""
+
+
+@query("ext_links", f"""WITH p AS (SELECT page_id, {_PDF} AS html FROM pages), e AS (SELECT page_id, coalesce(unnest(a), '') || coalesce(unnest(b), '') || coalesce(unnest(c), '') AS href, generate_subscripts(a, 1) AS pos FROM
+    (SELECT page_id, {', '.join("regexp_extract_all(html, '" + ex.HREF.replace("'", "''") + f"', {g}) AS {n}" for g, n in ((1, 'a'), (2, 'b'), (3, 'c')))} FROM p)),
+    f AS (SELECT page_id, href, min(pos) AS pos FROM e WHERE lower(href) LIKE '%.pdf' GROUP BY 1, 2)
     SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS ord, CASE WHEN href LIKE 'http%' THEN href ELSE 'https://archive.example' || href END AS href FROM f""")
 def links(spark, d):
-    return ex.links(read(spark, d, "pages").select("page_id", "html"), base="https://archive.example")
+    """Links to reports; in two of three pages the links are turned into such, in single quotes or bare."""
+    forms = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", 'href="(/[^"]*)"', "HREF='$1.PDF'")).when(F.col("page_id") % 3 == 1, F.regexp_replace("html", 'href="(/[^" ]*)"', "href = $1.pdf")).otherwise(F.col("html"))
+    return ex.links(read(spark, d, "pages").select("page_id", forms.alias("html")), suffix=".pdf", base="https://archive.example")
 
 
 @query("src_report_pages", "SELECT page_id, url, length(html) AS n_chars FROM pages")

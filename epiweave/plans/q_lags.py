@@ -92,17 +92,24 @@ def scenarios(spark, d):
     return lg.scenarios(weekly(spark, d).select(*WEEK).distinct(), _SCENARIOS, lead=2)
 
 
-_REQ = f"SELECT k, epi_year, CASE WHEN {_B} % 19 = 0 THEN 54 ELSE epi_week END AS epi_week, strftime(published, '%Y-%m-%d') || 'T10:00:00' || CASE WHEN {_B} % 7 = 0 THEN '' ELSE 'Z' END AS issued_at, published, {_B} AS b FROM weekly"
+_KIND = "CASE WHEN b % 7 = 0 THEN 'naive' WHEN b % 29 = 1 THEN 'none' WHEN b % 31 = 2 THEN 'rubbish' WHEN b % 5 = 0 THEN 'east' ELSE 'utc' END"
+_REQ = {
+    "base": f"SELECT k, epi_year, CASE WHEN b % 19 = 0 THEN 54 ELSE epi_week END AS epi_week, published, {_KIND} AS kind, b FROM (SELECT *, {_B} AS b FROM weekly)",
+    # minute: the instant in UTC, as the day's minutes
+    "req": """SELECT k, epi_year, epi_week, published, CASE kind WHEN 'naive' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00' WHEN 'rubbish' THEN 'rubbishZ' WHEN 'east' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00+05:00' WHEN 'utc' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00Z' END AS issued_at,
+        CASE kind WHEN 'east' THEN 300 WHEN 'utc' THEN 600 END AS minute, kind FROM base UNION ALL SELECT k, epi_year, epi_week, published, strftime(published, '%Y-%m-%d') || 'T12:00:00+05:00', 420, 'again' FROM base WHERE b % 23 = 0""",
+}
 
 
-@query("elig_guard", with_("weekly", f"""SELECT k, epi_year, epi_week, issued_at, CASE WHEN issued_at NOT LIKE '%Z' THEN 'naive_timestamp_rejected' WHEN epi_week > week(make_date(epi_year, 12, 28)) THEN 'malformed_source_week'
-    WHEN row_number() OVER (PARTITION BY k, epi_year, epi_week ORDER BY issued_at) > 1 THEN 'duplicate_data_through_week' WHEN published >= {MONDAY} + 28 THEN 'target_already_started' END AS reason
-    FROM (SELECT * FROM req UNION ALL SELECT k, epi_year, epi_week, strftime(published + 1, '%Y-%m-%d') || 'T10:00:00Z', published + 1, b FROM req WHERE b % 23 = 0)""", req=_REQ))
+@query("elig_guard", with_("weekly", f"""SELECT k, epi_year, epi_week, issued_at, CASE WHEN kind IN ('none', 'rubbish') THEN 'malformed_timestamp' WHEN kind = 'naive' THEN 'naive_timestamp_rejected' WHEN epi_week > week(make_date(epi_year, 12, 28)) THEN 'malformed_source_week'
+    WHEN row_number() OVER (PARTITION BY k, epi_year, epi_week ORDER BY minute IS NULL, published, minute) > 1 THEN 'duplicate_data_through_week' WHEN published >= {MONDAY} + 28 THEN 'target_already_started' END AS reason FROM req""", **_REQ))
 def guard(spark, d):
-    w = weekly(spark, d).withColumn("b", _b())
-    stamp = lambda day, z: F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00:00"), z)
-    req = w.withColumn("issued_at", stamp("published", F.when(F.col("b") % 7 == 0, "").otherwise("Z"))).withColumn("epi_week", F.when(F.col("b") % 19 == 0, 54).otherwise(F.col("epi_week")))
-    again = req.where("b % 23 = 0").withColumn("issued_at", stamp(F.date_add("published", 1), F.lit("Z")))
+    day = F.date_format("published", "yyyy-MM-dd")
+    b = F.col("b")
+    kind = F.when(b % 7 == 0, F.concat(day, F.lit("T10:00:00"))).when(b % 29 == 1, F.lit(None)).when(b % 31 == 2, F.lit("rubbishZ"))
+    stamp = kind.when(b % 5 == 0, F.concat(day, F.lit("T10:00:00+05:00"))).otherwise(F.concat(day, F.lit("T10:00:00Z")))
+    req = weekly(spark, d).withColumn("b", _b()).withColumns({"issued_at": stamp, "epi_week": F.when(b % 19 == 0, 54).otherwise(F.col("epi_week"))})
+    again = req.where("b % 23 = 0").withColumn("issued_at", F.concat(day, F.lit("T12:00:00+05:00")))
     c = ["k", *WEEK, "issued_at"]
     return lg.guard(req.select(*c).union(again.select(*c)), K, lead=4)
 

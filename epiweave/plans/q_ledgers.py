@@ -48,6 +48,33 @@ def verify(spark, d):
     return led.verify(tampered(spark, d))
 
 
+
+
+def _json_sql(prev: str, r: str = "") -> str:
+    """A record's canonical JSON without its own hash."""
+    return f"""'{{"chars":' || {r}n || ',"previous_sha256":' || {prev} || ',"role":"' || {r}role || '","turn":' || {r}seq || '}}'"""
+
+
+_JRANKED = "SELECT conv_id AS chain, turn + 1 AS seq, role, length(text) AS n FROM conversations"
+_PREV = """'"' || c.hash || '"'"""
+_JCHAINED = f"""SELECT chain, seq, role, n, CAST(NULL AS VARCHAR) AS prev, sha256({_json_sql("'null'")}) AS hash FROM jranked WHERE seq = 1
+    UNION ALL SELECT r.chain, r.seq, r.role, r.n, c.hash, sha256({_json_sql(_PREV, "r.")}) FROM jchained c JOIN jranked r ON r.chain = c.chain AND r.seq = c.seq + 1"""
+_JB = sql_bucket("'json'", "CAST(chain AS VARCHAR)", "CAST(seq AS VARCHAR)")
+
+
+@query("led_verify_json", "WITH RECURSIVE jranked AS (" + _JRANKED + "), jchained AS (" + _JCHAINED + f"""), jt AS (SELECT *, {_JB} AS b FROM jchained WHERE {_JB} % 37 <> 2)
+    SELECT chain, count(*) AS records, min(seq) FILTER (WHERE reason IS NOT NULL) AS first_bad_seq, arg_min(reason, seq) FILTER (WHERE reason IS NOT NULL) AS reason FROM (
+    SELECT *, CASE WHEN row_number() OVER w <> seq THEN 'sequence' WHEN prev IS DISTINCT FROM lag(hash) OVER w THEN 'broken link' WHEN b % 29 = 0 THEN 'altered record' END AS reason FROM jt WINDOW w AS (PARTITION BY chain ORDER BY seq)) GROUP BY chain""")
+def verify_json(spark, d):
+    """A ledger of JSON lines with embedded hashes and null at the start; some lines are lost, some altered."""
+    text = F.coalesce(F.length("text"), F.lit(0))
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("chain"), (F.col("turn") + 1).alias("seq"), F.to_json(F.struct((F.col("turn") + 1).alias("turn"), "role", text.alias("chars"))).alias("payload"))
+    b = bucket(F.lit("json"), F.col("chain").cast("string"), F.col("seq").cast("string"))
+    lines = led.chain_json(rows, "record_sha256", "previous_sha256").withColumn("b", b).where("b % 37 <> 2")
+    lines = lines.withColumn("raw", F.when(F.col("b") % 29 == 0, F.regexp_replace("raw", '"chars":', '"chars":9')).otherwise(F.col("raw"))).drop("b")
+    return led.verify_json(lines, "record_sha256", "previous_sha256")
+
+
 @query("led_sequence", _recursive("SELECT chain, min(e) AS first_gap, count(*) AS n_bad FROM (SELECT chain, seq, row_number() OVER (PARTITION BY chain ORDER BY seq) AS e FROM tampered) WHERE seq <> e GROUP BY chain", tampered=_TAMPERED))
 def sequence(spark, d):
     return led.sequence_gaps(tampered(spark, d))
@@ -107,7 +134,7 @@ def source_snapshot(spark, d):
 @query("led_outcome_dup", with_("panel", "SELECT k, epi_year, epi_week, burden FROM oc WHERE n_found = 4 AND epi_year >= 1999", **_OUT))
 def outcome_dup(spark, d):
     rows = _outcomes(spark, d).where("n_found = 4").select("k", *WEEK, "burden")
-    return rows.join(rows.where("epi_year < 1999").select("k", *WEEK), ["k", *WEEK], "left_anti")
+    return led.without_outcome(rows, rows.where("epi_year < 1999"), ["k", *WEEK])
 
 
 @query("led_scoreable", with_("panel", "SELECT k, epi_year, epi_week, round(p, 6) AS p, burden FROM oc WHERE n_found = 4 AND epi_year * 100 + epi_week BETWEEN 199845 AND 199917", **_OUT))
@@ -124,18 +151,18 @@ def refusals(spark, d):
     return led.refusals(guarded(spark, d), K)
 
 
-@query("led_contract_check", with_("panel", f"SELECT k, epi_year, epi_week, concat_ws(',', CASE WHEN version <> 'v1' THEN 'model_version' END, CASE WHEN threshold <> 32 THEN 'threshold' END, CASE WHEN horizon <> 4 THEN 'horizon' END, CASE WHEN p IS NULL THEN 'probability' END) AS violations FROM (SELECT k, epi_year, epi_week, CASE WHEN {_P} % 17 = 0 THEN 'v2' ELSE 'v1' END AS version, CASE WHEN {_P} % 19 = 0 THEN 33 ELSE 32 END AS threshold, CASE WHEN {_P} % 23 = 0 THEN 5 ELSE 4 END AS horizon, CASE WHEN {_P} % 13 > 0 THEN {_PROB} END AS p FROM panel)"))
+@query("led_contract_check", with_("panel", f"SELECT k, epi_year, epi_week, concat_ws(',', CASE WHEN version <> 'v1' THEN 'model_version' END, CASE WHEN threshold <> 32 THEN 'threshold' END, CASE WHEN horizon <> 4 THEN 'horizon' END, CASE WHEN missing THEN 'comparators' END, CASE WHEN p IS NULL THEN 'probability' END) AS violations FROM (SELECT k, epi_year, epi_week, CASE WHEN {_P} % 17 = 0 THEN 'v2' ELSE 'v1' END AS version, CASE WHEN {_P} % 19 = 0 THEN 33 ELSE 32 END AS threshold, CASE WHEN {_P} % 23 = 0 THEN 5 ELSE 4 END AS horizon, CASE WHEN {_P} % 13 > 0 THEN {_PROB} END AS p, {_P} % 29 = 0 AS missing FROM panel)"))
 def contract_check(spark, d):
-    b = _b()
-    rec = panel(spark, d).select("k", *WEEK, F.when(b % 17 == 0, "v2").otherwise("v1").alias("version"), F.when(b % 19 == 0, 33).otherwise(32).alias("threshold"), F.when(b % 23 == 0, 5).otherwise(4).alias("horizon"), F.when(b % 13 > 0, F.col("confirmed") / (F.col("confirmed") + 8)).alias("p"))
-    rules = {"model_version": F.col("version") == "v1", "threshold": F.col("threshold") == 32, "horizon": F.col("horizon") == 4, "probability": F.col("p").isNotNull()}
+    b, names = _b(), F.array(*map(F.lit, ("recent4", "lag1", "seasonal", "seasonal_persist")))
+    rec = panel(spark, d).select("k", *WEEK, F.when(b % 17 == 0, "v2").otherwise("v1").alias("version"), F.when(b % 19 == 0, 33).otherwise(32).alias("threshold"), F.when(b % 23 == 0, 5).otherwise(4).alias("horizon"), F.when(b % 13 > 0, F.col("confirmed") / (F.col("confirmed") + 8)).alias("p"), F.when(b % 29 == 0, F.slice(names, 1, 3)).otherwise(names).alias("names"))
+    rules = {"model_version": F.col("version") == "v1", "threshold": F.col("threshold") == 32, "horizon": F.col("horizon") == 4, "comparators": F.array_sort("names") == F.array_sort(names), "probability": F.col("p").isNotNull()}
     return led.contract_violations(rec, rules).select("k", *WEEK, "violations")
 
 
-@query("led_study_filter", "SELECT user_id, event_type AS study, count(*) AS rejected FROM events WHERE event_type <> 'click' GROUP BY 1, 2")
+@query("led_study_filter", "SELECT user_id, event_type AS study, event_type = 'click' AS accepted, count(*) AS n FROM events GROUP BY 1, 2")
 def study_filter(spark, d):
-    rows = read(spark, d, "events").where("event_type <> 'click'")
-    return rows.groupBy("user_id", F.col("event_type").alias("study")).agg(F.count("*").alias("rejected"))
+    rows = read(spark, d, "events").select("user_id", F.col("event_type").alias("study"))
+    return led.by_study(rows, "study", "click").groupBy("user_id", "study", "accepted").agg(F.count("*").alias("n"))
 
 
 @query("led_no_outcome_leak", "SELECT event_id, CASE WHEN props LIKE '%\"k\"%' THEN 'k' ELSE '' END AS leaked FROM events")

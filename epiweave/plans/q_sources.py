@@ -27,12 +27,12 @@ def series(spark, d):
     return files.read_series(spark, path, "k int, epi_year int, epi_week int, confirmed long")
 
 
-@query("src_state_sitrep", with_("panel_nation", "SELECT epi_year, epi_week, count(*) AS n_states FROM panel_nation WHERE epi_year = 1999 GROUP BY 1, 2 HAVING count(*) <> 25"))
+@query("src_state_sitrep", with_("panel_nation", "SELECT epi_year, epi_week, count(*) AS n_states FROM panel_nation GROUP BY 1, 2 HAVING count(*) <> 25"))
 def sitrep(spark, d):
     path = shared_dir(spark, "sitreps")
-    rows = panel(spark, d, "n_nationkey").where("epi_year = 1999")
+    rows = panel(spark, d, "n_nationkey")
     key = F.format_string("%d-W%02d", *WEEK)
-    rows.select(F.col("k").cast("string").alias("state"), F.col("confirmed").cast("int").alias("confirmed_cases"), F.lit(0).alias("deaths"), key.alias("week")).write.partitionBy("week").csv(path, header=True)
+    rows.select(F.col("k").cast("string").alias("state"), F.col("confirmed").cast("int").alias("confirmed_cases"), F.lit(0).alias("deaths"), key.alias("week")).repartition("week").write.partitionBy("week").csv(path, header=True)
     return files.read_sitreps(spark, f"{path}/*", expected=25)[1]
 
 
@@ -52,21 +52,34 @@ def json_doc(spark, d):
     return files.read_json_array(spark, path, "forecasts", "forecasts array<struct<k: int, epi_year: int, epi_week: int, confirmed: bigint>>")
 
 
-@query("src_files_binary")
+_LINES = "SELECT epi_year, string_agg(line, chr(10) ORDER BY line) || chr(10) AS content FROM (SELECT epi_year, concat_ws(',', CAST(k AS VARCHAR), CAST(epi_year AS VARCHAR), CAST(epi_week AS VARCHAR), CAST(confirmed AS VARCHAR)) AS line FROM panel) GROUP BY 1"
+
+
+def _lines(spark, d):
+    return panel(spark, d).select("epi_year", F.concat_ws(",", *(F.col(c).cast("string") for c in ("k", *WEEK, "confirmed"))).alias("line"))
+
+
+def _year_files(spark, d, name):
+    """A text file a year, its lines in order; (epi_year, sha256, length) of the files."""
+    path = shared_dir(spark, name)
+    _lines(spark, d).repartition("epi_year").sortWithinPartitions("epi_year", "line").write.partitionBy("epi_year").text(path)
+    return files.file_hashes(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", r"epi_year=(\d+)", 1).cast("int").alias("epi_year"), "sha256", "length")
+
+
+@query("src_files_binary", with_("panel", "SELECT epi_year, sha256(content) AS sha256, length(content) AS length FROM f", f=_LINES))
 def files_binary(spark, d):
-    path = shared_dir(spark, "binary")
-    panel(spark, d).select(F.col("epi_year"), F.concat_ws(",", *(F.col(c).cast("string") for c in ("k", *WEEK, "confirmed"))).alias("line")).write.partitionBy("epi_year").text(path)
-    hashes = files.file_hashes(spark, f"{path}/*/*.txt")
-    return hashes.select(F.length("sha256").alias("digits"), "length")
+    return _year_files(spark, d, "binary")
 
 
-@query("led_manifest_drift")
+@query("led_manifest_drift", with_("panel", "SELECT 'year-' || epi_year AS name, 'drifted' AS status FROM f WHERE epi_year % 2 = 0 UNION ALL SELECT 'year-0', 'missing'", f=_LINES))
 def manifest_drift(spark, d):
-    path = shared_dir(spark, "manifest")
-    panel(spark, d).select(F.col("k"), F.concat_ws(",", *(F.col(c).cast("string") for c in WEEK)).alias("line")).write.partitionBy("k").text(path)
-    now = files.file_hashes(spark, f"{path}/*/*.txt")
-    manifest = now.select("name", F.when(F.col("length") % 2 == 0, F.col("sha256")).otherwise(F.lit("0")).alias("sha256")).unionByName(spark.range(1).select(F.lit("gone.txt").alias("name"), F.lit("0").alias("sha256")))
-    return led.manifest_drift(now, manifest)
+    """The files against a manifest of hashes made from the table: those of even years are stale, and one file is gone."""
+    now = _year_files(spark, d, "manifest").select(F.concat(F.lit("year-"), F.col("epi_year")).alias("name"), "sha256")
+    listed = _lines(spark, d).groupBy("epi_year").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    content = F.concat(F.array_join("lines", "\n"), F.when(F.col("epi_year") % 2 == 0, "stale").otherwise("\n"))
+    manifest = listed.select(F.concat(F.lit("year-"), F.col("epi_year")).alias("name"), F.sha2(content, 256).alias("sha256"))
+    gone = spark.range(1).select(F.lit("year-0").alias("name"), F.lit("0").alias("sha256"))
+    return led.manifest_drift(now, manifest.unionByName(gone))
 
 
 @query("snk_series_append", with_("panel", "SELECT epi_year, count(*) AS n FROM panel GROUP BY 1"))

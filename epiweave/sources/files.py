@@ -41,8 +41,9 @@ def read_json_array(spark: SparkSession, path: str, field: str, schema: str) ->
 
 
 def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
+    """(name, sha256, length, path) of whole files."""
     rows = spark.read.format("binaryFile").load(glob)
-    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "length", "path")
 
 
 def append_series(existing: DataFrame, new: DataFrame, k: Sequence[str], path: str, apply: bool = False) -> DataFrame:

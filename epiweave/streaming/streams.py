@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epiweave.operators import ledgers as led
@@ -49,34 +49,44 @@ def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], N
 
 
 def split_late(stream: DataFrame, spark: SparkSession, name: str, delay: str) -> DataFrame:
-    """Rows with late: their time is more than `delay` before the latest time of earlier batches; counted, not merged."""
-    out = shared_dir(spark, name)
-    seen: list = []
+    """Rows with late: their time is more than `delay` before the latest time of earlier batches; counted, not merged.
+
+    The latest time of each batch is kept beside the rows, in a folder that a repeated batch replaces, so a
+    restarted stream goes on where it stopped.
+    """
+    out, tops = shared_dir(spark, name), shared_dir(spark, f"{name}-latest")
 
     def each(batch: DataFrame, number: int) -> None:
-        late = F.col("ts") < F.lit(seen[-1]).cast("timestamp") - F.expr(f"interval {delay}") if seen else F.lit(False)
-        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        top = batch.agg(F.max("ts").cast("string")).first()[0]
-        seen.append(max(filter(None, [top, *seen[-1:]]), default=None))
+        late = F.lit(False)
+        if number:
+            top = spark.read.schema("latest timestamp, batch int").parquet(tops).where(F.col("batch") < number).agg(F.max("latest").alias("top"))
+            batch = batch.crossJoin(F.broadcast(top))  # one row
+            late = F.coalesce(F.col("ts") < F.col("top") - F.expr(f"interval {delay}"), F.lit(False))
+        batch.withColumn("late", late).drop("top").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{tops}/batch={number}")
 
     run_batches(stream, name, each)
     return spark.read.parquet(out)
 
 
 def append_once(stream: DataFrame, spark: SparkSession, name: str, k: Sequence[str]) -> DataFrame:
-    """One record a key over all batches: later ones with the same hash are skipped, others listed as conflicts.
+    """One record a key over all batches: later ones with the same hash are skipped, those with another are conflicts.
 
-    A batch is written to its own folder and replaced as a whole when it is repeated: exactly once.
+    Within a batch the record with the smallest hash stands for its key and the others are conflicts; equal
+    records count once. A batch is written to its own folder and replaced as a whole when it is repeated:
+    exactly once.
     """
     out = shared_dir(spark, name)
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(list(k))
+        rows = batch.dropDuplicates([*k, "hash"])
+        first = F.col("hash") == F.min("hash").over(Window.partitionBy(*k))
         if number:
             old = spark.read.parquet(out).where((F.col("batch") < number) & (F.col("action") == "append")).select(*k, "hash")
             rows = led.idempotent(old, rows, k)
         else:
             rows = rows.withColumn("action", F.lit("append"))
+        rows = rows.withColumn("action", F.when((F.col("action") == "append") & ~first, "conflict").otherwise(F.col("action")))
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     run_batches(stream, name, each)
