@@ -6,16 +6,47 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epiweave.sources.shared import stage
+
+
+def running(steps: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """Adds before_<c>: the sum of c over the rows of the group that come before, for groups of any size.
+
+    The rows are dealt out by ranges of group and order, so a single group spreads over all tasks; what lies
+    before a range follows from one row a range and group. order must be unique within a group.
+    """
+    key = F.desc(order) if descending else F.asc(order)
+    ranged = stage(steps.repartitionByRange(*by, key).withColumn("_part", F.spark_partition_id()), "ranges")
+    total = ranged.groupBy(*by, "_part").agg(*(F.sum(c).alias(c) for c in sums))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*by, "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    within = Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*by, "_part"]]
+    marked = total.select(*(F.col(c).alias(f"{c}_") for c in [*by, "_part"]), *(f"_{c}" for c in sums))
+    joined = own.join(marked, reduce(and_, same))
+    return joined.select(*steps.columns, *((F.col(f"before_{c}") + F.col(f"_{c}")).alias(f"before_{c}") for c in sums))
+
+
+def wide_auroc(scored: DataFrame, by: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
+    """As `auroc`, for few groups of very many distinct scores: a group spreads over all tasks."""
+    steps = scored.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    wins = running(steps, by, score, ["_n"]).withColumn("_w", F.col("_p") * (F.col("before__n") + F.col("_n") / 2))
+    return wins.groupBy(*by).agg((F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auroc"), F.sum(F.col("_p") + F.col("_n")).alias("n"), F.sum("_p").alias("positives"))
+
 
 def auroc(scored: DataFrame, by: Sequence[str], score: str = "score", y: str = "y", n: Column | None = None) -> DataFrame:
     """Area under the ROC curve, ties half; null for groups of one class.
 
     Cases are first counted by distinct score (n: how often a row counts), so the window ranks distinct
-    scores, not rows, and repeated scores shrink before the shuffle.
+    scores, not rows, and repeated scores shrink before the shuffle. A group is one task: right for many
+    groups such as replicates; `wide_auroc` is for few large ones.
     """
     times = F.lit(1) if n is None else n
     steps = scored.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, times).otherwise(0)).alias("_p"), F.sum(F.when(F.col(y) == 0, times).otherwise(0)).alias("_n"))
@@ -27,13 +58,13 @@ def auroc(scored: DataFrame, by: Sequence[str], score: str = "score", y: str = "
 
 
 def roc_curve(scored: DataFrame, by: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
-    """One point for each distinct score as threshold, with rates and the area of the trapezoid that ends there."""
-    steps = scored.groupBy(*by, score).agg(F.sum(y).alias("_p"), F.sum(1 - F.col(y)).alias("_n"))
-    w, every = Window.partitionBy(*by).orderBy(F.desc(score)), Window.partitionBy(*by)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.withColumns({"tpr": F.sum("_p").over(run) / F.nullif(F.sum("_p").over(every), F.lit(0)), "fpr": F.sum("_n").over(run) / F.nullif(F.sum("_n").over(every), F.lit(0))})
-    before = [F.coalesce(F.lag(c).over(w), F.lit(0.0)) for c in ("fpr", "tpr")]
-    return out.withColumn("area", (F.col("fpr") - before[0]) * (F.col("tpr") + before[1]) / 2).drop("_p", "_n")
+    """One point for each distinct score as threshold, with rates and the area of the trapezoid that ends there; a group spreads over all tasks."""
+    steps = scored.groupBy(*by, score).agg(F.sum(y).cast("double").alias("_p"), F.sum(1 - F.col(y)).cast("double").alias("_n"))
+    every = scored.groupBy(*by).agg(F.nullif(F.sum(y).cast("double"), F.lit(0.0)).alias("_every_p"), F.nullif(F.sum(1 - F.col(y)).cast("double"), F.lit(0.0)).alias("_every_n"))
+    run = running(steps, by, score, ["_p", "_n"], descending=True).join(every, list(by))
+    tpr, fpr = ((F.col(f"before_{c}") + F.col(c)) / F.col(f"_every{c}") for c in ("_p", "_n"))
+    out = run.withColumns({"tpr": tpr, "fpr": fpr, "_t": F.coalesce(F.col("before__p") / F.col("_every_p"), F.lit(0.0)), "_f": F.coalesce(F.col("before__n") / F.col("_every_n"), F.lit(0.0))})
+    return out.withColumn("area", (F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2).select(*by, score, "tpr", "fpr", "area")
 
 
 def brier(p: str = "prob", y: str = "y") -> Column:
@@ -73,6 +104,17 @@ def ece(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     return curve.groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
+def summary(scored: DataFrame, by: Sequence[str], p: str = "prob", y: str = "y", bins: int = 5) -> DataFrame:
+    """n, rate, AUROC of p, Brier, ECE and log loss of each group; null group values are groups of their own."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_{c}") for c in by]
+    names = [f"_{c}" for c in by]
+    rows = scored.select(*by, *keys, F.col(p).alias("prob"), F.col(y).alias("y"))
+    area = auroc(rows, names, "prob").select(*names, "auroc")
+    error = ece(reliability(rows, names, bins), names)
+    rest = rows.groupBy(*by, *names).agg(F.count("*").alias("n"), F.avg("y").alias("rate"), brier().alias("brier"), log_loss().alias("log_loss"))
+    return rest.join(area, names).join(error, names).select(*by, "n", "rate", "auroc", "brier", "ece", "log_loss")
+
+
 def comparators(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """AUROC of the score, Brier and log loss of the probability, for each group and model."""
     keys = [*by, "model"]

@@ -83,22 +83,28 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: in
     return w
 
 
-def expanding(rows: DataFrame, cutoffs: DataFrame, k: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """By series and cut-off year: a small logistic map fitted on the weeks before the year, scores of that year.
+def expanding(rows: DataFrame, k: Sequence[str], features: Sequence[str], horizon: int = 4, least: int = 20, ridge: float = 1.0) -> DataFrame:
+    """rows(k, epi_year, epi_week, t, y, features) -> (k, epi_year, epi_week, p): each week scored by a map fitted for it.
 
-    A group is the history of one series, some hundred weeks; groups spread over tasks.
+    The fit of week t sees the weeks whose label was known before t: those whose `horizon` ended by then
+    (t - horizon - 1 and earlier). Weeks with fewer than `least` of them, or of one class, get the positive rate so far,
+    null if there is none. A group is one series, some hundred weeks; groups spread over tasks.
     """
-    long = rows.join(F.broadcast(cutoffs), F.col("epi_year") <= F.col("cutoff")).select(*k, "cutoff", *WEEK, "y", *(F.col(f).cast("double") for f in features))
+    long = rows.select(*k, *WEEK, "t", "y", *(F.col(f).cast("double") for f in features))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in k)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        past, now = g[g.epi_year < g.cutoff], g[g.epi_year == g.cutoff].copy()
-        past = past[past.y.notna()]
-        if len(past) and past.y.nunique() == 2 and len(now):
-            w = newton_logistic(past[list(features)].to_numpy(float), past.y.to_numpy(float))
-            now["p"] = 1 / (1 + np.exp(-(w[0] + now[list(features)].to_numpy(float) @ w[1:])))
-        else:
-            now["p"] = float(past.y.mean()) if len(past) else float("nan")
-        return now[[*k, "cutoff", *WEEK, "p"]]
-
-    return long.groupBy(*k, "cutoff").applyInPandas(fit, f"{kinds}, cutoff int, epi_year int, epi_week int, p double")
+        g = g.sort_values("t")
+        t, y, x = g.t.to_numpy(), g.y.to_numpy(float), g[list(features)].to_numpy(float)
+        p = np.full(len(g), np.nan)
+        for i in range(len(g)):
+            past = (t < t[i] - horizon) & ~np.isnan(y)
+            if past.sum() >= least and 0 < y[past].mean() < 1:
+                w = newton_logistic(x[past], y[past], ridge)
+                p[i] = 1 / (1 + np.exp(-(w[0] + x[i] @ w[1:])))
+            elif past.any():
+                p[i] = y[past].mean()
+        return g[[*k, *WEEK]].assign(p=p)
+
+    out = long.groupBy(*k).applyInPandas(fit, f"{kinds}, epi_year int, epi_week int, p double")
+    return out.withColumn("p", F.when(~F.isnan("p"), F.col("p")))

@@ -70,19 +70,29 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(ident.alias("id"), text.alias("text"))
 
 
+#: model -> (score, constant of the probability score / (score + constant)), as Spark and DuckDB SQL: stand-ins for the fitted maps.
+_WAVE = "round(10 + 3 * cos(2 * pi() * (epi_week - 1) / 52) + 2 * sin(2 * pi() * (epi_week - 1) / 52), 6)"
+SCORES = {"model": ("2 * roll4 + lag1", "24.0"), "recent4": ("roll4", "8.0"), "lag1": ("lag1", "8.0"), "seasonal": (_WAVE, "9.0"), "seasonal_persist": (f"round(0.5 * roll4 + 0.5 * {_WAVE} + 0.1 * lag1, 6)", "9.5")}
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form (k, t, week, model, score, prob, y): three models' scores of the weeks with a full horizon."""
+    """Long form (k, t, week, model, score, prob, y): the scores of the model and its four comparators for the weeks with a full horizon."""
     w = Window.partitionBy("k").orderBy(*WEEK)
     p = panel(spark, sf_dir).select(
         "k", *WEEK, F.row_number().over(w).alias("t"), F.coalesce(F.lag("confirmed").over(w), F.lit(0)).alias("lag1"), F.coalesce(F.avg("confirmed").over(w.rowsBetween(-4, -1)), F.lit(0.0)).alias("roll4"),
         F.sum("confirmed").over(w.rowsBetween(1, 4)).alias("f4"), F.count("*").over(w.rowsBetween(1, 4)).alias("n4"),
     )
     p = p.where("n4 = 4 and t > 8").withColumn("y", (F.col("f4") > 34).cast("int"))
-    long = [
-        p.select("k", "t", *WEEK, F.lit(m).alias("model"), F.lit(o).alias("ord"), s.cast("double").alias("score"), (s / (s + c)).cast("double").alias("prob"), "y")
-        for o, (m, s, c) in enumerate((("model", 2 * F.col("roll4") + F.col("lag1"), 24.0), ("recent4", F.col("roll4"), 8.0), ("lag1", F.col("lag1").cast("double"), 8.0)))
-    ]
-    return long[0].union(long[1]).union(long[2])
+    made = ", ".join(f"'{m}', {o}, cast({s} as double), cast(({s}) / (({s}) + {c}) as double)" for o, (m, (s, c)) in enumerate(SCORES.items()))
+    return p.select("k", "t", *WEEK, "y", F.expr(f"stack({len(SCORES)}, {made}) as (model, ord, score, prob)"))
+
+
+def zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation panel with every week from a nation's first to its last: (k, epi_year, epi_week, confirmed), 0 where nothing was reported."""
+    p = panel(spark, sf_dir, "n_nationkey").withColumn("day", cal.monday(*WEEK))
+    spine = p.groupBy("k").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("k", F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("day"))
+    full = spine.join(p.select("k", "day", "confirmed"), ["k", "day"], "left")
+    return full.select("k", cal.iso_year("day").alias("epi_year"), cal.iso_week("day").alias("epi_week"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +170,16 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "scored": (
         " UNION ALL ".join(
             f"SELECT k, t, epi_year, epi_week, '{m}' AS model, {o} AS ord, CAST({s} AS DOUBLE) AS score, CAST(({s}) / (({s}) + {c}) AS DOUBLE) AS prob, CAST(f4 > 34 AS INTEGER) AS y FROM features WHERE f4 IS NOT NULL AND t > 8"
-            for o, (m, s, c) in enumerate((("model", "2 * roll4 + lag1", "24.0"), ("recent4", "roll4", "8.0"), ("lag1", "lag1", "8.0")))
+            for o, (m, (s, c)) in enumerate(SCORES.items())
         ),
         ("features",),
     ),
+    "zero_filled": (
+        f"""SELECT s.k, CAST(isoyear(s.day) AS INTEGER) AS epi_year, CAST(week(s.day) AS INTEGER) AS epi_week, coalesce(confirmed, 0) AS confirmed FROM
+        (SELECT k, CAST(unnest(generate_series(CAST(min({MONDAY}) AS TIMESTAMP), CAST(max({MONDAY}) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS day FROM panel_nation GROUP BY k) s
+        LEFT JOIN (SELECT k, {MONDAY} AS day, confirmed FROM panel_nation) p ON p.k = s.k AND p.day = s.day""",
+        ("panel_nation",),
+    ),
     "revisions": ("SELECT l_orderkey, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS value FROM lineitem", ()),
     "ledger": ("SELECT conv_id AS chain, turn + 1 AS seq, concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role, text) AS payload FROM conversations", ()),
     "line_list": (

@@ -1,4 +1,4 @@
-"""Evaluation queries on three scores of the region panel."""
+"""Evaluation queries on the scores of a model and its four comparators on the region panel."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from epiweave.functions import calendar as cal
 from epiweave.operators import evaluation as ev
 
-from .bindings import WEEK, scored, with_
+from .bindings import WEEK, scored, with_, zero_filled
 from .registry import query
 
 K = ["k"]
 KM = ["k", "model"]
-REPS, BLOCK, SEED, LEAST_VALID = 200, 4, "readout", 50
+REPS, BLOCK, SEED = 4000, 4, "readout"
+LEAST_VALID = max(500, REPS // 4)
 
 
 def r6(df, *names):
@@ -42,7 +43,7 @@ _GAIN = {"gain": "SELECT m.k, m.auroc AS model_auroc, m.brier AS model_brier, m.
 
 @query("evl_auroc", with_("scored", "SELECT k, round(auroc, 6) AS auroc, n, positives FROM area", area=auroc_sql("k", "(SELECT * FROM scored WHERE model = 'recent4')")))
 def auroc(spark, d):
-    return r6(ev.auroc(scored(spark, d).where("model = 'recent4'"), K), "auroc")
+    return r6(ev.wide_auroc(scored(spark, d).where("model = 'recent4'"), K), "auroc")
 
 
 @query("evl_roc_curve", with_("scored", "SELECT k, model, round(score, 6) AS score, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round((fpr - coalesce(lag(fpr) OVER w, 0)) * (tpr + coalesce(lag(tpr) OVER w, 0)) / 2, 6) AS area FROM roc WINDOW w AS (PARTITION BY k, model ORDER BY score DESC)", roc=_ROC))
@@ -150,7 +151,7 @@ def multi_comparator_ci(spark, d):
 
 
 _SIZES = (13, 52, 104, 150, 300)
-_PLAN_REPS = 60
+_PLAN_REPS = 5000
 
 
 def _plan_sql() -> dict[str, str]:
@@ -208,23 +209,20 @@ def verdict_v2(spark, d):
 _SEASON = "CASE WHEN epi_week >= 45 THEN epi_year WHEN epi_week <= 17 THEN epi_year - 1 END"
 
 
-@query("evl_per_season", with_("scored", f"SELECT model, season, count(*) AS n, round(avg((prob - y) * (prob - y)), 6) AS brier, round({_LOSS}, 6) AS log_loss, round(avg(y), 6) AS rate FROM (SELECT *, {_SEASON} AS season FROM scored) WHERE season IS NOT NULL GROUP BY GROUPING SETS ((model, season), (model))"))
+@query("evl_per_season", with_("scored", f"""SELECT m.model, nullif(m.season, -1) AS season, m.n, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(rate, 6) AS rate, round(auroc, 6) AS auroc, round(ece, 6) AS ece FROM
+    (SELECT model, season, count(*) AS n, avg((prob - y) * (prob - y)) AS brier, {_LOSS} AS log_loss, avg(y) AS rate FROM s GROUP BY 1, 2) m JOIN a ON a.model = m.model AND a.season = m.season
+    JOIN (SELECT model, season, sum(n * abs(observed - mean_p)) / sum(n) AS ece FROM (SELECT model, season, {_BIN} AS bin, count(*) AS n, avg(prob) AS mean_p, avg(y) AS observed FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2) e ON e.model = m.model AND e.season = m.season""",
+    s=f"SELECT * FROM (SELECT *, {_SEASON} AS season FROM scored) WHERE season IS NOT NULL UNION ALL SELECT *, -1 FROM scored WHERE {_SEASON} IS NOT NULL", a=auroc_sql("model, season", "s", "prob")))
 def per_season(spark, d):
     rows = scored(spark, d).withColumn("season", cal.season_id(*WEEK)).where("season is not null")
-    out = rows.groupingSets([["model", "season"], ["model"]], "model", "season").agg(F.count("*").alias("n"), ev.brier().alias("brier"), ev.log_loss().alias("log_loss"), F.avg("y").alias("rate"))
-    return r6(out, "brier", "log_loss", "rate")
-
-
-@query("evl_calibration_table", with_("scored", f"SELECT model AS variant, CAST(epi_year AS INTEGER) AS cohort, count(*) AS n, round(avg((prob - y) * (prob - y)), 6) AS brier, round({_LOSS}, 6) AS log_loss FROM scored WHERE epi_year IN (1999, 2000) GROUP BY GROUPING SETS ((model, epi_year), (model))"))
-def calibration_table(spark, d):
-    rows = scored(spark, d).where("epi_year in (1999, 2000)").select(F.col("model").alias("variant"), F.col("epi_year").alias("cohort"), "prob", "y")
-    return r6(rows.groupingSets([["variant", "cohort"], ["variant"]], "variant", "cohort").agg(F.count("*").alias("n"), ev.brier().alias("brier"), ev.log_loss().alias("log_loss")), "brier", "log_loss")
+    pooled = rows.withColumn("season", F.lit(None).cast("int"))
+    return r6(ev.summary(rows.unionByName(pooled), ["model", "season"]), "brier", "log_loss", "rate", "auroc", "ece")
 
 
 _LEADS = ", ".join(f"sum(confirmed) OVER (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN {n} FOLLOWING AND {n + 3} FOLLOWING) AS t{n}, count(*) OVER (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN {n} FOLLOWING AND {n + 3} FOLLOWING) AS c{n}" for n in range(1, 7))
 
 
-@query("mod_lead_sweep", with_("features", "SELECT k, lead, round(auroc, 6) AS auroc, n FROM (" + auroc_sql("k, lead", "rows") + ")", wide=f"SELECT *, {_LEADS} FROM features", rows=" UNION ALL ".join(f"SELECT k, {n} AS lead, roll4 AS score, CAST(t{n} > 34 AS INTEGER) AS y FROM wide WHERE t > 8 AND c{n} = 4" for n in range(1, 7))))
+@query("mod_lead_sweep", with_("features", "SELECT a.k, a.lead, round(auroc, 6) AS auroc, round(brier, 6) AS brier, n FROM (" + auroc_sql("k, lead", "rows") + ") a JOIN (SELECT k, lead, avg((score / (score + 8.0) - y) * (score / (score + 8.0) - y)) AS brier FROM rows GROUP BY 1, 2) b ON b.k = a.k AND b.lead = a.lead", wide=f"SELECT *, {_LEADS} FROM features", rows=" UNION ALL ".join(f"SELECT k, {n} AS lead, roll4 AS score, CAST(t{n} > 34 AS INTEGER) AS y FROM wide WHERE t > 8 AND c{n} = 4" for n in range(1, 7))))
 def lead_sweep(spark, d):
     from epiweave.operators import features as fea
 
@@ -234,25 +232,33 @@ def lead_sweep(spark, d):
     for n in range(1, 7):
         wide = fea.future_sum(wide, K, lead=n, name=f"t{n}")
     long = wide.where("t > 8").select("k", F.col("roll4").alias("score"), F.expr("stack(6, " + ", ".join(f"{n}, t{n}" for n in range(1, 7)) + ") AS (lead, target)")).where("target is not null")
-    return r6(ev.auroc(long.withColumn("y", (F.col("target") > 34).cast("int")), ["k", "lead"]).select("k", "lead", "auroc", "n"), "auroc")
+    long = long.withColumns({"y": (F.col("target") > 34).cast("int"), "prob": F.col("score") / (F.col("score") + 8.0)})
+    area, error = ev.auroc(long, ["k", "lead"]).select("k", "lead", "auroc", "n"), long.groupBy("k", "lead").agg(ev.brier().alias("brier"))
+    return r6(area.join(error, ["k", "lead"]), "auroc", "brier")
 
 
-_ALERT = "SELECT k, epi_year, epi_week, t, confirmed, f4, roll4 / (roll4 + 8) >= 0.52 AS high FROM features"
+_ALERT = f"""SELECT *, {_SEASON} AS season, coalesce(roll4 / (roll4 + 1), 0) >= 0.5 AS high FROM (SELECT k, epi_year, epi_week, confirmed, row_number() OVER w AS t,
+    coalesce(avg(confirmed) OVER (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) AS roll4,
+    CASE WHEN count(*) OVER f = 4 THEN sum(confirmed) OVER f END AS f4 FROM zero_filled WINDOW w AS (PARTITION BY k ORDER BY epi_year, epi_week), f AS (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))"""
 
 
-@query("evl_alert_lead", with_("features", f"SELECT k, season, min(t) FILTER (WHERE high) AS first_alert, min(t) FILTER (WHERE confirmed >= 14) AS first_peak, min(t) FILTER (WHERE confirmed >= 14) - min(t) FILTER (WHERE high) AS lead_weeks FROM (SELECT *, {_SEASON} AS season FROM a) WHERE season IS NOT NULL GROUP BY 1, 2", a=_ALERT))
-def alert_lead(spark, d):
-    """Weeks from a season's first alert to its first week of at least 14 cases, by series."""
-    from .q_features import features
+def _alerts(spark, d):
+    """Every week of every nation, with high: the probability is in the HIGH band, 0.5 or more."""
+    from epiweave.operators import features as fea
 
-    rows = features(spark, d).withColumns({"high": F.col("roll4") / (F.col("roll4") + 8) >= 0.52, "season": cal.season_id(*WEEK), "t": F.col("t").cast("long")}).where("season is not null")
-    out = rows.groupBy("k", "season").agg(F.min(F.when(F.col("high"), F.col("t"))).alias("first_alert"), F.min(F.when(F.col("confirmed") >= 14, F.col("t"))).alias("first_peak"))
-    return out.withColumn("lead_weeks", F.col("first_peak") - F.col("first_alert"))
+    rows = fea.future_sum(fea.vector(zero_filled(spark, d), K), K)
+    return rows.withColumns({"high": F.col("roll4") / (F.col("roll4") + 1) >= 0.5, "season": cal.season_id(*WEEK), "t": F.col("t").cast("long")})
 
 
-@query("evl_false_alert", with_("features", "SELECT k, epi_year, epi_week FROM a WHERE high AND f4 < 32", a=_ALERT))
-def false_alert(spark, d):
-    """Alerts that fewer than 32 cases follow in four weeks."""
-    from .q_features import features
+@query("evl_alert_lead", with_("zero_filled", "SELECT k, season, min(t) FILTER (WHERE high) AS first_alert, min(t) FILTER (WHERE confirmed > 0) AS first_case, min(t) FILTER (WHERE confirmed > 0) - min(t) FILTER (WHERE high) AS lead_weeks FROM a WHERE season IS NOT NULL GROUP BY 1, 2", a=_ALERT))
+def alert_lead(spark, d):
+    """Weeks from a season's first HIGH alert to its first case, by place."""
+    rows = _alerts(spark, d).where("season is not null")
+    out = rows.groupBy("k", "season").agg(F.min(F.when(F.col("high"), F.col("t"))).alias("first_alert"), F.min(F.when(F.col("confirmed") > 0, F.col("t"))).alias("first_case"))
+    return out.withColumn("lead_weeks", F.col("first_case") - F.col("first_alert"))
 
-    return features(spark, d).where((F.col("roll4") / (F.col("roll4") + 8) >= 0.52) & (F.col("f4") < 32)).select("k", *WEEK)
+
+@query("evl_false_alert", with_("zero_filled", "SELECT k, epi_year, epi_week FROM a WHERE high AND f4 = 0", a=_ALERT))
+def false_alert(spark, d):
+    """HIGH alerts that no case follows in four weeks."""
+    return _alerts(spark, d).where(F.col("high") & (F.col("f4") == 0)).select("k", *WEEK)

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from epiweave.operators import evaluation as ev
 from epiweave.operators import features as fea
 from epiweave.operators import models as md
 
 from .bindings import WEEK
-from .q_features import usable
+from .q_features import features, usable
 from .registry import query
 
 K = ["k"]
-TREES = 5
 _OUT = ("k", *WEEK, "y", "p")
+PERSISTENCE = [*md.HARMONICS, "roll4", "lag1", "trend"]
+
+
+def weighted(rows, train):
+    """Rows with harmonics and the weight of positives that balances the training rows' classes."""
+    w = fea.class_weight(train, []).first()["weight"]
+    return md.with_harmonics(rows).withColumn("weight", F.when(F.col("y") == 1, float(w)).otherwise(1.0))
 
 
 def parts(spark, d):
-    rows = md.with_harmonics(usable(spark, d)).cache()
-    w = fea.class_weight(rows.where("part = 'train'"), []).first()["weight"]
-    rows = rows.withColumn("weight", F.when(F.col("y") == 1, float(w)).otherwise(1.0))
+    rows = usable(spark, d)
+    rows = weighted(rows, rows.where("part = 'train'")).cache()
     return rows.where("part = 'train'"), rows.where("part = 'test'")
 
 
@@ -29,10 +35,15 @@ def _logistic(spark, d, features, scaled=False):
     return md.apply(model, test).select(*_OUT)
 
 
+def _trees(train):
+    """300 trees; the rows are a panel's training weeks, few enough for four tasks."""
+    return md.fit_gbt(train.coalesce(4), fea.NINE)
+
+
 @query("mod_gbt")
 def gbt(spark, d):
     train, test = parts(spark, d)
-    return md.apply(md.fit_gbt(train, fea.NINE, TREES), test).select(*_OUT)
+    return md.apply(_trees(train), test).select(*_OUT)
 
 
 @query("mod_persist_prob")
@@ -47,49 +58,72 @@ def seasonal(spark, d):
 
 @query("mod_seasonal_persist")
 def seasonal_persist(spark, d):
-    return _logistic(spark, d, [*md.HARMONICS, "roll4", "lag1", "trend"], scaled=True)
+    return _logistic(spark, d, PERSISTENCE, scaled=True)
 
 
-def _calibration(spark, d):
-    train, test = parts(spark, d)
+def calibration_parts(spark, d):
+    """The base model fitted up to 1997, its probabilities of 1998 (to calibrate on) and of the years after."""
+    rows = usable(spark, d)
+    rows = weighted(rows, rows.where("epi_year <= 1997")).cache()
+    train = rows.where("epi_year <= 1997")
     model = md.fit_logistic(train, ["roll4", "lag1"], train.count())
-    return md.apply(model, train.where("epi_year = 1998")), md.apply(model, test)
+    return md.apply(model, rows.where("epi_year = 1998")), md.apply(model, rows.where("epi_year > 1998"))
+
+
+def platt_map(fit):
+    return md.fit_logistic(fit, ["p"], fit.count())
 
 
 @query("mod_platt")
 def platt(spark, d):
-    fit, score = _calibration(spark, d)
-    model = md.fit_logistic(fit, ["p"], fit.count())
-    return md.apply(model, score, "calibrated").select(*_OUT, "calibrated")
+    fit, score = calibration_parts(spark, d)
+    return md.apply(platt_map(fit), score.where("epi_year = 1999"), "calibrated").select(*_OUT, "calibrated")
 
 
 @query("mod_isotonic")
 def isotonic(spark, d):
-    fit, score = _calibration(spark, d)
-    return md.fit_apply_isotonic(fit, score).select(*_OUT, "calibrated")
+    fit, score = calibration_parts(spark, d)
+    return md.fit_apply_isotonic(fit, score.where("epi_year = 1999")).select(*_OUT, "calibrated")
+
+
+@query("evl_calibration_table")
+def calibration_table(spark, d):
+    """Raw, Platt and isotonic probabilities of 1999 and 2000, by year and pooled: n, AUROC, Brier, ECE, log loss."""
+    fit, score = calibration_parts(spark, d)
+    score = score.where("epi_year in (1999, 2000)")
+    cols = ("y", F.col("epi_year").alias("cohort"))
+    raw = score.select(F.lit("raw").alias("variant"), *cols, F.col("p").alias("prob"))
+    by_platt = md.apply(platt_map(fit), score, "c").select(F.lit("platt").alias("variant"), *cols, F.col("c").alias("prob"))
+    steps = md.fit_apply_isotonic(fit, score, name="c").select(F.lit("isotonic").alias("variant"), *cols, F.col("c").alias("prob"))
+    rows = raw.union(by_platt).union(steps)
+    return ev.summary(rows.union(rows.withColumn("cohort", F.lit(None).cast("int"))), ["variant", "cohort"])
 
 
 @query("mod_expanding")
 def expanding(spark, d):
-    rows = usable(spark, d)
-    cutoffs = spark.range(1996, 2002).select(F.col("id").cast("int").alias("cutoff"))
-    return md.expanding(rows, cutoffs, K, ["roll4", "lag1"])
+    return md.expanding(usable(spark, d), K, ["roll4", "lag1"])
 
 
 @query("mod_latest_score")
 def latest_score(spark, d):
+    """The last week of each series, labelled or not: the model, both persistence scores, and the probabilities of the four comparators."""
     train, _ = parts(spark, d)
-    model = md.fit_logistic(train, ["roll4", "lag1"], train.count())
-    return md.apply(model, md.latest(usable(spark, d), K)).select("k", *WEEK, "p")
+    last = md.with_harmonics(md.latest(features(spark, d), K)).withColumn("y", F.lit(None).cast("int"))
+    n = train.count()
+    out = last.withColumn("weight", F.lit(1.0))
+    maps = {"p": (["roll4", "lag1"], False), "p_recent4": (["roll4"], False), "p_lag1": (["lag1"], False), "p_seasonal": (list(md.HARMONICS), False), "p_seasonal_persist": (PERSISTENCE, True)}
+    for name, (used, scaled) in maps.items():
+        out = md.apply(md.fit_logistic(train, used, n, scaled), out, name)
+    return out.select("k", *WEEK, F.col("roll4").alias("recent4"), "lag1", *maps)
 
 
 @query("mod_importance")
 def importance(spark, d):
     train, _ = parts(spark, d)
-    return md.importance(md.fit_gbt(train, fea.NINE, TREES), fea.NINE, spark).withColumn("importance", F.round("importance", 4))
+    return md.importance(_trees(train), fea.NINE, spark).withColumn("importance", F.round("importance", 4))
 
 
 @query("mod_importance_group")
 def importance_group(spark, d):
     train, _ = parts(spark, d)
-    return md.importance_groups(md.importance(md.fit_gbt(train, fea.NINE, TREES), fea.NINE, spark), ["dry", "epi_week"])
+    return md.importance_groups(md.importance(_trees(train), fea.NINE, spark), ["dry", "epi_week"])
