@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from functools import lru_cache
 
@@ -62,8 +64,11 @@ def base_spans(text: str) -> list[Span]:
 # --- the model: segments of at most MOST tokens carry a kind or none; a segment's score is linear in features of the whole span
 
 MOST = 16
+#: Tokens of a stretch that one lattice takes; longer ones pass in overlapping lattices.
+WINDOW = 160
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
-_WORD = re.compile(r"\S+")
+#: What opens a stretch: digits, @, or an obfuscated at.
+_OPEN = re.compile(r"[0-9]+|@|[\[({] ?at ?[\])}]")
 
 
 def span_features(text: str, start: int, end: int) -> np.ndarray:
@@ -73,7 +78,7 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     left, right = text[start - 1 : start], text[end : end + 1]
     low = re.sub(r"\s*[\[({]\s*at\s*[\])}]\s*", "@", re.sub(r"\s*[\[({]\s*dot\s*[\])}]\s*", ".", s.lower()))
     dotted = low.replace("[.]", ".")
-    n = len(digits)
+    n, plain = len(digits), not re.search(r"[^0-9 -]", s)
     return np.array([
         1.0,
         bool(re.fullmatch(r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+", low)),
@@ -82,8 +87,8 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
         bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", dotted)) and all(int(g) <= 255 for g in groups),
         bool(re.fullmatch(r"[0-9.\[\]]+", s)),
         len(groups) == 4,
-        13 <= n <= 19 and luhn(digits),
-        13 <= n <= 19,
+        13 <= n <= 19 and plain and luhn(digits),
+        13 <= n <= 19 and plain,
         9 <= n <= 15,
         s[:1] == "+" or s[:2] == "00",
         s[:1] in "+(",
@@ -263,39 +268,68 @@ def train(n: int = 350, rounds: int = 40, seed: int = 11) -> SemiMarkov:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold an entity: neighbouring words with digits, @ or an obfuscated at, joined by single blanks."""
+    """Stretches that can hold an entity: whole neighbouring words with digits, @ or an obfuscated at, joined by single blanks."""
     out: list[list[int]] = []
-    for m in re.finditer(r"[0-9]+|@|[\[({] ?at ?[\])}]", text):
+    for m in _OPEN.finditer(text):
         if out and m.end() <= out[-1][1]:
             continue
         a, b = m.span()
-        while a and not text[a - 1].isspace() and m.start() - a < 100:
+        floor = out[-1][1] if out else 0
+        while a > floor and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 100:
+        while b < len(text) and not text[b].isspace():
             b += 1
-        if out and a - out[-1][1] <= 1 and b - out[-1][0] <= 400:
-            out[-1][1] = max(b, out[-1][1])
+        if out and a - out[-1][1] <= 1:
+            out[-1][1] = b
         else:
-            out.append([max(a, out[-1][1] if out else 0), b])
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def stretch_spans(part: str, model: SemiMarkov) -> list[Span]:
+    """The best spans of a stretch of any length.
+
+    No span has over MOST tokens, so one that starts MOST tokens before the end of a lattice lies in it whole;
+    later ones are left to the next lattice, which starts where the last one kept ends.
+    """
+    at = [m.start() for m in _TOKEN.finditer(part)] + [len(part)]
+    out: list[Span] = []
+    first = 0
+    while first < len(at) - 1:
+        last = min(first + WINDOW, len(at) - 1)
+        until = len(part) + 1 if last == len(at) - 1 else at[last - MOST]
+        begin, done = at[first], 0
+        for kind, i, j in model.best(Lattice(part[begin : at[last]])):
+            if begin + i < until:
+                out.append((kind, begin + i, begin + j))
+                done = begin + j
+        if until > len(part):
+            break
+        first = bisect.bisect_left(at, max(done, until))
+    return out
+
+
 def find_spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
     """(base spans, spans that the model adds): added ones never overlap a base span."""
     base = base_spans(text)
-    if not base and not _DIGIT.search(text) and "@" not in text and " at" not in text and "(at" not in text and "[at" not in text:
+    if not base and not _OPEN.search(text):
         return base, []
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)
+        return k == 0 or reach[k - 1] <= a
+
     added: list[Span] = []
     for a, b in regions(text):
         part = text[a:b]
         if sum(c.isdigit() for c in part) < 4 and "@" not in part and not re.search(r"[\[({] ?at ?[\])}]", part):
             continue
-        if any(s <= a and b - 2 <= e for s, e in taken):  # a base span fills the region, but for a mark behind it
+        k = bisect.bisect_right(starts, a)
+        if k and reach[k - 1] >= b - 2:  # a base span fills the region, but for a mark behind it
             continue
-        for kind, i, j in model.best(Lattice(part)):
-            if all(e <= a + i or a + j <= s for s, e in taken):
-                added.append((kind, a + i, a + j))
+        added += [(kind, a + i, a + j) for kind, i, j in stretch_spans(part, model) if free(a + i, a + j)]
     return base, added
 
 
@@ -311,7 +345,7 @@ def personal_data(docs: DataFrame, model: SemiMarkov) -> DataFrame:
 
     Positions are code points, end exclusive. Null or empty text: no spans (digest of the empty string).
     Repeated rows keep one row each, null doc_ids stay null, an empty table gives no rows; other columns are
-    not read. Time is linear in the text; the model looks only at stretches of at most 400 characters.
+    not read. Time is linear in the text; the model looks at whole stretches of words with digits or the like.
     """
 
     def run(batches):

@@ -63,12 +63,17 @@ def bradley_terry(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: f
 
 
 def fit(texts: list[bytes], quality: list[int], pairs: int = 40_000, seed: int = 7) -> Ranker:
-    """Learns from preference pairs (any text of quality 1 over any of quality 0, drawn evenly).
+    """Learns from preference pairs (any text of quality 1 over any of quality 0, drawn evenly)."""
+    return fit_features(np.stack([features(t) for t in texts]), np.array(quality), pairs, seed)
+
+
+def fit_features(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, seed: int = 7) -> Ranker:
+    """As `fit`, from the texts' features.
 
     Strengths become scores by a logistic map fitted on the same rows. cut is the quantile of the scores at
-    the share of quality 0, at most 0.3. With one class only, every score is that class's share.
+    the share of quality 0: halfway between the scores that it parts. With one class only, every score is
+    that class's share.
     """
-    x, y = np.stack([features(t) for t in texts]), np.array(quality)
     centre, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -89,7 +94,7 @@ def fit(texts: list[bytes], quality: list[int], pairs: int = 40_000, seed: int =
         if np.abs(step).max() < 1e-8:
             break
     made = Ranker(centre, scale, w, float(a), float(b), 0.3)
-    return Ranker(centre, scale, w, float(a), float(b), float(min(0.3, np.quantile(made.scores(x), (y == 0).mean()))))
+    return Ranker(centre, scale, w, float(a), float(b), float(np.mean(np.sort(made.scores(x))[[len(bad) - 1, len(bad)]])))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000) -> Ranker:
@@ -101,11 +106,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000) -> Ranker:
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows), "known")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").orderBy("doc_id", "text", "quality").limit(2 * most_rows)
-    rows = rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "quality").collect()
-    if not rows:
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").orderBy("doc_id", "text", "quality").limit(2 * most_rows)
+
+    def run(batches):
+        for b in batches:
+            x = [features(t).astype("<f4").tobytes() for t in binary_column(b, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("quality")], ["x", "quality"])
+
+    seen = rows.select("text", "quality").mapInArrow(run, "x binary, quality int").collect()
+    if not seen:
         return Ranker(np.zeros(1), np.ones(1), np.zeros(1), 0.0, 0.0, 0.3)
-    return fit([r[0].encode() for r in rows], [r[1] for r in rows])
+    return fit_features(np.stack([np.frombuffer(r[0], "<f4") for r in seen]).astype(float), np.array([r[1] for r in seen]))
 
 
 def score(docs: DataFrame, model: Ranker) -> DataFrame:
@@ -129,9 +140,11 @@ def keep_good(docs: DataFrame, model: Ranker, quantile: float | None = None) ->
     """The rows of docs, with all columns, that score at least the cut.
 
     The cut is the model's quantile of its training scores, or that quantile of the corpus's own scores.
+    Columns may have any other names; null text counts as empty.
     """
     names = docs.columns
-    marked = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit(""))
 
     def run(texts):
         import pandas as pd
@@ -139,9 +152,9 @@ def keep_good(docs: DataFrame, model: Ranker, quantile: float | None = None) ->
         for part in texts:
             yield pd.Series(model.scores(np.stack([features(t.encode()) for t in part])[:, : len(model.weights)])) if len(part) else pd.Series(dtype=float)
 
-    scored = marked.withColumn("_score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)("_text"))
-    cut = model.cut if quantile is None else scored.select(F.percentile_approx("_score", quantile, 10_000)).first()[0]
-    return scored.where(F.col("_score") >= F.lit(cut)).select(*names)
+    scored = numbered.withColumn("score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(text))
+    cut = model.cut if quantile is None else scored.select(F.percentile_approx("score", quantile, 10_000)).first()[0]
+    return scored.where(F.col("score") >= F.lit(cut)).drop("score").toDF(*names)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against brute force on the smallest tables, and on nulls, empties, ties, repeats and extra columns."""
 
+import hashlib
 import html
 import re
 import time
@@ -141,7 +142,7 @@ def test_encoder_is_exact():
                 got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
             assert got == [[*x, 7] for x in want[: len(got)]]
     text = pa.array(["ab", None, "c" * 30, "d"])
-    assert list(tokens.portions(text, 8)) == [(0, 2), (2, 1), (3, 1)] and made.encode(text)[1][1] == 0
+    assert list(common.portions(text, 8)) == [(0, 2), (2, 1), (3, 1)] and made.encode(text)[1][1] == 0
 
 
 def _leaks(docs, items):
@@ -441,13 +442,27 @@ def test_pii(spark, docs, odd):
     got = {r["doc_id"]: r for r in pii.personal_data(docs, model).collect()}
     for r in docs.collect():
         base, added = pii.find_spans(r["text"], model)
-        assert sorted(base) == sorted(_base(r["text"])) and got[r["doc_id"]]["n_email"] == sum(k == 0 for k, _, _ in base)
+        assert sorted(base) == sorted(_base(r["text"]))
+        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(_base(r["text"])))
+        row = got[r["doc_id"]]
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in range(4)]
+        assert row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and row["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted([*base, *added]))
         assert not any(a < e and s < b for _, a, b in added for _, s, e in base)
     hit = total = wrong = 0
     for text, spans in pii.examples(200, 123):
         found = set(model.best(pii.Lattice(text)))
         hit, total, wrong = hit + len(found & set(spans)), total + len(spans), wrong + len(found - set(spans))
     assert hit >= 0.95 * total and wrong <= 0.08 * total
+    query = {r["doc_id"]: r for r in pii.op7_pii(spark, SF).collect()}
+    assert query == got
+    for joint in (" ", ",", ", "):  # long lists are neither cut nor lost
+        numbers = [f"(5{k:02d}) 123-{4000 + k}" for k in range(90)]
+        text = "call " + joint.join(numbers) + " now"
+        found = sorted(text[a:b] for k, a, b in pii.find_spans(text, model)[1])
+        assert found == sorted(numbers), joint
+    for secret in ("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12"):
+        assert not [s for s in pii.find_spans(f"key {secret} end", model)[1] if s[0] == 2]
+    assert pii.find_spans("write to joe{at}mail.example.org", model)[1]
     lat = pii.Lattice("call 123-456-7890 or a@b.co now")
     z, p, q = model.expected(lat)
     cover = q.copy()
@@ -471,6 +486,8 @@ def test_quality(spark, docs, odd):
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     out = quality.score(odd, model).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out) and quality.score(empty(odd), model).count() == 0
+    clash = odd.withColumns({"_text": F.lit("a"), "score": F.lit(5)})
+    assert quality.keep_good(clash, model).columns == clash.columns and {(r["_text"], r["score"]) for r in quality.keep_good(clash, model).collect()} <= {("a", 5)}
     assert quality.keep_good(odd, model).columns == odd.columns and quality.keep_good(docs, model, quantile=0.5).count() >= docs.count() // 2
     none = quality.train(docs, empty(spark.read.parquet(f"{SF}/labels.parquet")))
     assert quality.score(odd, none).count() == len(ODD)
@@ -532,6 +549,35 @@ def test_propagation_against_matrix(spark):
         assert np.allclose([got[h][k] for h in "abc"], want, atol=1e-6)
 
 
+def test_propagation_over_a_long_chain(spark):
+    """Mass reaches the end of a chain, or the call fails: never a silent cut."""
+    n = 30
+    edges = spark.createDataFrame([(f"h{i:02d}", f"h{i + 1:02d}", 1.0) for i in range(n)], "src string, dst string, share double")
+    hosts = spark.createDataFrame([(f"h{i:02d}", 1, int(i == 0)) for i in range(n + 1)], "host string, pages long, allowed long")
+    got = {r["host"]: r["seed_mass"] for r in url_graph.propagate(hosts, edges, "allowed", settled=1e-6).collect()}
+    assert all(np.isclose(got[f"h{i:02d}"], 0.15 * 0.85**i, rtol=1e-3) for i in range(n + 1))
+    with pytest.raises(RuntimeError):
+        url_graph.propagate(hosts, edges, "allowed", rounds=6)
+
+
+def test_urls_query(spark):
+    """The registered query on the given pages, whose links stay within their hosts: rules, then the hosts' own seeds."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    cut = lambda u: re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+    rule, seen = {}, {}
+    for r in rows:
+        m = cut(r["url"])
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(h + p, v) for h, p, v in url_graph.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule[r["page_id"]] = host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None))
+        n = seen.setdefault(host, [0, 0, 0])
+        n[0] += 1
+        n[1] += rule[r["page_id"]][3] == "allow"
+        n[2] += rule[r["page_id"]][3] == "block"
+    want = {i: (h, p, t, v or ("block" if (seen[h][2] - seen[h][1]) / seen[h][0] > 0.5 else "allow")) for i, (h, p, t, v) in rule.items()}
+    assert {r["page_id"]: tuple(r)[1:] for r in url_graph.op10_urls(spark, SF).select("page_id", "host", "path", "rule", "verdict").collect()} == want
+
+
 def test_pipeline(spark, docs):
     out = corpus_pipeline.run(spark, SF).toPandas()
     d = docs
