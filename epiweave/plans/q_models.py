@@ -35,15 +35,21 @@ def _logistic(spark, d, features, scaled=False):
     return md.apply(model, test).select(*_OUT)
 
 
-def _trees(train):
-    """300 trees; the rows are a panel's training weeks, few enough for four tasks."""
-    return md.fit_gbt(train.coalesce(4), fea.NINE)
+_FITTED: dict[tuple[str, str], object] = {}
+
+
+def _trees(spark, d, train):
+    """300 trees, fitted once for a session and folder; the rows are a panel's training weeks, few enough for four tasks."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = md.fit_gbt(train.coalesce(4), fea.NINE)
+    return _FITTED[key]
 
 
 @query("mod_gbt")
 def gbt(spark, d):
     train, test = parts(spark, d)
-    return md.apply(_trees(train), test).select(*_OUT)
+    return md.apply(_trees(spark, d, train), test).select(*_OUT)
 
 
 @query("mod_persist_prob")
@@ -120,10 +126,10 @@ def latest_score(spark, d):
 @query("mod_importance")
 def importance(spark, d):
     train, _ = parts(spark, d)
-    return md.importance(_trees(train), fea.NINE, spark).withColumn("importance", F.round("importance", 4))
+    return md.importance(_trees(spark, d, train), fea.NINE, spark).withColumn("importance", F.round("importance", 4))
 
 
 @query("mod_importance_group")
 def importance_group(spark, d):
     train, _ = parts(spark, d)
-    return md.importance_groups(md.importance(_trees(train), fea.NINE, spark), ["dry", "epi_week"])
+    return md.importance_groups(md.importance(_trees(spark, d, train), fea.NINE, spark), ["dry", "epi_week"])

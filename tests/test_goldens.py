@@ -171,3 +171,67 @@ def test_platt_keeps_auroc_and_small_map(spark):
     assert abs(lr.intercept - w[0]) < 1e-3 and abs(lr.coefficients[0] - w[1]) < 1e-3
     out = md.apply(model, df).withColumn("k", F.lit(1))
     assert ev.auroc(out, ["k"], "p").first()["auroc"] == pytest.approx(ev.auroc(out, ["k"], "s").first()["auroc"])
+
+
+def test_guard_refuses_what_it_cannot_read(spark):
+    """Unreadable times are no forecasts; a second request is one by the instant, whatever its offset."""
+    rows = [
+        (1, 2026, 40, None), (2, 2026, 40, "rubbishZ"), (3, 2026, 40, "2026-10-01T10:00:00"), (4, 2026, 54, "2026-10-01T10:00:00Z"),
+        (5, 2026, 38, "2026-09-20T01:00:00+05:00"), (5, 2026, 38, "2026-09-19T23:00:00Z"), (6, 2026, 38, "2026-09-28T00:00:00Z"), (7, 2026, 38, "2026-09-28T04:59:59+05:00"), (8, 2026, 38, "rubbishZ"), (8, 2026, 38, "2026-09-20T01:00:00Z"),
+    ]
+    df = spark.createDataFrame(rows, "id int, epi_year int, epi_week int, issued_at string")
+    got = {(r["id"], r["issued_at"]): r["reason"] for r in lg.guard(df, ["id"], lead=2).collect()}
+    assert got[1, None] == got[2, "rubbishZ"] == got[8, "rubbishZ"] == "malformed_timestamp" and got[3, "2026-10-01T10:00:00"] == "naive_timestamp_rejected"
+    assert got[4, "2026-10-01T10:00:00Z"] == "malformed_source_week" and got[8, "2026-09-20T01:00:00Z"] is None
+    assert got[5, "2026-09-20T01:00:00+05:00"] is None and got[5, "2026-09-19T23:00:00Z"] == "duplicate_data_through_week"
+    assert got[6, "2026-09-28T00:00:00Z"] == "target_already_started" and got[7, "2026-09-28T04:59:59+05:00"] is None
+
+
+def test_json_ledger(spark):
+    """One long chain of JSON lines against hashlib, whole and with a byte changed or a line lost."""
+    n = 600
+    rows = spark.createDataFrame([(None, i, json.dumps({"b": f"é{i}", "a": i})) for i in range(1, n + 1)], "chain long, seq long, payload string")
+    lines = led.chain_json(rows, "own", "prev").collect()
+    last = None
+    for r in sorted(lines, key=lambda r: r["seq"]):
+        record = json.loads(r["raw"])
+        own = record.pop("own")
+        assert record["prev"] == last and own == hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        last = own
+    def check(change, drop=0):
+        made = [(r["chain"], r["seq"], change(r["raw"]) if r["seq"] == 321 else r["raw"]) for r in lines if r["seq"] != drop]
+        r = led.verify_json(spark.createDataFrame(made, "chain long, seq long, raw string").repartition(7), "own", "prev").first()
+        return r["records"], r["first_bad_seq"], r["reason"]
+    assert check(lambda x: x) == (n, None, None) and check(lambda x: " " + x) == (n, None, None)
+    assert check(lambda x: x.replace("é321", "e321")) == (n, 321, "altered record") and check(lambda x: x, 400) == (n - 1, 401, "sequence")
+
+
+def test_chain_of_null_key_goes_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = led.chain(spark.createDataFrame([(None, i, f"p{i}") for i in range(1, 8)], "chain long, seq long, payload string"))
+        assert led.verify(rows).first()["first_bad_seq"] is None
+        assert rows.where(F.col("prev") == led.GENESIS).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_conflicts_within_a_batch_and_late_rows_after_a_restart(spark, tmp_path):
+    from epiweave.streaming import streams as st
+
+    rows = spark.createDataFrame([(1, "h1"), (1, "h2"), (2, "h1"), (2, "h1")], "k int, hash string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = st.append_once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), spark, "conflicts", ["k"])
+    assert sorted((r["k"], r["hash"], r["action"]) for r in out.collect()) == [(1, "h1", "append"), (1, "h2", "conflict"), (2, "h1", "append")]
+
+
+def test_curves_of_large_groups_equal_small_ones(spark):
+    rows = [(g, random.Random(i).randrange(40) / 40, i % 3 == 0) for g in (1, 2, None) for i in range(300)]
+    df = spark.createDataFrame([(g, s, int(y)) for g, s, y in rows], "g int, score double, y int")
+    a, b = ({r["g"]: (round(r["auroc"], 9), r["n"]) for r in f(df, ["g"]).collect()} for f in (ev.auroc, ev.wide_auroc))
+    assert a == b and len(a) == 3
+
+
+def test_reliability_leaves_null_probabilities_out(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, 0.9, 1), (1, 0.1, 0)], "g int, prob double, y int")
+    assert sum(r["n"] for r in ev.reliability(df, ["g"]).collect()) == 2
