@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiweave.sources.shared import shared_dir, stage, unstage
 
-__all__ = ["binary_column", "bounded", "shared_dir", "sorted_runs", "spanning", "split_hot", "stage", "table", "text_column", "unstage"]
+__all__ = ["binary_column", "bounded", "portions", "shared_dir", "sorted_runs", "spanning", "split_hot", "stage", "table", "text_column", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
+def portions(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of about `most_bytes` together, so that long texts don't add up."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, "right")))
+        yield at, to - at
+        at = to
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict, np.ndarray]]:
     """Batches of a partition sorted by keys, regrouped so that no run of equal keys is cut.
 

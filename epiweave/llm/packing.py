@@ -9,8 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
-from .tokens import encoder, portions, read_vocabulary
+from .common import portions, stage, table
+from .tokens import encoder, read_vocabulary
 
 PIECES = "part int, rank long, doc_id long, start long, length int, doc_tokens long, ids binary"
 
@@ -118,11 +118,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, grain:
     blob = read_vocabulary(vocabulary)
 
     def run(batches):
-        enc, part, ranks = encoder(blob, keeps_space), TaskContext.get().partitionId(), {}
+        enc, part, ranks = encoder(blob, keeps_space, 300_000), TaskContext.get().partitionId(), {}
         names = [f.split()[0] for f in PIECES.split(", ")]
 
         for b in batches:
-            for first, k in portions(b.column("text")):
+            for first, k in portions(b.column("text"), 2 << 20):
                 ids, sizes = enc.encode(b.column("text").slice(first, k), end_id)
                 raw, begin, rows = ids.tobytes(), 0, []
                 for i, n in enumerate(sizes.tolist(), first):

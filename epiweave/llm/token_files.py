@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
-from .tokens import encoder, portions, read_vocabulary
+from .common import portions, shared_dir, table
+from .tokens import encoder, read_vocabulary
 
 SCHEMA = "part int, doc_id long, before long, n_tokens long, ids array<int>"
 
@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
     def run(batches):
         enc, part, before = encoder(blob, keeps_space), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at, k in portions(b.column("text")):
+            for at, k in portions(b.column("text"), 8 << 20):
                 ids, n = enc.encode(b.column("text").slice(at, k), end_id)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))

@@ -168,11 +168,11 @@ class Encoder:
 _ENCODERS: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(blob: str, keeps_space: bool) -> Encoder:
+def encoder(blob: str, keeps_space: bool, most: int = 1_000_000) -> Encoder:
     """One encoder for each vocabulary and worker process, so the cache outlives a task."""
     key = (hash(blob), keeps_space)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(blob, keeps_space)
+        _ENCODERS[key] = Encoder(blob, keeps_space, most)
     return _ENCODERS[key]
 
 
@@ -180,13 +180,3 @@ def read_vocabulary(path: str) -> str:
     """The tokenizer file as text: some MB, whatever the corpus; it travels with the tasks."""
     with open(path, encoding="utf-8") as f:
         return f.read()
-
-
-def portions(texts: pa.Array, most_bytes: int = 8 << 20):
-    """(first, number) of runs of texts of about `most_bytes` together, so that long texts don't add up."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, "right")))
-        yield at, to - at
-        at = to
