@@ -31,8 +31,8 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """turns(conv_id, turn, role, text) -> (conv_id, formatted string, mask array<struct<length, loss>>).
 
     Turns are ordered by turn, then role, then text (ties and repeated rows all stay; a null turn comes
-    first); a null role or text counts as empty; rows with a null conv_id form one conversation; other
-    columns are not read; no rows give no rows. mask covers `formatted` in code points from its start,
+    first); a null role or text counts as empty; rows with a null conv_id form one conversation (a
+    conversation is one array, so one task holds it whole); other columns are not read; no rows give no rows. mask covers `formatted` in code points from its start,
     two runs for each turn (markup, then text) and the last mark; loss holds for texts of loss_role.
     """
     rows = turns.select(

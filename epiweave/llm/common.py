@@ -29,13 +29,17 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def portions(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """(first, number) of runs of texts of about `most_bytes` together, so that long texts don't add up."""
+    """(first, number) of runs of texts of about `most_bytes` together, so that long texts don't add up.
+
+    Arrow's free memory goes back after each, as workers live on and count against their executor.
+    """
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, "right")))
         yield at, to - at
         at = to
+        pa.default_memory_pool().release_unused()
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict, np.ndarray]]:

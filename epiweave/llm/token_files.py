@@ -8,10 +8,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import portions, shared_dir, table
+from .common import bounded, portions, shared_dir, stage, table
 from .tokens import encoder, read_vocabulary
 
 SCHEMA = "part int, doc_id long, before long, n_tokens long, ids array<int>"
@@ -29,9 +29,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
     blob = read_vocabulary(vocabulary)
 
     def run(batches):
-        enc, part, before = encoder(blob, keeps_space), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(blob, keeps_space, 700_000), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at, k in portions(b.column("text"), 8 << 20):
+            for at, k in portions(b.column("text")):
                 ids, n = enc.encode(b.column("text").slice(at, k), end_id)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
@@ -47,16 +47,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the files; start is the number of ids of all documents before it.
 
-    Only the sums by file (one row a file) pass through the driver's plan; filters on doc_id reach the files.
+    The sums by file are one row a file, added up in order of the files; filters on doc_id reach the files.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
-    sums = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n")).orderBy("part").collect()
-    starts, total = {}, 0
-    for part, n in sums:
-        starts[part] = total
-        total += n
-    first = spark.createDataFrame(list(starts.items()), "part int, first long")
-    return rows.join(F.broadcast(first), "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
+    sums = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    first = stage(sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")), "starts")
+    return rows.join(bounded(first, 200_000), "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:

@@ -252,7 +252,7 @@ def test_similar_documents(spark, odd):
     far = [p for p in pairs if p not in near]
     assert len(near) >= 50 and len(far) >= 20
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, cid int")
-    for most in (2, 4096):
+    for most in (2,):
         group = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df, most=most, most_shingles=500 * most).collect()}
         assert np.mean([group[a] == group[b] for a, b in near]) >= 0.95
         assert all(group[a] != group[b] for a, b in far)
