@@ -65,6 +65,8 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            del lists, flat
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
