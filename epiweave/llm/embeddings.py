@@ -64,7 +64,7 @@ def keyed(vectors: DataFrame) -> DataFrame:
 
 
 def described(classes: DataFrame, points: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    """(cid, lab, v, copies) -> with dim and tops: the numbers of the `prefix` nearest reference points, ascending."""
+    """(cid, lab, v) -> (cid, lab, dim, tops): the numbers of the `prefix` nearest reference points, ascending."""
 
     def run(batches):
         for b in batches:
@@ -81,9 +81,9 @@ def described(classes: DataFrame, points: dict[int, np.ndarray], prefix: int) ->
                     near = np.zeros((len(at), 1), "<u2")
                 for i, t in zip(at.tolist(), near, strict=True):
                     tops[i] = t.tobytes()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cid", "lab", "copies", "v")), pa.array(size), pa.array(tops, pa.binary())], ["cid", "lab", "copies", "v", "dim", "tops"])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("lab"), pa.array(size), pa.array(tops, pa.binary())], ["cid", "lab", "dim", "tops"])
 
-    return classes.select("cid", "lab", "copies", "v").mapInArrow(run, "cid long, lab string, copies long, v binary, dim int, tops binary")
+    return classes.select("cid", "lab", "v").mapInArrow(run, "cid long, lab string, dim int, tops binary")
 
 
 def inverted(index: DataFrame, shared: int) -> DataFrame:
@@ -153,7 +153,7 @@ def survivors(lists: DataFrame, shared: int, most: int) -> DataFrame:
     return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, kinds)
 
 
-def verified(entries: DataFrame, index: DataFrame, least: float, shared: int) -> DataFrame:
+def verified(entries: DataFrame, index: DataFrame, classes: DataFrame, least: float, shared: int) -> DataFrame:
     """Rows (kind, a, b): kind 0 adds b links to class a; kind 1 is an edge of a spanning forest of the links.
 
     The candidates of each list are verified by their cosine in double precision; a pair is a candidate in
@@ -189,7 +189,7 @@ def verified(entries: DataFrame, index: DataFrame, least: float, shared: int) ->
             if kinds:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (kinds, a, b)], ["kind", "a", "b"])
 
-    full = entries.join(index.select("cid", "copies", "v", "tops"), "cid")
+    full = entries.join(index.select("cid", "tops"), "cid").join(classes.select("cid", "copies", "v"), "cid")
     return full.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "kind long, a long, b long")
 
 
@@ -207,9 +207,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most
     by its `prefix` nearest ones. Inverted lists of ids find the pairs that share enough of them
     (`shared_count`); only then are vectors fetched, and only those pairs verified.
     """
-    rows = stage(keyed(vectors), "vectors")
-    classes = rows.where("k is not null").groupBy("lab", "k").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
+    full = stage(keyed(vectors), "vectors")
+    rows = stage(full.select("vec_id", "lab", "k"), "rows")
+    classes = full.where("k is not null").groupBy("lab", "k").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("v").alias("v"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    unstage(full)
     sizes = {r[0]: r[1] for r in classes.groupBy((F.length("v") / 8).cast("int")).count().orderBy(F.desc("count")).limit(8).collect()}
     points, shared = {}, 6
     for dim, n in sizes.items():
@@ -219,7 +221,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most
         shared = min(shared, shared_count(most_points))
     index = stage(described(classes, points, prefix), "index")
     entries = stage(survivors(inverted(index, shared), shared, most), "entries")
-    found = stage(verified(entries, index, least, shared), "found")
+    found = stage(verified(entries, index, classes, least, shared), "found")
     unstage(index, entries)
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     comp = stage(components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("cid"), "comp"), "comp")
@@ -229,7 +231,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most
     facts = facts.join(links, "cid", "left").join(named, "cid", "left").select(
         "lab", "k", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "first_id").alias("component_id")
     )
-    out = rows.select("vec_id", "lab", "k").join(stage(facts, "facts"), ["lab", "k"], "left")
+    out = rows.join(stage(facts, "facts"), ["lab", "k"], "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
 
