@@ -71,7 +71,7 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: model -> (score, constant of the probability score / (score + constant)), as Spark and DuckDB SQL: stand-ins for the fitted maps.
-_WAVE = "round(10 + 3 * cos(2 * pi() * (epi_week - 1) / 52) + 2 * sin(2 * pi() * (epi_week - 1) / 52), 6)"
+_WAVE = "round(10 + 3 * cos(2 * pi() * (epi_week - 1) / 52) + 2 * sin(2 * pi() * (epi_week - 1) / 52), 4)"
 SCORES = {"model": ("2 * roll4 + lag1", "24.0"), "recent4": ("roll4", "8.0"), "lag1": ("lag1", "8.0"), "seasonal": (_WAVE, "9.0"), "seasonal_persist": (f"round(0.5 * roll4 + 0.5 * {_WAVE} + 0.1 * lag1, 6)", "9.5")}
 
 
