@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epiweave.functions import calendar as cal
 from epiweave.operators import lags as lg
 
 from .bindings import MONDAY, WEEK, bucket, sql_bucket, weekly, with_
