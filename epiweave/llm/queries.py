@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, html_text, packing, pii, quality, simhash, token_files, url_graph
+from . import chat, decontaminate, embeddings, fill_middle, html_text, merkle, packing, pii, quality, simhash, token_files, url_graph, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_urls": url_graph.op10_urls,
+    "op11_warc": warc.op11_warc,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
-ORACLE_SQL = {"op1_chat": chat.ORACLE}
+ORACLE_SQL = {"op1_chat": chat.ORACLE, "op11_warc": warc.ORACLE, "op12_merkle": merkle.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
