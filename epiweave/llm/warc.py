@@ -284,28 +284,32 @@ def converted(fields: dict[str, str], block: bytes, tag: int, target: tuple[int
     return warc_record(headers, kept)
 
 
-def revisits(records: DataFrame, least: int) -> DataFrame:
+def revisits(records: DataFrame, least: int, most: int = 1_000_000) -> DataFrame:
     """`arc_records` -> (path, revisits): of equal payloads of at least `least` bytes, all but the one of the largest page_id.
 
     Payloads are equal by SHA-1 and length. Ties of page_id (and records without one) go by the tag. The
     largest of each payload is found by a pre-aggregated maximum, so a payload of a third of all records is no
     burden; those that repeat meet their records by a broadcast of at most 200,000, else by a join that
-    adaptive execution splits where it is skewed. A row holds an archive's revisits: at most its records.
+    adaptive execution splits where it is skewed. A row holds an archive's revisits, at most its records;
+    up to `most` of them all together (some 40 bytes each) are marked for a broadcast, which leaves the
+    archives where they are, and more for a shuffled hash join, which moves archives once as they are stored.
     """
     long = records.where(F.col("payload_bytes") >= least)
-    most = long.groupBy("digest", "payload_bytes").agg(F.count("*").alias("_n"), F.max(F.struct("page_id", "tag")).alias("target"))
-    again = stage(most.where("_n > 1").drop("_n"), "repeated")
+    largest = long.groupBy("digest", "payload_bytes").agg(F.count("*").alias("_n"), F.max(F.struct("page_id", "tag")).alias("target"))
+    again = stage(largest.where("_n > 1").drop("_n"), "repeated")
     hits = long.join(bounded(again, 200_000), ["digest", "payload_bytes"]).where("tag <> target.tag")
-    return hits.groupBy("path").agg(F.collect_list(F.struct("tag", F.col("target.page_id").alias("page_id"), F.col("target.tag").alias("to"))).alias("revisits"))
+    hits = stage(hits.select("path", "tag", F.col("target.page_id").alias("page_id"), F.col("target.tag").alias("to")), "revisits")
+    lists = hits.groupBy("path").agg(F.collect_list(F.struct("tag", "page_id", "to")).alias("revisits"))
+    return F.broadcast(lists) if hits.limit(most + 1).count() <= most else lists.hint("shuffle_hash")
 
 
-def convert(spark: SparkSession, arcs: str, path: str, least: int = 1000, archive_bytes: int = 8 << 20) -> None:
+def convert(spark: SparkSession, arcs: str, path: str, least: int = 1000, archive_bytes: int = 8 << 20, most: int = 1_000_000) -> None:
     """Converts a folder of ARC files to WARC files: each record's block is carried over, revisits keep only its HTTP header.
 
     The first pass reads identities and digests; the second reads an archive beside its list of revisits.
     """
     records = stage(arc_records(read_files(spark, arcs)), "arc-records")
-    lists = revisits(records, least)
+    lists = revisits(records, least, most)
 
     def run(batches):
         part, first = TaskContext.get().partitionId(), {}
@@ -323,7 +327,7 @@ def convert(spark: SparkSession, arcs: str, path: str, least: int = 1000, archiv
 
         yield from files(items(), lambda n: warc_info(first["fields"], name(n)), lambda n, item: converted(*item), archive_bytes)
 
-    both = read_files(spark, arcs).join(lists.hint("shuffle_hash"), "path", "left")
+    both = read_files(spark, arcs).join(lists, "path", "left")
     write_files(both.mapInArrow(run, "value binary"), path)
 
 

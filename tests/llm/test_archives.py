@@ -30,11 +30,12 @@ PAGES = [(1, "http://a.org/x y\n", LONG, 0), (9, "http://b.org/", LONG, 0), (9,
 PAGE_SCHEMA = "page_id long, url string, html string, path int"
 
 
-@pytest.fixture(scope="module")
-def archives(spark):
+@pytest.fixture(scope="module", params=[0, 1000])
+def archives(spark, request):
+    """With the lists of revisits shuffled and broadcast."""
     arcs, warcs = common.shared_dir(spark, "arc"), common.shared_dir(spark, "warc")
     warc.write_arc(spark.createDataFrame(PAGES, PAGE_SCHEMA).repartition(3), arcs, archive_bytes=2000)
-    warc.convert(spark, arcs, warcs, archive_bytes=2500)
+    warc.convert(spark, arcs, warcs, archive_bytes=2500, most=request.param)
     return arcs, warcs
 
 
