@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiweave.functions import calendar as cal
+from epiweave.operators.evaluation import running
 
 GENESIS = "0" * 64
 WEEK = ["epi_year", "epi_week"]
@@ -20,28 +21,38 @@ def record_hash(payload: str = "payload") -> Column:
     return F.sha2(F.col(payload), 256)
 
 
-def chain(records: DataFrame, genesis: str = GENESIS) -> DataFrame:
+def chain(records: DataFrame, genesis: str = GENESIS, tails: DataFrame | None = None) -> DataFrame:
     """records(chain, seq, payload) -> + prev, hash; hash is the SHA-256 of prev | payload.
 
     Chains are dealt out over tasks and read in order as a stream that keeps one hash, so a chain of any
     length passes in bounded memory; building one chain is sequential by nature. Ties of seq go by payload,
-    and the records of a null chain form one chain.
+    null payloads count as empty, and the records of a null chain form one chain. tails(chain, hash) are the
+    last hashes of chains that go on: they stand in front of their chain's records in the stream; other chains start at genesis.
     """
 
     def run(batches):
         last_chain, last = run, genesis  # no chain equals run
         for b in batches:
-            prevs, hashes = [], []
-            for c, p in zip(b.column("chain").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            prevs, hashes, kept = [], [], []
+            for c, p, tail in zip(b.column("chain").to_pylist(), b.column("payload").to_pylist(), b.column("tail").to_pylist(), strict=True):
                 if last_chain is run or c != last_chain:
                     last_chain, last = c, genesis
+                kept.append(tail is None)
+                if tail is not None:
+                    last = tail
+                    continue
                 prevs.append(last)
                 last = hashlib.sha256(f"{last}|{p or ''}".encode()).hexdigest()
                 hashes.append(last)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("chain", "seq", "payload")), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], ["chain", "seq", "payload", "prev", "hash"])
+            own = b.select(["chain", "seq", "payload"]).filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], ["chain", "seq", "payload", "prev", "hash"])
 
-    rows = records.select(F.col("chain").cast("long"), F.col("seq").cast("long"), F.col("payload").cast("string"))
-    return rows.repartition("chain").sortWithinPartitions("chain", "seq", "payload").mapInArrow(run, "chain long, seq long, payload string, prev string, hash string")
+    none = F.lit(None).cast("string")
+    rows = records.select(F.col("chain").cast("long"), F.col("seq").cast("long"), F.col("payload").cast("string"), none.alias("tail"))
+    if tails is not None:
+        rows = rows.union(tails.select(F.col("chain").cast("long"), F.lit(None).cast("long"), none, F.col("hash")))
+    rows = rows.repartition("chain").sortWithinPartitions("chain", F.col("tail").isNull(), "seq", "payload")
+    return rows.mapInArrow(run, "chain long, seq long, payload string, prev string, hash string")
 
 
 def verify(ledger: DataFrame, genesis: str | None = GENESIS, own: Column | None = None) -> DataFrame:
@@ -50,16 +61,17 @@ def verify(ledger: DataFrame, genesis: str | None = GENESIS, own: Column | None
     own is the hash a record should have (by default the SHA-256 of prev | payload). Every record meets its
     predecessor by a join on chain and seq - 1, so even one single chain of any length spreads over all tasks.
     A record is out of sequence if its number is below 1, repeated, or lacks the one before it; the first
-    record's prev must be genesis, which may be null.
+    record's prev must be genesis, which may be null. A record without a stored hash is refused for that.
+    Null payloads count as empty, as in `chain`.
     """
-    own = F.sha2(F.concat_ws("|", "prev", "payload"), 256) if own is None else own
+    own = F.sha2(F.concat("prev", F.lit("|"), F.coalesce("payload", F.lit(""))), 256) if own is None else own
     rows = ledger.select("chain", "seq", "prev", "hash", own.alias("_own"))
     rows = rows.groupBy("chain", "seq").agg(F.count("*").alias("_n"), F.max("prev").alias("prev"), F.max("hash").alias("hash"), F.max("_own").alias("_own"))
     before = rows.select(F.col("chain").alias("_c"), (F.col("seq") + 1).alias("_s"), F.col("hash").alias("_before"), F.lit(True).alias("_there"))
     both = rows.join(before, F.col("chain").eqNullSafe(F.col("_c")) & (F.col("seq") == F.col("_s")), "left")
     order = (F.col("_n") > 1) | (F.col("seq") < 1) | ((F.col("seq") > 1) & F.col("_there").isNull())
     expected = F.when(F.col("seq") == 1, F.lit(genesis)).otherwise(F.col("_before"))
-    reason = F.when(order, "sequence").when(~F.col("prev").eqNullSafe(expected), "broken link").when(~F.col("hash").eqNullSafe(F.col("_own")), "altered record")
+    reason = F.when(order, "sequence").when(F.col("hash").isNull(), "missing hash").when(~F.col("prev").eqNullSafe(expected), "broken link").when(~F.col("hash").eqNullSafe(F.col("_own")), "altered record")
     bad = both.withColumn("reason", reason).groupBy("chain").agg(F.sum("_n").alias("records"), F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))).alias("_b"))
     return bad.select("chain", "records", F.col("_b.seq").alias("first_bad_seq"), F.col("_b.reason").alias("reason"))
 
@@ -114,9 +126,17 @@ def canonical_json(lines: DataFrame, raw: str = "raw", own: Sequence[str] = ())
 
 
 def sequence_gaps(ledger: DataFrame) -> DataFrame:
-    w = Window.partitionBy("chain").orderBy("seq")
-    rows = ledger.withColumn("expected", F.row_number().over(w).cast("long"))
-    return rows.where(F.col("seq") != F.col("expected")).groupBy("chain").agg(F.min("expected").alias("first_gap"), F.count("*").alias("n_bad"))
+    """By chain with records out of place: the first place (from 1) whose record has another number, and how many records do.
+
+    A record's place is 1 + the records of its chain with smaller numbers, counted by prefix sums over ranges,
+    so one chain of any length spreads over all tasks. Of repeated numbers at most one is in place.
+    """
+    counts = ledger.groupBy("chain", "seq").agg(F.count("*").alias("_n"))
+    rows = running(counts, ["chain"], "seq", ["_n"])
+    placed = (F.col("seq") > F.col("before__n")) & (F.col("seq") <= F.col("before__n") + F.col("_n"))
+    bad = F.col("_n") - F.coalesce(placed, F.lit(False)).cast("long")
+    first = F.col("before__n") + F.when(F.coalesce(F.col("seq") == F.col("before__n") + 1, F.lit(False)), 2).otherwise(1)
+    return rows.withColumns({"_bad": bad, "_first": first}).where("_bad > 0").groupBy("chain").agg(F.min("_first").alias("first_gap"), F.sum("_bad").alias("n_bad"))
 
 
 def idempotent(existing: DataFrame, new: DataFrame, k: Sequence[str], hash_: str = "hash") -> DataFrame:

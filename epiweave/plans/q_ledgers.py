@@ -7,29 +7,43 @@ from pyspark.sql import functions as F
 from epiweave.functions import calendar as cal
 from epiweave.operators import ledgers as led
 
-from .bindings import MONDAY, WEEK, bucket, ledger, panel, read, sql_bucket, with_
+from .bindings import CTES, MONDAY, WEEK, bucket, ledger, panel, read, sql_bucket, with_
 from .q_lags import guard as guarded
 from .registry import ORACLE_SQL, query
 
 K = ["k"]
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq, payload) AS r FROM ledger"
-_CHAINED = f"""SELECT chain, seq, payload, r, '{led.GENESIS}' AS prev, sha256('{led.GENESIS}' || '|' || payload) AS hash FROM ranked WHERE r = 1
-    UNION ALL SELECT n.chain, n.seq, n.payload, n.r, c.hash, sha256(c.hash || '|' || n.payload) FROM chained c JOIN ranked n ON n.chain = c.chain AND n.r = c.r + 1"""
+_CHAINED = f"""SELECT chain, seq, payload, r, '{led.GENESIS}' AS prev, sha256('{led.GENESIS}' || '|' || coalesce(payload, '')) AS hash FROM ranked WHERE r = 1
+    UNION ALL SELECT n.chain, n.seq, n.payload, n.r, c.hash, sha256(c.hash || '|' || coalesce(n.payload, '')) FROM chained c JOIN ranked n ON n.chain = c.chain AND n.r = c.r + 1"""
 
 
 def _recursive(body: str, **more: str) -> str:
-    return with_("ledger", body, ranked=_RANKED, chained=_CHAINED, **more).replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_("", body, **_HOLES, ranked=_RANKED, chained=_CHAINED, **more).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 _B = sql_bucket("'bad'", "CAST(chain AS VARCHAR)", "CAST(seq AS VARCHAR)")
-_TAMPERED = f"SELECT chain, seq, CASE WHEN {_B} % 29 = 0 THEN payload || '!' ELSE payload END AS payload, prev, CASE WHEN {_B} % 31 = 1 THEN sha256(prev || '|' || payload || '?') ELSE hash END AS hash FROM chained WHERE {_B} % 37 <> 2"
+_LEDGER = CTES["ledger"][0].replace("AS payload FROM", "AS payload0 FROM")
+_HOLES = {"ledger0": _LEDGER, "ledger": f"SELECT chain, seq, CASE WHEN {_B} % 19 <> 7 THEN payload0 END AS payload FROM ledger0"}
+_TAMPERED = f"""SELECT chain, seq, CASE WHEN {_B} % 29 = 0 THEN coalesce(payload, '') || '!' ELSE payload END AS payload, prev,
+    CASE WHEN {_B} % 41 = 3 THEN NULL WHEN {_B} % 31 = 1 THEN sha256(prev || '|' || coalesce(payload, '') || '?') ELSE hash END AS hash FROM chained WHERE {_B} % 37 <> 2"""
+
+
+def _bad():
+    return bucket(F.lit("bad"), F.col("chain").cast("string"), F.col("seq").cast("string"))
+
+
+def with_holes(spark, d):
+    """The ledger with some payloads null."""
+    return ledger(spark, d).withColumn("payload", F.when(_bad() % 19 != 7, F.col("payload")))
 
 
 def tampered(spark, d):
-    b = bucket(F.lit("bad"), F.col("chain").cast("string"), F.col("seq").cast("string"))
-    rows = led.chain(ledger(spark, d)).withColumn("b", b).where("b % 37 <> 2")
-    forged = F.sha2(F.concat(F.col("prev"), F.lit("|"), F.col("payload"), F.lit("?")), 256)
-    return rows.withColumns({"hash": F.when(F.col("b") % 31 == 1, forged).otherwise(F.col("hash")), "payload": F.when(F.col("b") % 29 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))}).drop("b")
+    """Some records are lost, some changed, some forged, and some have lost their hash."""
+    rows = led.chain(with_holes(spark, d)).withColumn("b", _bad()).where("b % 37 <> 2")
+    payload = F.coalesce("payload", F.lit(""))
+    forged = F.sha2(F.concat(F.col("prev"), F.lit("|"), payload, F.lit("?")), 256)
+    hash_ = F.when(F.col("b") % 41 != 3, F.when(F.col("b") % 31 == 1, forged).otherwise(F.col("hash")))
+    return rows.withColumns({"hash": hash_, "payload": F.when(F.col("b") % 29 == 0, F.concat(payload, F.lit("!"))).otherwise(F.col("payload"))}).drop("b")
 
 
 @query("led_record_hash", with_("ledger", "SELECT chain, seq, sha256(payload) AS hash FROM ledger"))
@@ -39,11 +53,11 @@ def record_hash(spark, d):
 
 @query("led_chain", _recursive("SELECT chain, seq, prev, hash FROM chained"))
 def chain(spark, d):
-    return led.chain(ledger(spark, d)).select("chain", "seq", "prev", "hash")
+    return led.chain(with_holes(spark, d)).select("chain", "seq", "prev", "hash")
 
 
 @query("led_verify", _recursive(f"""SELECT chain, count(*) AS records, min(seq) FILTER (WHERE reason IS NOT NULL) AS first_bad_seq, arg_min(reason, seq) FILTER (WHERE reason IS NOT NULL) AS reason FROM (
-    SELECT *, CASE WHEN row_number() OVER w <> seq THEN 'sequence' WHEN prev <> coalesce(lag(hash) OVER w, '{led.GENESIS}') THEN 'broken link' WHEN sha256(prev || '|' || payload) <> hash THEN 'altered record' END AS reason FROM tampered WINDOW w AS (PARTITION BY chain ORDER BY seq)) GROUP BY chain""", tampered=_TAMPERED))
+    SELECT *, CASE WHEN row_number() OVER w <> seq THEN 'sequence' WHEN hash IS NULL THEN 'missing hash' WHEN prev IS DISTINCT FROM CASE WHEN seq = 1 THEN '{led.GENESIS}' ELSE lag(hash) OVER w END THEN 'broken link' WHEN sha256(prev || '|' || coalesce(payload, '')) <> hash THEN 'altered record' END AS reason FROM tampered WINDOW w AS (PARTITION BY chain ORDER BY seq)) GROUP BY chain""", tampered=_TAMPERED))
 def verify(spark, d):
     return led.verify(tampered(spark, d))
 

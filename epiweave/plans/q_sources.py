@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from epiweave.operators import ledgers as led
 from epiweave.sources import files
+from epiweave.sources import ledger_store as ls
 from epiweave.sources.shared import shared_dir
 
 from .bindings import WEEK, bucket, ledger, panel, sql_bucket, with_
@@ -91,11 +92,16 @@ def series_append(spark, d):
     return spark.read.parquet(path).groupBy("epi_year").agg(F.count("*").alias("n"))
 
 
-@query("snk_ledger_append", with_("ledger", "SELECT chain, count(*) AS n, max(hash) AS last FROM (SELECT chain, hash FROM chained) GROUP BY 1", ranked=_RANKED, chained=_CHAINED).replace("WITH ", "WITH RECURSIVE ", 1))
+@query("snk_ledger_append", with_("ledger", "SELECT chain, count(*) AS n, arg_max(hash, r) AS last, 3 AS version FROM chained GROUP BY 1", ranked=_RANKED, chained=_CHAINED).replace("WITH ", "WITH RECURSIVE ", 1))
 def ledger_append(spark, d):
-    path = shared_dir(spark, "ledger")
-    files.append_ledger(led.chain(ledger(spark, d)), path, apply=True)
-    return spark.read.parquet(path).groupBy("chain").agg(F.count("*").alias("n"), F.max("hash").alias("last"))
+    """Three appends, each from the stored tails: the first records of every chain, those up to the fourth, the rest."""
+    store = ls.open_ledger(spark, shared_dir(spark, "ledger"))
+    rows = ledger(spark, d)
+    for part in ("seq = 1", "seq between 2 and 4", "seq > 4"):
+        store = ls.append(store, rows.where(part))
+    store = ls.open_ledger(spark, store.path)
+    last = F.max(F.struct("seq", "hash"))["hash"]
+    return store.records().groupBy("chain").agg(F.count("*").alias("n"), last.alias("last")).withColumn("version", F.lit(store.version))
 
 
 @query("snk_upsert", with_("", "SELECT state, count(*) AS n, round(sum(score), 3) AS total FROM m GROUP BY 1", **_BOARD))

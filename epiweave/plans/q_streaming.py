@@ -59,10 +59,14 @@ def late(spark, d):
     return out.groupBy("event_type").agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("merged"))
 
 
-@query("str_ledger", "SELECT user_id, event_type, count(DISTINCT event_id % 2) = 2 AS repeated FROM events GROUP BY 1, 2")
+@query("str_ledger", """WITH v AS (SELECT DISTINCT user_id, event_type, event_id % 2 AS part, sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type, CAST(event_id // 2 % 3 AS VARCHAR))) AS hash FROM events),
+    f AS (SELECT *, first_value(hash) OVER (PARTITION BY user_id, event_type ORDER BY part, hash) AS own, row_number() OVER (PARTITION BY user_id, event_type ORDER BY part, hash) AS r FROM v)
+    SELECT user_id, event_type, max(own) AS hash, count(*) FILTER (WHERE hash = own AND r > 1) AS skipped, count(*) FILTER (WHERE hash <> own) AS conflicts FROM f GROUP BY 1, 2""")
 def ledger(spark, d):
-    """One record for each user and event type; the second batch's keys are skipped where the first had them."""
+    """One record for each user and event type; records of both batches may repeat it or conflict with it."""
     rows = _stream(spark, d, ("event_id % 2 = 0", "event_id % 2 = 1"))
-    rows = rows.select("user_id", "event_type", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256).alias("hash"))
-    out = st.append_once(rows, spark, "once", ["user_id", "event_type"])
-    return out.groupBy("user_id", "event_type").agg((F.count_if(F.col("action") == "skip") > 0).alias("repeated"))
+    version = F.floor(F.col("event_id") / 2) % 3
+    rows = rows.select("user_id", "event_type", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", version.cast("string")), 256).alias("hash"))
+    out = st.run_available(st.append_once(rows, ["user_id", "event_type"]), "once")
+    action = F.col("action")
+    return out.groupBy("user_id", "event_type").agg(F.max(F.when(action == "append", F.col("hash"))).alias("hash"), F.count_if(action == "skip").alias("skipped"), F.count_if(action == "conflict").alias("conflicts"))

@@ -54,12 +54,6 @@ def append_series(existing: DataFrame, new: DataFrame, k: Sequence[str], path: s
     return delta
 
 
-def append_ledger(chained: DataFrame, path: str, apply: bool = False) -> DataFrame:
-    if apply:
-        chained.write.mode("append").partitionBy("chain_bucket").parquet(path) if "chain_bucket" in chained.columns else chained.write.mode("append").parquet(path)
-    return chained
-
-
 def upsert(board: DataFrame, updates: DataFrame, k: Sequence[str], path: str, apply: bool = False) -> DataFrame:
     """The merged board; with apply it is written as a new version at path, which must not exist yet."""
     merged = bd.upsert(board, updates, k)

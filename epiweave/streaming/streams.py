@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from epiweave.operators import ledgers as led
 from epiweave.sources.shared import shared_dir
 
 
@@ -36,9 +37,10 @@ def first_seen(events: DataFrame, by: Sequence[str], delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(by))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Drains the stream into out, going on from the checkpoint in state; both are fresh folders unless given."""
     spark = stream.sparkSession
-    out, state = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
+    out, state = out or shared_dir(spark, name), state or shared_dir(spark, f"{name}-state")
     stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -51,43 +53,65 @@ def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], N
 def split_late(stream: DataFrame, spark: SparkSession, name: str, delay: str) -> DataFrame:
     """Rows with late: their time is more than `delay` before the latest time of earlier batches; counted, not merged.
 
-    The latest time of each batch is kept beside the rows, in a folder that a repeated batch replaces, so a
-    restarted stream goes on where it stopped.
+    The latest time up to each batch is kept beside the rows, in a folder that a repeated batch replaces, so a
+    restarted stream goes on where it stopped. A batch reads the one row of the batch before it.
     """
     out, tops = shared_dir(spark, name), shared_dir(spark, f"{name}-latest")
 
     def each(batch: DataFrame, number: int) -> None:
-        late = F.lit(False)
+        late, before = F.lit(False), spark.createDataFrame([], "latest timestamp")
         if number:
-            top = spark.read.schema("latest timestamp, batch int").parquet(tops).where(F.col("batch") < number).agg(F.max("latest").alias("top"))
-            batch = batch.crossJoin(F.broadcast(top))  # one row
+            before = spark.read.schema("latest timestamp").parquet(f"{tops}/batch={number - 1}")
+            batch = batch.crossJoin(F.broadcast(before.select(F.col("latest").alias("top"))))  # one row
             late = F.coalesce(F.col("ts") < F.col("top") - F.expr(f"interval {delay}"), F.lit(False))
         batch.withColumn("late", late).drop("top").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{tops}/batch={number}")
+        batch.select(F.col("ts").alias("latest")).union(before).agg(F.max("latest").alias("latest")).write.mode("overwrite").parquet(f"{tops}/batch={number}")
 
     run_batches(stream, name, each)
     return spark.read.parquet(out)
 
 
-def append_once(stream: DataFrame, spark: SparkSession, name: str, k: Sequence[str]) -> DataFrame:
-    """One record a key over all batches: later ones with the same hash are skipped, those with another are conflicts.
+class Once(StatefulProcessor):
+    """Keeps a key's hash in the state store: the first is appended, equal ones are skipped, others are conflicts.
 
-    Within a batch the record with the smallest hash stands for its key and the others are conflicts; equal
-    records count once. A batch is written to its own folder and replaced as a whole when it is repeated:
-    exactly once.
+    Within a batch the smallest hash stands for its key if it has none yet; equal records count once. With
+    keep_ms the state of a key goes that long after it was set, which bounds the store where keys age.
     """
-    out = shared_dir(spark, name)
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates([*k, "hash"])
-        first = F.col("hash") == F.min("hash").over(Window.partitionBy(*k))
-        if number:
-            old = spark.read.parquet(out).where((F.col("batch") < number) & (F.col("action") == "append")).select(*k, "hash")
-            rows = led.idempotent(old, rows, k)
-        else:
-            rows = rows.withColumn("action", F.lit("append"))
-        rows = rows.withColumn("action", F.when((F.col("action") == "append") & ~first, "conflict").otherwise(F.col("action")))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def __init__(self, keep_ms: int | None = None) -> None:
+        self.keep_ms = keep_ms
 
-    run_batches(stream, name, each)
-    return spark.read.parquet(out)
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState("hash", "hash string", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
+        stored = self.kept.get()[0] if self.kept.exists() else None
+        for hash_ in sorted({h for batch in rows for h in batch["hash"]}):
+            if stored is None:
+                stored, action = hash_, "append"
+                self.kept.update((hash_,))
+            else:
+                action = "skip" if hash_ == stored else "conflict"
+            yield pd.DataFrame({**{f"k{i}": [k] for i, k in enumerate(key)}, "hash": [hash_], "action": [action]})
+
+
+def append_once(stream: DataFrame, k: Sequence[str], keep_ms: int | None = None) -> DataFrame:
+    """stream(k..., hash) -> stream (k..., hash, action): one record a key over all batches, kept in Spark's state store.
+
+    What a batch costs goes with its own keys, not with the batches before. Repeated rows of a key are
+    dropped where they lie before the shuffle, so a key of a third of all rows is no burden. Rows of a null
+    hash are left out; the keys must not be null. A restart from the checkpoint neither loses nor repeats.
+    """
+    names = [*k, "hash"]
+    own = stream.select(*names).where("hash is not null")
+    thin = own.mapInPandas(lambda batches: (b.drop_duplicates() for b in batches), own.schema)
+    kinds = [f"k{i} {own.schema[c].dataType.simpleString()}" for i, c in enumerate(k)]
+    use_state_store(stream.sparkSession)
+    mode = "none" if keep_ms is None else "processingTime"
+    out = thin.groupBy(*k).transformWithStateInPandas(Once(keep_ms), ", ".join([*kinds, "hash string", "action string"]), "append", mode)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(k)), "hash", "action")
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed processors need the store that spills to disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

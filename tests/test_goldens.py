@@ -216,15 +216,6 @@ def test_chain_of_null_key_goes_on_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_conflicts_within_a_batch_and_late_rows_after_a_restart(spark, tmp_path):
-    from epiweave.streaming import streams as st
-
-    rows = spark.createDataFrame([(1, "h1"), (1, "h2"), (2, "h1"), (2, "h1")], "k int, hash string")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = st.append_once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), spark, "conflicts", ["k"])
-    assert sorted((r["k"], r["hash"], r["action"]) for r in out.collect()) == [(1, "h1", "append"), (1, "h2", "conflict"), (2, "h1", "append")]
-
-
 def test_curves_of_large_groups_equal_small_ones(spark):
     rows = [(g, random.Random(i).randrange(40) / 40, i % 3 == 0) for g in (1, 2, None) for i in range(300)]
     df = spark.createDataFrame([(g, s, int(y)) for g, s, y in rows], "g int, score double, y int")
