@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +90,16 @@ def bin_edges(bins: int) -> list[float]:
     return [i * (1.0 / bins) for i in range(bins)] + [1.0]
 
 
-def reliability(scored: DataFrame, by: Sequence[str], bins: int = 5, p: str = "prob", y: str = "y") -> DataFrame:
-    """By bin of p: n, mean p, observed rate; empty bins are rows with n 0 and nulls; the last bin is closed; null p count nowhere."""
-    edges = bin_edges(bins)
-    at = F.lit(bins)
+def bin_of(p: str, bins: int) -> Column:
+    edges, at = bin_edges(bins), F.lit(bins)
     for i in range(bins - 1, 0, -1):
         at = F.when(F.col(p) < edges[i], i).otherwise(at)
-    full = scored.where(F.col(p).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed"))
+    return at
+
+
+def reliability(scored: DataFrame, by: Sequence[str], bins: int = 5, p: str = "prob", y: str = "y") -> DataFrame:
+    """By bin of p: n, mean p, observed rate; empty bins are rows with n 0 and nulls; the last bin is closed; null p count nowhere."""
+    full = scored.where(F.col(p).isNotNull()).groupBy(*by, bin_of(p, bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed"))
     spine = scored.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     return spine.join(full, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -104,21 +109,41 @@ def ece(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     return curve.groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
-def summary(scored: DataFrame, by: Sequence[str], p: str = "prob", y: str = "y", bins: int = 5) -> DataFrame:
-    """n, rate, AUROC of p, Brier, ECE and log loss of each group; null group values are groups of their own."""
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_{c}") for c in by]
-    names = [f"_{c}" for c in by]
-    rows = scored.select(*by, *keys, F.col(p).alias("prob"), F.col(y).alias("y"))
-    area = auroc(rows, names, "prob").select(*names, "auroc")
-    error = ece(reliability(rows, names, bins), names)
-    rest = rows.groupBy(*by, *names).agg(F.count("*").alias("n"), F.avg("y").alias("rate"), brier().alias("brier"), log_loss().alias("log_loss"))
-    return rest.join(area, names).join(error, names).select(*by, "n", "rate", "auroc", "brier", "ece", "log_loss")
+def summary(scored: DataFrame, by: Sequence[str], p: str = "prob", y: str = "y", bins: int = 5, pool: str | None = None) -> DataFrame:
+    """n, rate, AUROC of p, Brier, ECE and log loss of each group; null group values are groups of their own.
+
+    With pool, one of `by`, there are also rows over all its values: there it is null and `pooled` is true, so
+    a group whose own value is null is told from the total. Both come from one reading of the rows: cases
+    are counted by group and distinct p in one pass of grouping sets, and all figures follow from these counts,
+    whose prefix sums spread a group of any size over all tasks. Null p count nowhere.
+    """
+    rows = scored.where(F.col(p).isNotNull()).select(*by, F.col(p).alias("_v"), F.col(y).alias("_y"))
+    counts = (F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_n"))
+    if pool is None:
+        steps = rows.groupBy(*by, "_v").agg(*counts).withColumn("pooled", F.lit(False))
+    else:
+        sets = [[F.col(c) for c in [*by, "_v"]], [F.col(c) for c in [*(c for c in by if c != pool), "_v"]]]
+        steps = rows.groupingSets(sets, *by, "_v").agg(*counts, (F.grouping(pool) == 1).alias("pooled"))
+    keys = [*by, "pooled"]
+    clipped = F.least(F.greatest(F.col("_v"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    parts = running(steps, keys, "_v", ["_n"]).withColumns({
+        "_wins": F.col("_p") * (F.col("before__n") + F.col("_n") / 2), "_sq": F.col("_p") * F.pow(1 - F.col("_v"), 2) + F.col("_n") * F.pow("_v", 2),
+        "_loss": F.col("_p") * F.log(clipped) + F.col("_n") * F.log(1 - clipped), "_sum": (F.col("_p") + F.col("_n")) * F.col("_v"), "_bin": bin_of("_v", bins),
+    })
+    sums = ("_wins", "_sq", "_loss", "_p", "_n")
+    by_bin = parts.groupBy(*keys, "_bin").agg(*(F.sum(c).alias(c) for c in sums), F.abs(F.sum("_p") - F.sum("_sum")).alias("_gap"))
+    out = by_bin.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*sums, "_gap")))
+    n = F.col("_p") + F.col("_n")
+    out = out.select(
+        *keys, n.alias("n"), (F.col("_p") / n).alias("rate"), (F.col("_wins") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("auroc"), (F.col("_sq") / n).alias("brier"), (F.col("_gap") / n).alias("ece"), (-F.col("_loss") / n).alias("log_loss")
+    )
+    return out if pool else out.drop("pooled")
 
 
 def comparators(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """AUROC of the score, Brier and log loss of the probability, for each group and model."""
     keys = [*by, "model"]
-    area = auroc(scored, keys).select(*keys, "auroc", "n")
+    area = wide_auroc(scored, keys).select(*keys, "auroc", "n")
     rest = scored.groupBy(*keys).agg(brier().alias("brier"), log_loss().alias("log_loss"), F.min("ord").alias("ord"))
     return area.join(rest, keys)
 
@@ -138,37 +163,85 @@ def gain(metrics: DataFrame, by: Sequence[str], model: str = "model") -> DataFra
 # --- moving-block bootstrap
 
 
-def block_draws(lengths: DataFrame, by: Sequence[str], reps: int, block: int, seed: str, size: str = "n") -> DataFrame:
-    """(by, rep, i) -> i is a position 1..n of the series: `size` positions for each replicate, in drawn blocks.
+def block_starts(lengths: DataFrame, by: Sequence[str], reps: int, block: int, seed: str, size: str = "n", chunk: int = 250) -> DataFrame:
+    """lengths(by, n[, size]) -> (by, n, drawn, rep, starts): the starts (from 0) of the drawn blocks of replicates rep, rep + 1, ...
 
-    A block's start is floor(u * (n - block + 1)), u from the md5 of seed, group, replicate and block, so
-    every engine draws the same. Replicates are rows, spread over tasks; nothing is collected.
+    A replicate has ceil(size / block) blocks; a block's start is floor(u * (n - block + 1)), u from the md5
+    of seed, group, replicate and block, so every engine draws the same. Rows hold `chunk` replicates and
+    spread over tasks; series of fewer than two blocks have none.
+    """
+    rows = lengths.where(F.col("n") >= 2 * block).select(*by, F.col("n").cast("long").alias("n"), F.col(size).cast("long").alias("drawn"))
+    rows = rows.withColumn("rep", F.explode(F.sequence(*(F.lit(v).cast("long") for v in (0, reps - 1, chunk)))))
+    spread = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = rows.repartition(int(spread), *by, "rep")
+    last = F.least(F.col("rep") + chunk - 1, F.lit(reps - 1).cast("long"))
+
+    def start(rep: Column, b: Column) -> Column:
+        parts = [F.lit(seed), *(F.col(c).cast("string") for c in by), rep.cast("string"), b.cast("string")]
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+        return F.floor(u * (F.col("n") - block + 1))
+
+    numbers = F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("drawn") / block) - 1).cast("long"))
+    return rows.withColumn("starts", F.transform(F.sequence("rep", last), lambda rep: F.transform(numbers, lambda b: start(rep, b))))
+
+
+def _wins(weights: np.ndarray, score: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """AUROC of each row of weights: cases are ranked once, each replicate adds up its weights along that order; nan for one class."""
+    order = np.argsort(score, kind="stable")
+    firsts = np.flatnonzero(np.r_[True, np.diff(score[order]) != 0])
+    along = weights[:, order]
+    up, down = (np.add.reduceat(along * (y[order] == v), firsts, axis=1) for v in (1, 0))
+    below = down.cumsum(1) - down
+    pairs = up.sum(1) * down.sum(1)
+    return np.divide((up * (below + down / 2)).sum(1), pairs, out=np.full(len(pairs), np.nan), where=pairs > 0)
+
+
+def replicates(pairs: DataFrame, lengths: DataFrame, by: Sequence[str], drawn_by: Sequence[str], reps: int, block: int, seed: str, size: str = "n") -> DataFrame:
+    """pairs(by, i, y, score, prob, base_score, base_prob) -> (by, size, rep, d_auroc, d_brier), d_auroc null for one class.
+
+    lengths(drawn_by, n[, size]) says how much is drawn; groups of `by` that share drawn_by share their draws.
+    A group's cases are one row, a series of some hundred weeks, ranked once for all its replicates; replicates
+    are weights along that order, a matrix of a chunk of them a row.
+    """
+    fields = ("y", "score", "prob", "base_score", "base_prob")
+    cases = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", *(F.col(f).cast("double").alias(f) for f in fields)))).alias("_x"))
+    cases = cases.select(*by, *(F.col(f"_x.{f}").alias(f) for f in fields))
+    more = [] if size == "n" else [size]
+    starts = block_starts(lengths, [*drawn_by, *more], reps, block, seed, size)
+    joined = cases.join(starts, list(drawn_by))
+    keys = [*by, *more]
+    joined = joined.select(*keys, "n", "drawn", "rep", "starts", *fields)
+    kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches):
+        for b in batches:
+            out = {c: [] for c in (*keys, "rep", "d_auroc", "d_brier")}
+            for r in b.to_pylist():
+                y, score, prob, base_score, base_prob = (np.array(r[f], float) for f in fields)
+                n, drawn = len(y), np.array(r["starts"], np.int64)
+                at = (drawn[:, :, None] + np.arange(block)).reshape(len(drawn), -1)[:, : r["drawn"]]
+                flat = (at + n * np.arange(len(drawn))[:, None]).ravel()
+                weights = np.bincount(flat, minlength=n * len(drawn)).reshape(len(drawn), n).astype(float)
+                area = _wins(weights, score, y) - _wins(weights, base_score, y)
+                error = weights @ ((prob - y) ** 2 - (base_prob - y) ** 2) / weights.sum(1)
+                for c in keys:
+                    out[c] += [r[c]] * len(drawn)
+                out["rep"] += range(r["rep"], r["rep"] + len(drawn))
+                out["d_auroc"] += [None if v != v else v for v in area.tolist()]
+                out["d_brier"] += error.tolist()
+            yield pa.RecordBatch.from_pydict(out, pa.schema([*(b.schema.field(c) for c in keys), ("rep", pa.int64()), ("d_auroc", pa.float64()), ("d_brier", pa.float64())]))
+
+    return joined.mapInArrow(run, f"{kinds}, rep long, d_auroc double, d_brier double")
+
+
+def block_bootstrap(pairs: DataFrame, by: Sequence[str], reps: int, block: int, seed: str, drawn_by: Sequence[str] | None = None) -> DataFrame:
+    """pairs(by, i, y, score, prob, base_score, base_prob) -> (by, rep, d_auroc, d_brier); one-class replicates are dropped.
+
+    Groups of `by` that share drawn_by (all of `by` unless given) are compared on the same draws; i counts from 1 without gaps.
     """
-    spark = lengths.sparkSession
-    blocks = lengths.where(F.col("n") >= 2 * block).withColumn("_b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col(size) / block) - 1).cast("int"))))
-    rows = blocks.crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
-    parts = [F.lit(seed), *(F.col(c).cast("string") for c in by), F.col("rep").cast("string"), F.col("_b").cast("string")]
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    rows = rows.withColumn("_s", F.floor(u * (F.col("n") - block + 1)))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("_b") * block + F.col("_o") < F.col(size))
-    return rows.select(*by, *([] if size == "n" else [size]), "rep", (F.col("_s") + F.col("_o") + 1).alias("i"))
-
-
-def block_bootstrap(pairs: DataFrame, by: Sequence[str], reps: int, block: int, seed: str) -> DataFrame:
-    """pairs(by, i, y, score, prob, base_score, base_prob) -> (by, rep, d_auroc, d_brier); one-class replicates are dropped."""
-    lengths = pairs.groupBy(*by).agg(F.count("*").alias("n"))
-    drawn = block_draws(lengths, by, reps, block, seed).groupBy(*by, "rep", "i").agg(F.count("*").alias("times"))
-    return replicate_metrics(drawn.join(pairs, [*by, "i"]), [*by, "rep"])
-
-
-def replicate_metrics(drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """drawn rows (a pair and its `times`) -> (keys, d_auroc, d_brier); replicates of one class are dropped."""
-    times = F.col("times")
-    a = auroc(drawn, keys, "score", n=times).select(*keys, F.col("auroc").alias("_a"))
-    b = auroc(drawn, keys, "base_score", n=times).select(*keys, F.col("auroc").alias("_b"))
-    sq = times * (F.pow(F.col("prob") - F.col("y"), 2) - F.pow(F.col("base_prob") - F.col("y"), 2))
-    c = drawn.groupBy(*keys).agg((F.sum(sq) / F.sum(times)).alias("d_brier"))
-    return a.join(b, list(keys)).join(c, list(keys)).where("_a is not null").select(*keys, (F.col("_a") - F.col("_b")).alias("d_auroc"), "d_brier")
+    drawn_by = list(drawn_by or by)
+    lengths = pairs.groupBy(*drawn_by).agg(F.max("i").alias("n"))
+    return replicates(pairs, lengths, by, drawn_by, reps, block, seed).where("d_auroc is not null")
 
 
 def paired_ci(replicates: DataFrame, by: Sequence[str], least_valid: int, alpha: float = 0.05) -> DataFrame:

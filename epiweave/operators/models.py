@@ -1,12 +1,15 @@
 """Early-warning models of Spark ML on the panel, and small per-cut-off refits.
 
-Feature columns are assembled by name; `weight` balances the classes. Models are fitted on all series
-together; the persistence and seasonal maps have few coefficients, the boosted trees are shallow.
+Feature columns are assembled by name; `weight` balances the classes. The boosted trees are fitted on all
+series together, each by Spark; the small logistic maps are fitted by series (`fits`).
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +20,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from epiweave.functions import calendar as cal
+from epiweave.sources.shared import fingerprint, stage, stored, unstage
 
 WEEK = ["epi_year", "epi_week"]
 HARMONICS = ("s1", "c1", "s2", "c2")
@@ -69,6 +74,75 @@ def importance_groups(rows: DataFrame, seasonal: Sequence[str]) -> DataFrame:
     return rows.groupBy(group.alias("group")).agg(F.sum("importance").alias("importance"))
 
 
+def weighted(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """Rows with the weight of positives that balances the training rows' classes; 1 where these are of one class."""
+    n, positives = train.agg(F.count("y"), F.sum("y")).first()
+    balance = (n - positives) / positives if positives else 1.0
+    return rows.withColumn("weight", F.when(F.col("y") == 1, float(balance or 1.0)).otherwise(1.0))
+
+
+def stored_gbt(train: DataFrame, features: Sequence[str], trees: int = 300, name: str = "trees") -> PipelineModel:
+    """The model of these rows and features, fitted and saved in the shared folder unless it is there.
+
+    It is found by a fingerprint of the rows, so changed rows get a model of their own. Trees take many small
+    jobs over the rows, which are first put in order, as the drawn samples go by it, in as many files, and so tasks, as their size
+    asks for.
+    """
+    rows = train.select(*features, "y", "weight")
+    key = f"{trees}-{fingerprint(rows)}"
+
+    def write(path: str) -> None:
+        table = stage(rows.orderBy(*features, "y"), "training")
+        fit_gbt(table, features, trees=trees).write().save(path)
+        unstage(table)
+
+    return PipelineModel.load(stored(train.sparkSession, name, key, write))
+
+
+def stored_scores(model_rows: DataFrame, rows: DataFrame, features: Sequence[str], columns: Sequence[str], trees: int = 300, name: str = "scores") -> DataFrame:
+    """(columns, p) of rows by the trees of model_rows, as a table in the shared folder that later calls read."""
+    kept = rows.select(*columns, *(f for f in features if f not in columns))
+    key = f"{trees}-{fingerprint(model_rows.select(*features, 'y', 'weight'))}-{fingerprint(kept)}"
+
+    def write(path: str) -> None:
+        apply(stored_gbt(model_rows, features, trees), kept).select(*columns, "p").write.parquet(path)
+
+    schema = StructType([*(kept.schema[c] for c in columns), StructField("p", DoubleType())])
+    return rows.sparkSession.read.schema(schema).parquet(stored(rows.sparkSession, name, key, write))
+
+
+def expanding_trees(rows: DataFrame, k: Sequence[str], features: Sequence[str], cutoffs: Sequence[tuple[int, int]], horizon: int = 4, trees: int = 300, pool: int = 4, least: int = 20) -> DataFrame:
+    """rows(k, epi_year, epi_week, y, features) -> (k, epi_year, epi_week, y, cutoff, p): weeks scored by trees fitted for their cut-off.
+
+    cutoffs are (year, week) of refits, in any number: a weekly list refits each week. A week is scored by
+    the latest cut-off not after it; weeks before the first are left out. The fit of a cut-off sees the weeks whose label was known
+    then: those whose `horizon` weeks had ended before it. Cut-offs with fewer than `least` such rows, or of
+    one class, score by the positive rate, null if there is none. At most `pool` fits run side by side, each
+    a Spark job of its own; each writes its scores to the same table, keyed by cut-off, and is found there
+    when it is asked for again.
+    """
+    start = lambda y, w: datetime.date.fromisocalendar(y, w, 1)
+    order = sorted(set(cutoffs), key=lambda c: start(*c))
+    day = cal.monday(*WEEK)
+    table = stage(rows.select(*k, *WEEK, "y", *(f for f in features if f not in WEEK), day.alias("_day")), "expanding")
+    columns = [*k, *WEEK, "y"]
+
+    def one(at: tuple[tuple[int, int], tuple[int, int] | None]) -> DataFrame:
+        cut, after = at
+        known = table.where((F.col("_day") <= F.lit(start(*cut) - datetime.timedelta(weeks=horizon + 1))) & F.col("y").isNotNull())
+        now = table.where((F.col("_day") >= F.lit(start(*cut))) & (F.lit(True) if after is None else F.col("_day") < F.lit(start(*after))))
+        n, positives = known.agg(F.count("y"), F.sum("y")).first()
+        if n >= least and 0 < positives < n:
+            out = stored_scores(weighted(known, known), now, features, columns, trees, "expanding")
+        else:
+            out = now.select(*columns, F.lit(positives / n if n else None).cast("double").alias("p"))
+        return out.select(*columns, F.lit(f"{cut[0]}-W{cut[1]:02d}").alias("cutoff"), "p")
+
+    with ThreadPoolExecutor(pool) as threads:
+        parts = list(threads.map(one, zip(order, [*order[1:], None], strict=True)))
+    return reduce(DataFrame.union, parts)
+
+
 def newton_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Intercept and weights of an L2 logistic map (the intercept is free)."""
     z = np.column_stack([np.ones(len(x)), x])

@@ -102,7 +102,7 @@ def rank(spark, d):
 @query("cln_eval", with_("line_list", "SELECT state, round(auroc, 6) AS auroc, n, positives FROM area", **_SCORED, rows="SELECT state, round(probability, 9) AS score, y FROM sc", area=auroc_sql("state", "rows")))
 def evaluation(spark, d):
     rows = cl.scored(line_list(spark, d)).select("state", F.round("probability", 9).alias("score"), "y")
-    return ev.auroc(rows, ["state"]).withColumn("auroc", F.round("auroc", 6))
+    return ev.wide_auroc(rows, ["state"]).withColumn("auroc", F.round("auroc", 6))
 
 
 @query("cop_score", with_("line_list", "SELECT id, score FROM cop", **_COP))

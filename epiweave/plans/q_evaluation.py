@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epiweave.functions import calendar as cal
 from epiweave.operators import evaluation as ev
+from epiweave.operators import ledgers as led
 
-from .bindings import WEEK, scored, with_, zero_filled
+from .bindings import WEEK, bucket, scored, sql_bucket, with_, zero_filled
+from .q_ledgers import _CHAINED
 from .registry import query
 
 K = ["k"]
@@ -122,10 +125,7 @@ def _boot(block: int, size: str = "n") -> dict[str, str]:
 
 def replicates(spark, d, block: int = BLOCK, reps: int = REPS):
     """The same drawn weeks for every comparator."""
-    pairs = test_rows(spark, d)
-    lengths = pairs.groupBy("k").agg(F.max("i").alias("n"))
-    drawn = ev.block_draws(lengths, K, reps, block, SEED).groupBy("k", "rep", "i").agg(F.count("*").alias("times"))
-    return ev.replicate_metrics(drawn.join(pairs, ["k", "i"]), ["k", "base", "rep"])
+    return ev.block_bootstrap(test_rows(spark, d), ["k", "base"], reps, block, SEED, drawn_by=K)
 
 
 @query("evl_block_bootstrap", with_("scored", "SELECT k, rep, round(d_auroc, 6) AS d_auroc, round(d_brier, 6) AS d_brier FROM boot WHERE base = 'lag1'", **_boot(BLOCK)))
@@ -172,10 +172,8 @@ def cohort_planning(spark, d):
     """Sign of the Brier interval if a cohort had `size` weeks: blocks resampled to that length."""
     pairs = test_rows(spark, d).where("base = 'lag1'")
     lengths = pairs.groupBy("k").agg(F.max("i").alias("n")).withColumn("size", F.explode(F.array(*map(F.lit, _SIZES))))
-    drawn = ev.block_draws(lengths, ["k", "size"], _PLAN_REPS, BLOCK, SEED, size="size").groupBy("k", "size", "rep", "i").agg(F.count("*").alias("times"))
-    sq = F.col("times") * (F.pow(F.col("prob") - F.col("y"), 2) - F.pow(F.col("base_prob") - F.col("y"), 2))
-    per = drawn.join(pairs, ["k", "i"]).groupBy("k", "size", "rep").agg((F.sum(sq) / F.sum("times")).alias("d"))
-    ci = per.groupBy("k", "size").agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    per = ev.replicates(pairs.drop("base"), lengths, K, K, _PLAN_REPS, BLOCK, SEED, size="size")
+    ci = per.groupBy("k", "size").agg(F.percentile("d_brier", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     out = ci.select("k", "size", F.round(F.col("size") / 13.2, 6).alias("seasons"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return r6(out.withColumn("sign", ev.sign("lo", "hi")), "lo", "hi")
 
@@ -199,24 +197,44 @@ def verdict_v1(spark, d):
     return _verdict_rows(spark, d).select("k", "best", ev.verdict_v1(c("n"), c("positives"), c("model_auroc"), c("best_auroc"), c("brier_delta"), c("auroc_lo")).alias("verdict"))
 
 
-@query("evl_verdict_v2", with_("scored", f"""SELECT g.k, CASE WHEN g.k = 0 THEN 'DATA-INTEGRITY FAILURE' WHEN g.n < 150 OR b_lo IS NULL OR valid < {LEAST_VALID} THEN 'UNDERPOWERED' WHEN b_lo > 0 OR ece > 0.25 THEN 'FAILURE' WHEN brier_delta < 0 AND b_hi < 0 THEN 'SUCCESS' ELSE 'NEUTRAL' END AS verdict
-    FROM gain g LEFT JOIN cis ON cis.k = g.k AND cis.base = g.best JOIN (SELECT k, sum(n * abs(observed - mean_p)) / sum(n) AS ece FROM curve WHERE model = 'model' GROUP BY k) e ON e.k = g.k""", **_V, curve=_CURVE))
+_FB = sql_bucket("'forged'", "CAST(k AS VARCHAR)", "CAST(seq AS VARCHAR)")
+_FORECASTS = {
+    "ranked": "SELECT k AS chain, row_number() OVER (PARTITION BY k ORDER BY t) AS r, row_number() OVER (PARTITION BY k ORDER BY t) AS seq, k, concat_ws('|', CAST(t AS VARCHAR), CAST(y AS VARCHAR)) AS payload FROM scored WHERE model = 'model' AND epi_year >= 1999",
+    "chained": _CHAINED,
+    "intact": f"SELECT chain AS k, bool_and(own = hash) AS ok FROM (SELECT *, sha256(prev || '|' || CASE WHEN {_FB.replace('CAST(k', 'CAST(chain')} % 211 = 5 THEN payload || '!' ELSE payload END) AS own FROM chained) GROUP BY 1",
+}
+
+
+def forecast_integrity(spark, d):
+    """(k, ok): whether the ledger of a series' forecasts verifies; a few records were changed after they were written."""
+    rows = scored(spark, d).where("model = 'model' and epi_year >= 1999")
+    seq = F.row_number().over(Window.partitionBy("k").orderBy("t")).cast("long")
+    payload = F.concat_ws("|", F.col("t").cast("string"), F.col("y").cast("string"))
+    kept = led.chain(rows.select(F.col("k").alias("chain"), seq.alias("seq"), payload.alias("payload")))
+    b = bucket(F.lit("forged"), F.col("chain").cast("string"), F.col("seq").cast("string"))
+    changed = kept.withColumn("payload", F.when(b % 211 == 5, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return led.verify(changed).select(F.col("chain").alias("k"), F.col("reason").isNull().alias("ok"))
+
+
+@query("evl_verdict_v2", with_("scored", f"""SELECT g.k, CASE WHEN NOT coalesce(ok, false) THEN 'DATA-INTEGRITY FAILURE' WHEN g.n < 150 OR b_lo IS NULL OR valid < {LEAST_VALID} THEN 'UNDERPOWERED' WHEN b_lo > 0 OR ece > 0.25 THEN 'FAILURE' WHEN brier_delta < 0 AND b_hi < 0 THEN 'SUCCESS' ELSE 'NEUTRAL' END AS verdict
+    FROM gain g LEFT JOIN intact ON intact.k = g.k LEFT JOIN cis ON cis.k = g.k AND cis.base = g.best JOIN (SELECT k, sum(n * abs(observed - mean_p)) / sum(n) AS ece FROM curve WHERE model = 'model' GROUP BY k) e ON e.k = g.k""", **_V, curve=_CURVE, **_FORECASTS).replace("WITH ", "WITH RECURSIVE ", 1))
 def verdict_v2(spark, d):
+    """A series whose ledger of forecasts does not verify, or has none, gets no other verdict."""
     c = F.col
-    return _verdict_rows(spark, d).select("k", ev.verdict_v2(c("n"), c("k") != 0, c("brier_lo"), c("brier_hi"), c("brier_delta"), c("ece")).alias("verdict"))
+    rows = _verdict_rows(spark, d).join(forecast_integrity(spark, d), "k", "left")
+    return rows.select("k", ev.verdict_v2(c("n"), F.coalesce(c("ok"), F.lit(False)), c("brier_lo"), c("brier_hi"), c("brier_delta"), c("ece")).alias("verdict"))
 
 
 _SEASON = "CASE WHEN epi_week >= 45 THEN epi_year WHEN epi_week <= 17 THEN epi_year - 1 END"
 
 
-@query("evl_per_season", with_("scored", f"""SELECT m.model, nullif(m.season, -1) AS season, m.n, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(rate, 6) AS rate, round(auroc, 6) AS auroc, round(ece, 6) AS ece FROM
+@query("evl_per_season", with_("scored", f"""SELECT m.model, nullif(m.season, -1) AS season, m.season = -1 AS pooled, m.n, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(rate, 6) AS rate, round(auroc, 6) AS auroc, round(ece, 6) AS ece FROM
     (SELECT model, season, count(*) AS n, avg((prob - y) * (prob - y)) AS brier, {_LOSS} AS log_loss, avg(y) AS rate FROM s GROUP BY 1, 2) m JOIN a ON a.model = m.model AND a.season = m.season
     JOIN (SELECT model, season, sum(n * abs(observed - mean_p)) / sum(n) AS ece FROM (SELECT model, season, {_BIN} AS bin, count(*) AS n, avg(prob) AS mean_p, avg(y) AS observed FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2) e ON e.model = m.model AND e.season = m.season""",
     s=f"SELECT * FROM (SELECT *, {_SEASON} AS season FROM scored) WHERE season IS NOT NULL UNION ALL SELECT *, -1 FROM scored WHERE {_SEASON} IS NOT NULL", a=auroc_sql("model, season", "s", "prob")))
 def per_season(spark, d):
     rows = scored(spark, d).withColumn("season", cal.season_id(*WEEK)).where("season is not null")
-    pooled = rows.withColumn("season", F.lit(None).cast("int"))
-    return r6(ev.summary(rows.unionByName(pooled), ["model", "season"]), "brier", "log_loss", "rate", "auroc", "ece")
+    return r6(ev.summary(rows, ["model", "season"], pool="season"), "brier", "log_loss", "rate", "auroc", "ece")
 
 
 _LEADS = ", ".join(f"sum(confirmed) OVER (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN {n} FOLLOWING AND {n + 3} FOLLOWING) AS t{n}, count(*) OVER (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN {n} FOLLOWING AND {n + 3} FOLLOWING) AS c{n}" for n in range(1, 7))
@@ -233,7 +251,7 @@ def lead_sweep(spark, d):
         wide = fea.future_sum(wide, K, lead=n, name=f"t{n}")
     long = wide.where("t > 8").select("k", F.col("roll4").alias("score"), F.expr("stack(6, " + ", ".join(f"{n}, t{n}" for n in range(1, 7)) + ") AS (lead, target)")).where("target is not null")
     long = long.withColumns({"y": (F.col("target") > 34).cast("int"), "prob": F.col("score") / (F.col("score") + 8.0)})
-    area, error = ev.auroc(long, ["k", "lead"]).select("k", "lead", "auroc", "n"), long.groupBy("k", "lead").agg(ev.brier().alias("brier"))
+    area, error = ev.wide_auroc(long, ["k", "lead"]).select("k", "lead", "auroc", "n"), long.groupBy("k", "lead").agg(ev.brier().alias("brier"))
     return r6(area.join(error, ["k", "lead"]), "auroc", "brier")
 
 

@@ -11,11 +11,11 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiweave.operators import ledgers as led
+from epiweave.sources.shared import create_file, file_system
 
 RECORDS = "chain long, seq long, payload string, prev string, hash string"
 TAILS = "chain long, seq long, hash string"
@@ -56,14 +56,9 @@ def _last(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chain").agg(F.max(F.struct("seq", "hash")).alias("x")).select("chain", "x.seq", "x.hash")
 
 
-def _fs(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def open_ledger(spark: SparkSession, path: str) -> Ledger:
     """The ledger as it is now; an absent folder is an empty ledger of version 0."""
-    place, fs = _fs(spark, f"{path}/manifest")
+    place, fs = file_system(spark, f"{path}/manifest")
     names = sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
     names = [n for n in names if n.endswith(".json") and n[0].isdigit()]
     if names != [f"{i:09d}.json" for i in range(1, len(names) + 1)]:
@@ -106,9 +101,9 @@ def append(ledger: Ledger, new: DataFrame, verify: bool = True) -> Ledger:
     full = (ledger.version + 1) % FULL_TAILS == 0
     (_last(ledger.tails().union(now)) if full else now).write.parquet(own)
     commit = {"version": ledger.version + 1, "records": data, "tails": own, "full": full}
-    if not _create(spark, f"{ledger.path}/manifest/{ledger.version + 1:09d}.json", json.dumps(commit)):
+    if not create_file(spark, f"{ledger.path}/manifest/{ledger.version + 1:09d}.json", json.dumps(commit)):
         for p in (data, own):
-            place, fs = _fs(spark, p)
+            place, fs = file_system(spark, p)
             fs.delete(place, True)
         raise StaleTail(f"version {ledger.version + 1} of {ledger.path} is taken")
     return Ledger(spark, ledger.path, ledger.version + 1, (*ledger.commits, commit))
@@ -126,17 +121,3 @@ def _check(ledger: Ledger, grown: DataFrame) -> None:
     both = mine.join(ends, ends.chain.eqNullSafe(F.col("_c")), "left")
     if (moved := both.where("not (seq <=> _seq and hash <=> _hash)").first()) is not None:
         raise RefusedAppend(f"chain {moved['_c']} does not end in its tail")
-
-
-def _create(spark: SparkSession, path: str, text: str) -> bool:
-    """Creates a file unless it is there."""
-    place, fs = _fs(spark, path)
-    try:
-        out = fs.create(place, False)
-    except Py4JJavaError as taken:
-        if "AlreadyExists" in taken.java_exception.getClass().getName() or "already exists" in str(taken.java_exception.getMessage()):
-            return False
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True

@@ -112,7 +112,7 @@ def test_tampered_ledgers_are_refused(spark, store, change):
 def test_lost_versions_are_noticed(spark, store):
     for s in (1, 2):
         store = ls.append(store, rows_for(spark, [(1, s, "p")]))
-    place, fs = ls._fs(spark, f"{store.path}/manifest/000000001.json")
+    place, fs = ls.file_system(spark, f"{store.path}/manifest/000000001.json")
     fs.delete(place, False)
     with pytest.raises(ls.RefusedAppend, match="missing"):
         ls.open_ledger(spark, store.path)
