@@ -87,18 +87,26 @@ class Index:
         self.items = [(i, w) for i, w in self.items if w]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.by_length: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
-        posted: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        posted: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for i, words in self.items:
             self.by_length[len(words)].append((i, shingles(words, width)))
+            place = (len(words), len(self.by_length[len(words)]) - 1)
             w = min(width, len(words))
             n = len(words) - w + 1
             ids = np.array([self.vocabulary[x] for x in words], np.int64)
             for code in set(self.codes([ids[k : k + n] for k in range(w)]).tolist()):
-                posted[w][code].add(len(words))
-        #: By shingle width: the sorted codes of all items' shingles, and the lengths of the items that hold code k.
-        self.known = {w: (np.array(sorted(codes), np.uint64), [sorted(codes[c]) for c in sorted(codes)]) for w, codes in posted.items()}
+                posted[w][code].add(place)
+        #: By shingle width: the sorted codes of all items' shingles, and by code the lengths of the items that hold it with their places among the items of that length.
+        self.known = {w: (np.array(sorted(codes), np.uint64), [self._by_length(codes[c]) for c in sorted(codes)]) for w, codes in posted.items()}
         self.blocks = {n: HammingBlocks([_print(b) for _, b in group], radius) for n, group in self.by_length.items()}
 
+    @staticmethod
+    def _by_length(places: set[tuple[int, int]]) -> dict[int, np.ndarray]:
+        out: dict[int, list[int]] = defaultdict(list)
+        for length, k in sorted(places):
+            out[length].append(k)
+        return {length: np.array(ks) for length, ks in out.items()}
+
     @staticmethod
     def codes(words: list[np.ndarray]) -> np.ndarray:
         """A number for each shingle, given its first, second ... words' ids; equal shingles have equal numbers."""
@@ -108,10 +116,15 @@ class Index:
             code ^= code >> np.uint64(29)
         return code
 
-    def windows(self, words: list[bytes]) -> dict[int, np.ndarray]:
-        """Item length -> starts of the item-sized windows that hold any shingle of any item of that length; all others have similarity 0."""
+    def windows(self, words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[int, np.ndarray]], int]]:
+        """Item length -> (starts, shared, holders, need) of the item-sized windows that may be similar to an item of that length.
+
+        need is the least overlap of weighted shingles at which the similarity reaches `least`. A window's
+        overlap with any item is at most its number of places with a shingle of an item of that length; starts
+        are the windows where that is `need` or more, shared the places, holders the items by place.
+        """
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
-        held: dict[int, list[int]] = defaultdict(list)
+        held: dict[int, dict[int, dict[int, np.ndarray]]] = defaultdict(dict)
         for width, (known, lengths) in self.known.items():
             n = len(ids) - width + 1
             if n < 1:
@@ -124,32 +137,41 @@ class Index:
             k = np.minimum(np.searchsorted(known, code), len(known) - 1)
             same = known[k] == code
             for p, c in zip(at[same].tolist(), k[same].tolist(), strict=True):
-                for length in lengths[c]:
-                    held[length].append(p)
+                for length, items in lengths[c].items():
+                    held[length][p] = items
         out = {}
-        for length, at in held.items():
-            span, p = min(length, len(words)), np.array(sorted(at))
-            last = len(words) - span
-            change = np.zeros(last + 2, np.int32)
-            np.add.at(change, np.minimum(np.maximum(p - span + min(self.width, length), 0), last + 1), 1)
-            np.add.at(change, np.minimum(p, last) + 1, -1)
-            out[length] = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        for length, holders in held.items():
+            span, w = min(length, len(words)), min(self.width, length)
+            n = span - w + 1
+            need = int(np.ceil(self.least / (1 + self.least) * (n + length - w + 1) - 1e-9))
+            p = np.array(sorted(holders))
+            starts = np.arange(len(words) - span + 1)
+            mass = np.searchsorted(p, starts + n) - np.searchsorted(p, starts)
+            starts = starts[mass >= max(need, 1)]
+            if len(starts):
+                out[length] = starts, p, holders, need
         return out
 
     def hits(self, text: bytes) -> dict[int, tuple[float, int, int]]:
         """item_id -> (similarity, first word, words) of its most similar window, the first among equals.
 
         A window has as many words as the item (a shorter document is one window). Its fingerprint goes
-        through the Hamming blocks of the items of that length; what they return is verified.
+        through the Hamming blocks of the items of that length. Repeated shingles can turn a fingerprint's
+        bits beyond any radius, so items that share enough places with the window join what the blocks
+        return; exact weighted similarity decides on both.
         """
         words = text.lower().split()
         out: dict[int, tuple[float, int, int]] = {}
         if not words:
             return out
-        for length, starts in sorted(self.windows(words).items()):
+        for length, (starts, places, holders, need) in sorted(self.windows(words).items()):
             span = min(length, len(words))
+            n = span - min(self.width, length) + 1
             for start, fp in zip(starts.tolist(), window_prints(words, starts, span, self.width).tolist(), strict=True):
-                near = self.blocks[length].near(fp)
+                inside = places[np.searchsorted(places, start) : np.searchsorted(places, start + n)].tolist()
+                sharing = np.bincount(np.concatenate([holders[p] for p in inside]), minlength=len(self.by_length[length]))
+                near = {*self.blocks[length].near(fp), *np.flatnonzero(sharing >= need).tolist()}
+                near = sorted(k for k in near if sharing[k] >= need)  # others can't reach the similarity
                 bag = shingles(words[start : start + span], self.width) if near else None
                 for k in near:
                     item, own = self.by_length[length][k]
@@ -166,13 +188,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, least:
     A document holds an item if a window of as many words as the item has a weighted (multiset) Jaccard
     similarity of at least `least` on shingles of `width` words (words: lower-cased, between ASCII white
     space; an item under `width` words is one shingle). Candidates are items whose fingerprint lies within
-    `radius` bits of the window's: windows of similarity 0.8 differ in 10 of 64 bits on average, 22 is four
-    standard deviations more. Null and empty texts hold nothing and items without words are found
+    `radius` bits of the window's (windows of similarity 0.8 without repeated shingles differ in 10 of 64 bits
+    on average, 22 is four standard deviations more), and those that share so many shingle places with the
+    window that the similarity may be reached: so none is lost, repeats or not. Null and empty texts hold nothing and items without words are found
     nowhere; repeated doc_ids give rows each; repeated item_ids count as one item with several texts; empty
     tables give no rows; other columns are not read.
 
-    The items go to the tasks in blocks of at most `block_items`, each of which passes over all documents,
-    so what is broadcast does not grow with either table.
+    The items go to the tasks in blocks of at most `block_items`, each of which passes over all documents, so
+    what a task holds does not grow with either table; the driver keeps the blocks until the job has run.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = items.count()
@@ -180,7 +203,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, least:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for k in range(blocks):
-        # one block at a time is on the driver; each travels with its own pass over the documents
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = Index([(i, t.encode()) for i, t in part.orderBy("item_id", "text").collect()], width, least, radius)
 
@@ -202,8 +224,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, least:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all columns, that hold no item of the benchmark.
 
-    Rows are told apart by doc_id and text: a null doc_id protects no leak, and a row that has another's
-    doc_id but a clean text of its own stays.
+    Whether a row goes is decided by its text alone, known by a 64-bit hash: a null doc_id protects no leak, and
+    a row that has another's doc_id but a clean text of its own stays.
     """
     names = docs.columns
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))

@@ -172,6 +172,29 @@ def test_decontamination_query(spark):
     assert got == _leaks(docs, items) and len(got) > 10
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """Weighted similarity of 0.8 and more is found whatever repeats decide the fingerprint's bits; recall by band is 1."""
+    d = np.random.default_rng(0)
+    docs, items = [], []
+    for k in range(60):  # one heavy shingle on each side, which turns the bits
+        own = [f"w{k}x{i}" for i in range(300)]
+        items.append((k, " ".join(own + ["heavy"] * 36)))
+        docs.append((k, " ".join(own + ["other"] * 36)))
+    for k in range(60, 160):  # items made of a few phrases, repeated; documents with some of the repeats changed
+        phrases = [[f"p{k}q{j}r{i}" for i in range(6)] for j in range(int(d.integers(2, 9)))]
+        run = [phrases[j] for j in np.minimum(d.geometric(0.4, 120) - 1, len(phrases) - 1)]
+        items.append((k, " ".join(w for p in run for w in p)))
+        share = d.random() * 0.06
+        changed = [[f"z{i}" for i in range(6)] if d.random() < share else p for p in run]
+        docs.append((k, " ".join(w for p in [["lead"] * int(d.integers(0, 30)), *changed] for w in p)))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontaminate.contamination(docs, items, block_items=90).collect()}
+    want = _leaks(docs, items)
+    assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and got == want and sum(k < 60 for k, _ in want) > 50
+    bands = [sum(lo <= v[0] < lo + 0.05 for k, v in want.items()) for lo in (0.8, 0.85, 0.9, 0.95)]
+    assert all(bands), bands
+
+
 def test_decontamination(spark, docs, odd):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontaminate.contamination(docs, items, block_items=15).collect()}
