@@ -163,11 +163,10 @@ def _tokens(source: str):
     markup (scripts, styles, titles, text areas). A < that begins no tag is text; so is one without any >
     behind it. Where a quote is never closed, tags end at the next >, whatever quotes say.
     """
-    at, held, strict = 0, [], True
+    at, held, strict, last = 0, [], True, source.rfind(">")
     while True:
         begin = source.find("<", at)
-        stop = source.find(">", begin + 1) if begin >= 0 else -1
-        if stop < 0 and not (begin >= 0 and source.startswith(("<!--", "<!", "<?"), begin)):
+        if begin < 0 or (last < begin and not source.startswith(("<!", "<?"), begin)):
             held.append(source[at:])
             yield "".join(held), False, "", ""
             return
@@ -177,24 +176,23 @@ def _tokens(source: str):
             at = source.find(">", done) + 1 if done >= 0 else len(source)
             continue
         if source.startswith(("<!", "<?"), begin):
-            at = stop + 1 if stop >= 0 else len(source)
+            at = source.find(">", begin) + 1 or len(source)
             continue
         close = source.startswith("/", begin + 1)
         first = source[begin + 1 + close : begin + 2 + close]
         if not (first.isascii() and first.isalpha()):
             if close:  # a bogus comment
-                at = stop + 1
+                at = source.find(">", begin) + 1
             else:
                 held.append("<")
                 at = begin + 1
             continue
         name = _NAME.match(source, begin + 1 + close)
-        finish = stop
+        finish = -1
         if strict:
             finish = _ATTRIBUTES.match(source, name.end()).end()
-            if finish >= len(source):
-                strict, finish = False, max(stop, name.end())
-        finish = finish if source.startswith(">", finish) else source.find(">", name.end())
+            strict = finish < len(source)
+        finish = finish if strict and source.startswith(">", finish) else source.find(">", name.end())
         tag, attributes = name[0].lower(), source[name.end() : finish]
         at = finish + 1
         yield "".join(held), close, tag, attributes

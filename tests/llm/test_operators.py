@@ -411,6 +411,15 @@ def test_html_on_the_given_pages(spark):
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(want[r["page_id"]]) for r in got)
 
 
+def test_html_is_read_in_linear_time():
+    for unit in ("<1", "<", "</1", "<!x", "<!--", "<a ", '<a href="', "<a=", "<p", "<p>", "<?x", "< >"):
+        for source in (unit * 10**6 + ">", unit * 10**6):
+            began = time.time()
+            n = sum(1 for _ in html_text._tokens(source))
+            assert time.time() - began < 4 and n >= 1, unit
+    assert "".join(t[0] for t in html_text._tokens("<1" * 1000 + ">")) == "<1" * 1000 + ">"
+
+
 def test_html_keeps_what_the_model_may_judge():
     model = html_text.train()
     for source, text in (
