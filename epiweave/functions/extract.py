@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Fixed patterns of the report layout.
@@ -58,10 +63,22 @@ def links(pages: DataFrame, suffix: str = "", base: str = "") -> DataFrame:
 
     Targets may be quoted either way or not at all, tags and suffix in any case; empty targets are none.
     """
-    both = lambda a, b: F.concat(a, b)  # noqa: E731 (one of the forms; the others are empty)
-    forms = [F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), g) for g in (1, 2, 3)]
-    every = pages.select("page_id", F.posexplode(F.zip_with(F.zip_with(forms[0], forms[1], both), forms[2], both)).alias("pos", "href"))
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(0))  # one pass over the page; what was found is short
+    target = F.transform(found, lambda m: F.concat(*(F.regexp_extract(m, HREF, g) for g in (1, 2, 3))))  # one of the forms; the others are empty
+    every = pages.select("page_id", F.posexplode(target).alias("pos", "href"))
     every = every.where((F.col("href") != "") & F.lower("href").endswith(suffix.lower()))
     first = every.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
     full = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base), F.col("href")))
     return first.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("ord"), full.alias("href"))
+
+
+def parse_quality(reports: DataFrame, parsed: dict[str, Column], needed: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """reports with the parsed fields, and counters ok and failed that the pass over them fills.
+
+    A report is ok if all needed fields were found. The counters cost no pass of their own: they can be asked
+    for (`.get`) once the reports have been written, and count all that were.
+    """
+    quality = Observation(f"parse-quality-{uuid.uuid4().hex[:12]}")
+    out = reports.select("*", *(c.alias(n) for n, c in parsed.items()))
+    ok = reduce(and_, (F.col(n).isNotNull() for n in needed))
+    return out.observe(quality, F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed")), quality

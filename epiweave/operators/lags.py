@@ -85,15 +85,32 @@ def scenarios(weeks: DataFrame, lags: dict[str, int], lead: int = 1, least: int
     return long.withColumn("readout", F.when(F.col("eligible") < least, "neutral_inconclusive_underpowered").otherwise("scoreable"))
 
 
+#: Day, optional time (hour, minute, optional second and fraction) behind T or a blank, optional offset.
+ISO_TIME = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?(?:([Zz])|([+-]\d{2})(?::?(\d{2}))?)?)?$"
+
+
+def iso_time(text: str) -> tuple[Column, Column]:
+    """(instant, whether an offset is given) of an ISO 8601 time; the instant is null where it can't be read.
+
+    Taken are a day, alone or with a time behind T or one blank: hh:mm, hh:mm:ss or hh:mm:ss with a fraction
+    (microseconds count), then nothing, Z, +hh, +hhmm or +hh:mm. Days and times must exist; 24:00 does not.
+    """
+    part = lambda i: F.regexp_extract(F.trim(F.col(text)), ISO_TIME, i)
+    or_ = lambda c, default: F.when(c == "", F.lit(default)).otherwise(c)
+    offset = F.when(part(6) != "", F.concat(part(6), F.lit(":"), or_(part(7), "00"))).otherwise("Z")
+    full = F.concat(part(1), F.lit("T"), or_(part(2), "00:00"), F.lit(":"), or_(part(3), "00"), F.lit("."), F.rpad(part(4), 6, "0"), offset)
+    return F.try_to_timestamp(F.when(part(1) != "", full)), F.coalesce((part(5) != "") | (part(6) != ""), F.lit(False))
+
+
 def guard(requests: DataFrame, by: Sequence[str], lead: int) -> DataFrame:
     """requests(by, epi_year, epi_week, issued_at text) -> reason: null if the forecast is eligible.
 
-    Refused are times that are null or can't be read, then those without an offset, then weeks their year
-    does not have, then a second request for one week (by the instant, among times that could be read), then
-    requests not before Monday 00:00 UTC of the target's first week. lead has no default.
+    Refused are times that are null or can't be read (`iso_time` says which can), then those without an
+    offset, then weeks their year does not have, then a second request for one week (by the instant, among
+    times that could be read), then requests not before Monday 00:00 UTC of the target's first week. lead has
+    no default.
     """
-    issued = F.try_to_timestamp("issued_at")
-    offset = F.coalesce(F.col("issued_at").rlike(r"T\d{2}:\d{2}.*(Z|[+-]\d{2}:\d{2})$"), F.lit(False))
+    issued, offset = iso_time("issued_at")
     start = cal.monday(*WEEK)
     first = Window.partitionBy(*by, *WEEK).orderBy(F.desc(issued.isNotNull() & offset), issued, "issued_at")
     again = F.row_number().over(first) > 1

@@ -17,10 +17,6 @@ GENESIS = "0" * 64
 WEEK = ["epi_year", "epi_week"]
 
 
-def record_hash(payload: str = "payload") -> Column:
-    return F.sha2(F.col(payload), 256)
-
-
 def chain(records: DataFrame, genesis: str = GENESIS, tails: DataFrame | None = None) -> DataFrame:
     """records(chain, seq, payload) -> + prev, hash; hash is the SHA-256 of prev | payload.
 
@@ -125,6 +121,11 @@ def canonical_json(lines: DataFrame, raw: str = "raw", own: Sequence[str] = ())
     return lines.mapInArrow(run, StructType([*lines.schema.fields, StructField("payload", StringType())]))
 
 
+def canonical_hash(lines: DataFrame, raw: str = "raw", own: Sequence[str] = ("record_sha256",)) -> DataFrame:
+    """lines with hash: the SHA-256 of a record's canonical JSON (sorted keys at every depth, no spaces, UTF-8) without its own hash field."""
+    return canonical_json(lines, raw, own).withColumn("hash", F.sha2("payload", 256)).drop("payload")
+
+
 def sequence_gaps(ledger: DataFrame) -> DataFrame:
     """By chain with records out of place: the first place (from 1) whose record has another number, and how many records do.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epiweave.functions import extract as ex
+from epiweave.sources.shared import stage
 
 from .bindings import CTES, read, report_text, with_
 from .registry import query
@@ -54,8 +55,11 @@ def narrative(spark, d):
 
 @query("ext_parse_quality", with_("texts", f"SELECT count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed FROM (SELECT {_n(_H, 1)} IS NOT NULL AND {_all(2, 1)} IS NOT NULL AS ok FROM texts)"))
 def parse_quality(spark, d):
-    ok = ex.header(years=_YEARS)["week"].isNotNull() & ex.cumulative()["cum_confirmed"].isNotNull()
-    return report_text(spark, d).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
+    """The counters come with the pass that writes the parsed reports."""
+    fields = {"week": ex.header(years=_YEARS)["week"], "cum_confirmed": ex.cumulative()["cum_confirmed"]}
+    parsed, quality = ex.parse_quality(report_text(spark, d), fields, list(fields))
+    stage(parsed, "parsed")
+    return spark.createDataFrame([(quality.get["ok"], quality.get["failed"])], "ok long, failed long")
 
 
 _PDF = r"""CASE page_id % 3 WHEN 0 THEN regexp_replace(html, 'href="(/[^"]*)"', 'HREF=' || chr(39) || '\1.PDF' || chr(39), 'g') WHEN 1 THEN regexp_replace(html, 'href="(/[^" ]*)"', 'href = \1.pdf', 'g') ELSE html END"""

@@ -95,7 +95,7 @@ _KIND = "CASE WHEN b % 7 = 0 THEN 'naive' WHEN b % 29 = 1 THEN 'none' WHEN b % 3
 _REQ = {
     "base": f"SELECT k, epi_year, CASE WHEN b % 19 = 0 THEN 54 ELSE epi_week END AS epi_week, published, {_KIND} AS kind, b FROM (SELECT *, {_B} AS b FROM weekly)",
     # minute: the instant in UTC, as the day's minutes
-    "req": """SELECT k, epi_year, epi_week, published, CASE kind WHEN 'naive' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00' WHEN 'rubbish' THEN 'rubbishZ' WHEN 'east' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00+05:00' WHEN 'utc' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00Z' END AS issued_at,
+    "req": """SELECT k, epi_year, epi_week, published, CASE kind WHEN 'naive' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00' WHEN 'rubbish' THEN 'rubbishZ' WHEN 'east' THEN strftime(published, '%Y-%m-%d') || 'T10:00:00+05:00' WHEN 'utc' THEN strftime(published, '%Y-%m-%d') || ['T10:00:00Z', 'T10:00Z', ' 10:00:00+00:00', 'T15:30:00.0+0530'][b % 4 + 1] END AS issued_at,
         CASE kind WHEN 'east' THEN 300 WHEN 'utc' THEN 600 END AS minute, kind FROM base UNION ALL SELECT k, epi_year, epi_week, published, strftime(published, '%Y-%m-%d') || 'T12:00:00+05:00', 420, 'again' FROM base WHERE b % 23 = 0""",
 }
 
@@ -106,7 +106,7 @@ def guard(spark, d):
     day = F.date_format("published", "yyyy-MM-dd")
     b = F.col("b")
     kind = F.when(b % 7 == 0, F.concat(day, F.lit("T10:00:00"))).when(b % 29 == 1, F.lit(None)).when(b % 31 == 2, F.lit("rubbishZ"))
-    stamp = kind.when(b % 5 == 0, F.concat(day, F.lit("T10:00:00+05:00"))).otherwise(F.concat(day, F.lit("T10:00:00Z")))
+    stamp = kind.when(b % 5 == 0, F.concat(day, F.lit("T10:00:00+05:00"))).otherwise(F.concat(day, F.element_at(F.array(*map(F.lit, ("T10:00:00Z", "T10:00Z", " 10:00:00+00:00", "T15:30:00.0+0530"))), (b % 4 + 1).cast("int"))))
     req = weekly(spark, d).withColumn("b", _b()).withColumns({"issued_at": stamp, "epi_week": F.when(b % 19 == 0, 54).otherwise(F.col("epi_week"))})
     again = req.where("b % 23 = 0").withColumn("issued_at", F.concat(day, F.lit("T12:00:00+05:00")))
     c = ["k", *WEEK, "issued_at"]

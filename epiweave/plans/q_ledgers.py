@@ -46,9 +46,14 @@ def tampered(spark, d):
     return rows.withColumns({"hash": hash_, "payload": F.when(F.col("b") % 29 == 0, F.concat(payload, F.lit("!"))).otherwise(F.col("payload"))}).drop("b")
 
 
-@query("led_record_hash", with_("ledger", "SELECT chain, seq, sha256(payload) AS hash FROM ledger"))
+@query("led_record_hash", """SELECT conv_id AS chain, turn + 1 AS seq, sha256('{"chars":{"n":' || coalesce(length(text), 0) || ',"of":"' || coalesce(role, '') || '"},"place":"é","role":"' || coalesce(role, '') || '","share":' || CAST(turn AS VARCHAR) || '.5,"turn":' || turn || '}') AS hash FROM conversations""")
 def record_hash(spark, d):
-    return ledger(spark, d).select("chain", "seq", led.record_hash().alias("hash"))
+    """Records as JSON lines with keys in no order, blanks, a nested object and their own hash field."""
+    rows = read(spark, d, "conversations")
+    role, n = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("r"))).substr(6, 10**6), F.coalesce(F.length("text"), F.lit(0))
+    role = F.regexp_replace(role, r"\}$", "")
+    raw = F.format_string('{"turn": %d, "share" : %d.5, "record_sha256": "old", "place":"\\u00e9", "role": %s, "chars": {"of": %s,"n":%d}}', "turn", "turn", role, role, n)
+    return led.canonical_hash(rows.select(F.col("conv_id").alias("chain"), (F.col("turn") + 1).alias("seq"), raw.alias("raw"))).select("chain", "seq", "hash")
 
 
 @query("led_chain", _recursive("SELECT chain, seq, prev, hash FROM chained"))

@@ -187,6 +187,19 @@ def test_guard_refuses_what_it_cannot_read(spark):
     assert got[6, "2026-09-28T00:00:00Z"] == "target_already_started" and got[7, "2026-09-28T04:59:59+05:00"] is None
 
 
+def test_times_that_are_read(spark):
+    """Forms of ISO 8601 with and without an offset against Python's reader, and what is no time."""
+    good = ["2026-07-27T01:00Z", "2026-07-27T01:00:00+0000", "2026-07-27 01:00:00+00:00", "2026-07-27T01:00:00.25-03:30", "2026-07-27T01:00:00,250000+02", "2026-07-27T01:00", "2026-07-27 01:00:00", "2026-07-27", "2024-02-29T23:59:59z"]
+    bad = ["", "rubbish", "2026-02-30T01:00Z", "2026-07-27T24:00Z", "2026-07-27T01:60Z", "2026-07-27T1:00Z", "20260727T0100Z", "2026-07-27T01:00 Z", "2026-07-27T01:00+1", "T01:00Z", None]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "x string")
+    instant, offset = lg.iso_time("x")
+    got = {r.x: (r.t, r.o) for r in df.select("x", instant.cast("double").alias("t"), offset.alias("o")).collect()}
+    assert all(got[x][0] is None for x in bad)
+    for x in good:
+        t = datetime.datetime.fromisoformat(x.replace("z", "Z"))
+        assert got[x] == ((t if t.tzinfo else t.replace(tzinfo=datetime.timezone.utc)).timestamp(), t.tzinfo is not None), x
+
+
 def test_json_ledger(spark):
     """One long chain of JSON lines against hashlib, whole and with a byte changed or a line lost."""
     n = 600
