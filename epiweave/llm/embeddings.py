@@ -21,11 +21,6 @@ def pivot_count(n: int, dim: int) -> int:
     return int(min(most, max(256, 2 ** np.ceil(np.log2(4 * max(1.0, n**0.5))))))
 
 
-def shared_count(pivots: int) -> int:
-    """Of 16 nearest reference points, how many two vectors must share: over 97 of 100 pairs of cosine 0.93 in 64 dimensions do."""
-    return 6 - (pivots > 2048) - (pivots > 8192)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -44,6 +39,59 @@ def spread_points(sample: np.ndarray, most: int, apart: float = 0.7) -> np.ndarr
     return points[:n]
 
 
+class References:
+    """Reference points of vectors of one dimension, and how many of the nearest two similar vectors share.
+
+    Vectors are described relative to the sample's mean, so the points tell vectors apart that all lie in one
+    direction. `apart` is raised until the sample gives half the points wanted. Pairs at cosine `least`, drawn
+    around the sample's vectors along its own differences, say how many of the `prefix` nearest points such
+    pairs share (`lost` of them share fewer); where that is under two points, more of the nearest are taken.
+    """
+
+    def __init__(self, sample: np.ndarray, most: int, least: float, lost: float = 0.015, prefixes: tuple[int, ...] = (16, 32, 64)):
+        self.centre = sample.mean(0)
+        relative = sample - self.centre
+        relative = relative[np.linalg.norm(relative, axis=1) > 1e-9]
+        if not len(relative):  # all alike
+            self.centre, relative = np.zeros(sample.shape[1]), sample
+        relative = _unit(relative)
+        for apart in (0.7, 0.85, 0.93, 0.97):
+            self.points = spread_points(relative, most, apart)
+            if len(self.points) >= min(most, len(sample)) // 2:
+                break
+        d = np.random.default_rng(0)
+        x, other = sample[: min(len(sample), 1000)], sample[d.permutation(len(sample))[:1000]]
+        off = other - x * (other * x).sum(1, keepdims=True)
+        far = np.linalg.norm(off, axis=1) > 1e-9
+        x, off = x[far], off[far]
+        off = off / np.linalg.norm(off, axis=1, keepdims=True)
+        y = least * x + np.sqrt(max(0.0, 1 - least * least)) * off
+        some = sample[:1000]
+        own = np.argwhere(np.triu(some @ some.T >= least, 1))
+        own = own[d.permutation(len(own))[:20_000]]
+        for self.prefix in prefixes:
+            self.shared = 1
+            if len(x):
+                a, b = (self._held(v) for v in (x, y))
+                self.shared = max(1, int(np.quantile((a & b).sum(1), lost)))
+            if len(own) >= 200:
+                held = self._held(some)
+                self.shared = min(self.shared, max(1, int(np.quantile((held[own[:, 0]] & held[own[:, 1]]).sum(1), lost))))
+            if self.shared > 1:
+                break
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The numbers of the nearest points of unit vectors, ascending."""
+        near = (x - self.centre) @ self.points.T
+        k = min(self.prefix, near.shape[1])
+        return np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1).astype("<u2")
+
+    def _held(self, x: np.ndarray) -> np.ndarray:
+        held = np.zeros((len(x), len(self.points)), bool)
+        np.put_along_axis(held, self.nearest(x).astype(np.int64), True, 1)
+        return held
+
+
 def keyed(vectors: DataFrame) -> DataFrame:
     """(vec_id, lab, k, v): v the components as little-endian doubles and k their 128-bit hash, null where a vector links with nothing."""
 
@@ -63,8 +111,8 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, lab string, k binary, v binary")
 
 
-def described(classes: DataFrame, points: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    """(cid, lab, v) -> (cid, lab, dim, tops): the numbers of the `prefix` nearest reference points, ascending."""
+def described(classes: DataFrame, points: dict[int, References]) -> DataFrame:
+    """(cid, lab, v) -> (cid, lab, dim, tops): the numbers of the nearest reference points, ascending."""
 
     def run(batches):
         for b in batches:
@@ -73,10 +121,7 @@ def described(classes: DataFrame, points: dict[int, np.ndarray], prefix: int) ->
             for dim in np.unique(size).tolist():
                 at = np.flatnonzero(size == dim)
                 if dim in points:
-                    x = _unit(np.frombuffer(b"".join([raw[i] for i in at]), "<f8").reshape(-1, dim))
-                    near = x @ points[dim].T
-                    k = min(prefix, near.shape[1])
-                    near = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1).astype("<u2")
+                    near = points[dim].nearest(_unit(np.frombuffer(b"".join([raw[i] for i in at]), "<f8").reshape(-1, dim)))
                 else:  # a dimension without reference points is one list
                     near = np.zeros((len(at), 1), "<u2")
                 for i, t in zip(at.tolist(), near, strict=True):
@@ -86,17 +131,17 @@ def described(classes: DataFrame, points: dict[int, np.ndarray], prefix: int) ->
     return classes.select("cid", "lab", "v").mapInArrow(run, "cid long, lab string, dim int, tops binary")
 
 
-def inverted(index: DataFrame, shared: int) -> DataFrame:
+def inverted(index: DataFrame, shared: dict[int, int]) -> DataFrame:
     """(lab, dim, pivot, cid, tops): a vector's entries in the inverted lists of its reference points.
 
-    Two vectors that share `shared` of their points meet in the list of the smallest one they share, which is
-    among the first m - shared + 1 of the m points of each; the other points need no entry.
+    Two vectors that share `shared` (by dimension) of their points meet in the list of the smallest one they
+    share, which is among the first m - shared + 1 of the m points of each; the other points need no entry.
     """
 
     def run(batches):
         for b in batches:
             tops = [np.frombuffer(t, "<u2") for t in b.column("tops").to_pylist()]
-            keep = [t[: max(1, len(t) - shared + 1)] for t in tops]
+            keep = [t[: max(1, len(t) - shared.get(d, 1) + 1)] for t, d in zip(tops, b.column("dim").to_pylist(), strict=True)]
             owner = pa.array(np.repeat(np.arange(len(keep)), [len(t) for t in keep]))
             pivot = pa.array(np.concatenate(keep).astype(np.int32) if keep else [], pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(owner) for c in ("lab", "dim")), pivot, *(b.column(c).take(owner) for c in ("cid", "tops"))], ["lab", "dim", "pivot", "cid", "tops"])
@@ -130,18 +175,18 @@ def candidates(tops: list[bytes], chunk: np.ndarray, pivot: int, cross: bool, sh
         yield a + i, b
 
 
-def survivors(lists: DataFrame, shared: int, most: int) -> DataFrame:
+def survivors(lists: DataFrame, shared: dict[int, int], most: int) -> DataFrame:
     """The entries (CELL, cid, chunk) of the lists that have a candidate there: only their vectors are fetched."""
     cells = split_hot(lists, ["lab", "dim", "pivot"], "cid", most)
 
     def run(batches):
         for cols, at in sorted_runs(batches, list(CELL)):
-            chunk, pivot, ci, cj = (cols[c].to_numpy() for c in ("chunk", "pivot", "cell_i", "cell_j"))
+            chunk, pivot, ci, cj, dim = (cols[c].to_numpy() for c in ("chunk", "pivot", "cell_i", "cell_j", "dim"))
             keep = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     hit = np.zeros(hi - lo, bool)
-                    for i, _ in candidates(cols["tops"].slice(lo, hi - lo).to_pylist(), chunk[lo:hi], int(pivot[lo]), ci[lo] != cj[lo], shared):
+                    for i, _ in candidates(cols["tops"].slice(lo, hi - lo).to_pylist(), chunk[lo:hi], int(pivot[lo]), ci[lo] != cj[lo], shared.get(int(dim[lo]), 1)):
                         hit[i] = True
                     keep.append(lo + np.flatnonzero(hit))
             if keep:
@@ -153,7 +198,7 @@ def survivors(lists: DataFrame, shared: int, most: int) -> DataFrame:
     return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, kinds)
 
 
-def verified(entries: DataFrame, index: DataFrame, classes: DataFrame, least: float, shared: int) -> DataFrame:
+def verified(entries: DataFrame, index: DataFrame, classes: DataFrame, least: float, shared: dict[int, int]) -> DataFrame:
     """Rows (kind, a, b): kind 0 adds b links to class a; kind 1 is an edge of a spanning forest of the links.
 
     The candidates of each list are verified by their cosine in double precision; a pair is a candidate in
@@ -162,13 +207,13 @@ def verified(entries: DataFrame, index: DataFrame, classes: DataFrame, least: fl
 
     def run(batches):
         for cols, at in sorted_runs(batches, list(CELL)):
-            chunk, pivot, ci, cj, cids, copies = (cols[c].to_numpy() for c in ("chunk", "pivot", "cell_i", "cell_j", "cid", "copies"))
+            chunk, pivot, ci, cj, dim, cids, copies = (cols[c].to_numpy() for c in ("chunk", "pivot", "cell_i", "cell_j", "dim", "cid", "copies"))
             kinds, a, b = [], [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 n = hi - lo
                 x = _unit(np.frombuffer(b"".join(cols["v"].slice(lo, n).to_pylist()), "<f8").reshape(n, -1))
                 links, root, cid = np.zeros(n, np.int64), np.arange(n), cids[lo:hi]
-                for i, j in candidates(cols["tops"].slice(lo, n).to_pylist(), chunk[lo:hi], int(pivot[lo]), ci[lo] != cj[lo], shared):
+                for i, j in candidates(cols["tops"].slice(lo, n).to_pylist(), chunk[lo:hi], int(pivot[lo]), ci[lo] != cj[lo], shared.get(int(dim[lo]), 1)):
                     for k in range(0, len(i), 100_000):
                         p, q = i[k : k + 100_000], j[k : k + 100_000]
                         ok = np.einsum("ij,ij->i", x[p], x[q]) >= least
@@ -193,7 +238,7 @@ def verified(entries: DataFrame, index: DataFrame, classes: DataFrame, least: fl
     return full.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "kind long, a long, b long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, most: int = 2048) -> DataFrame:
     """vectors(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept).
 
     Vectors link if their labels are equal and not null (compared as they are, of any type) and their cosine
@@ -203,9 +248,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most
     null vec_id names no component that has others. An empty table gives an empty result; other columns are
     not read.
 
-    The reference points come from a bounded sample (`pivot_count`, `spread_points`); every class is described
-    by its `prefix` nearest ones. Inverted lists of ids find the pairs that share enough of them
-    (`shared_count`); only then are vectors fetched, and only those pairs verified.
+    The reference points come from a bounded sample (`pivot_count`, `References`); every class is described by
+    its nearest ones. Inverted lists of ids find the pairs that share enough of them, by a number that the
+    sample gives; only then are vectors fetched, and only those pairs verified.
     """
     full = stage(keyed(vectors), "vectors")
     rows = stage(full.select("vec_id", "lab", "k"), "rows")
@@ -213,13 +258,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 16, most
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     unstage(full)
     sizes = {r[0]: r[1] for r in classes.groupBy((F.length("v") / 8).cast("int")).count().orderBy(F.desc("count")).limit(8).collect()}
-    points, shared = {}, 6
+    points = {}
     for dim, n in sizes.items():
         most_points = pivot_count(n, dim)
         drawn = classes.where(F.length("v") == 8 * dim).orderBy(F.xxhash64("k"), "cid").limit(2 * most_points).select("v").collect()
-        points[dim] = spread_points(_unit(np.stack([np.frombuffer(r[0], "<f8") for r in drawn])), most_points)
-        shared = min(shared, shared_count(most_points))
-    index = stage(described(classes, points, prefix), "index")
+        points[dim] = References(_unit(np.stack([np.frombuffer(r[0], "<f8") for r in drawn])), most_points, least)
+    shared = {dim: p.shared for dim, p in points.items()}
+    index = stage(described(classes, points), "index")
     entries = stage(survivors(inverted(index, shared), shared, most), "entries")
     found = stage(verified(entries, index, classes, least, shared), "found")
     unstage(index, entries)

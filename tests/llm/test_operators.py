@@ -72,6 +72,52 @@ def test_vectors(spark):
     assert embeddings.near_vectors(empty(df)).count() == 0
 
 
+def _concentrated(n, dim, mean, seed=1):
+    """Unit vectors of mean cosine `mean`, and a fifth as many copies of some at cosines of 0.93 to 0.99."""
+    d = np.random.default_rng(seed)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    e = d.normal(size=(n, dim))
+    e[:, 0] = 0
+    u = np.sqrt(1 - mean) * unit(e)
+    u[:, 0] = np.sqrt(mean)
+    x, r = u[: n // 5], u[d.permutation(n)[: n // 5]]
+    r = unit(r - x * (r * x).sum(1, keepdims=True))
+    c = d.uniform(0.93, 0.99, len(x))[:, None]
+    return np.concatenate([u, c * x + np.sqrt(1 - c * c) * r])[d.permutation(n + n // 5)]
+
+
+@pytest.mark.parametrize("dim", [16, 64, 256, 768])
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.69, 0.8, 0.9])
+def test_recall_of_the_index(dim, mean):
+    """Pairs of cosine 0.93 share enough reference points in 16 to 768 dimensions, spread out or all in one direction; points don't collapse."""
+    u = _concentrated(2000, dim, mean)
+    most = embeddings.pivot_count(len(u), dim)
+    ref = embeddings.References(u[: 2 * most], most, 0.93)
+    assert len(ref.points) >= most // 2
+    held = ref._held(u).astype(np.float32)
+    link = np.triu(u @ u.T >= 0.93, 1)
+    assert (held @ held.T >= ref.shared)[link].mean() >= 0.95
+
+
+@pytest.mark.parametrize("mean", [0.8, 0.9])
+def test_lists_grow_slowly(mean):
+    """What the lists hold against each other is within n^1.5 times the square of the nearest points taken (at most 64), where all vectors lie in one direction."""
+    for n in (5_000, 80_000):
+        u = _concentrated(n, 32, mean)
+        ref = embeddings.References(u[: 2 * embeddings.pivot_count(len(u), 32)], embeddings.pivot_count(len(u), 32), 0.93)
+        tops = ref.nearest(u)[:, : ref.prefix - ref.shared + 1]
+        assert (np.bincount(tops.ravel()).astype(float) ** 2).sum() <= 2.5 * ref.prefix**2 * len(u) ** 1.5
+
+
+def test_concentrated_vectors(spark):
+    """The operator on vectors of mean cosine 0.8, one label, against brute force."""
+    u = _concentrated(1500, 64, 0.8)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(u)], "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_vectors(df).orderBy("vec_id").toPandas()
+    true = (u @ u.T >= 0.93).sum(1) - 1
+    assert (got.n_links.to_numpy() <= true).all() and got.n_links.sum() >= 0.95 * true.sum() > 0
+
+
 def test_vectors_of_other_labels(spark):
     """Labels are compared as they are: no rounding of doubles, texts allowed."""
     v = [1.0, 2.0, 3.0]
