@@ -268,7 +268,10 @@ def train(n: int = 350, rounds: int = 40, seed: int = 11) -> SemiMarkov:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold an entity: whole neighbouring words with digits, @ or an obfuscated at, joined by single blanks."""
+    """Stretches that can hold an entity: whole neighbouring words with digits, @ or an obfuscated at, joined by single blanks.
+
+    An obfuscated at that stands alone between blanks takes the word on either side.
+    """
     out: list[list[int]] = []
     for m in _OPEN.finditer(text):
         if out and m.end() <= out[-1][1]:
@@ -279,6 +282,15 @@ def regions(text: str) -> list[tuple[int, int]]:
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
+        if m[0][0] in "[({":
+            if a == m.start() and a - 1 > floor and text[a - 1] == " ":
+                a -= 1
+                while a > floor and not text[a - 1].isspace():
+                    a -= 1
+            if b == m.end() and text[b : b + 1] == " ":
+                b += 1
+                while b < len(text) and not text[b].isspace():
+                    b += 1
         if out and a - out[-1][1] <= 1:
             out[-1][1] = b
         else:

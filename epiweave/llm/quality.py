@@ -106,17 +106,18 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000) -> Ranker:
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows), "known")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").orderBy("doc_id", "text", "quality").limit(2 * most_rows)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
 
     def run(batches):
         for b in batches:
             x = [features(t).astype("<f4").tobytes() for t in binary_column(b, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("quality")], ["x", "quality"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.binary()), b.column("quality")], ["doc_id", "x", "quality"])
 
-    seen = rows.select("text", "quality").mapInArrow(run, "x binary, quality int").collect()
+    # texts become features where they lie; only those are put in order
+    seen = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, x binary, quality int").orderBy("doc_id", "x", "quality").limit(2 * most_rows).collect()
     if not seen:
         return Ranker(np.zeros(1), np.ones(1), np.zeros(1), 0.0, 0.0, 0.3)
-    return fit_features(np.stack([np.frombuffer(r[0], "<f4") for r in seen]).astype(float), np.array([r[1] for r in seen]))
+    return fit_features(np.stack([np.frombuffer(r["x"], "<f4") for r in seen]).astype(float), np.array([r["quality"] for r in seen]))
 
 
 def score(docs: DataFrame, model: Ranker) -> DataFrame:

@@ -211,6 +211,22 @@ def _leaks(docs, items):
     return want
 
 
+def test_personal_data_beyond_the_patterns():
+    """An obfuscated at between blanks takes the words beside it, and no other word; drawn held-out regions are found."""
+    model = pii.train()
+    for text, want in {
+        "mail john12 (at) example.com now": ["john12 (at) example.com"], "write to jane.doe [at] mail-server.org, please": ["jane.doe [at] mail-server.org"], "john {at} example.com": ["john {at} example.com"],
+        "we met (at) noon today": [], "see him (at) home": [], "(at)": [], " (at) ": [], "a (at)": [], "(at) b": [],
+    }.items():
+        assert [text[a:b] for _, a, b in pii.find_spans(text, model)[1]] == want, text
+    found = total = 0
+    for text, spans in pii.examples(300, 99):
+        got = {(a, b) for part in pii.find_spans(text, model) for _, a, b in part}
+        found += sum((a, b) in got for _, a, b in spans)
+        total += len(spans)
+    assert total > 200 and found >= 0.85 * total, (found, total)
+
+
 def test_decontamination_query(spark):
     larger = SF.replace("sf0.001", "sf0.01")
     docs, items = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "benchmark"))
