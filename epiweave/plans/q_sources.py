@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epiweave.operators import ledgers as led
 from epiweave.sources import files
 from epiweave.sources import ledger_store as ls
+from epiweave.sources import series_store as ss
 from epiweave.sources.shared import shared_dir
 
 from .bindings import WEEK, bucket, ledger, panel, sql_bucket, with_
@@ -14,6 +16,7 @@ from .q_board import _BOARD, board, updates
 from .q_ledgers import _CHAINED, _RANKED
 from .registry import query
 
+K = ["k"]
 _B = sql_bucket("CAST(k AS VARCHAR)", "CAST(epi_year AS VARCHAR)", "CAST(epi_week AS VARCHAR)")
 
 
@@ -83,13 +86,15 @@ def manifest_drift(spark, d):
     return led.manifest_drift(now, manifest.unionByName(gone))
 
 
-@query("snk_series_append", with_("panel", "SELECT epi_year, count(*) AS n FROM panel GROUP BY 1"))
+@query("snk_series_append", with_("panel", "SELECT k, epi_year, count(*) AS n, CAST(sum(confirmed) AS BIGINT) AS confirmed, max(running) AS highest FROM (SELECT *, CAST(sum(confirmed) OVER (PARTITION BY k ORDER BY epi_year, epi_week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM panel) GROUP BY 1, 2"))
 def series_append(spark, d):
-    path = shared_dir(spark, "append")
+    """A bucketed store filled by two appends that overlap, then read by a window that needs no exchange."""
     rows = panel(spark, d)
-    rows.where("epi_year < 1999").write.parquet(path)
-    files.append_series(spark.read.parquet(path), rows, ["k"], path, apply=True)
-    return spark.read.parquet(path).groupBy("epi_year").agg(F.count("*").alias("n"))
+    store = ss.open_series(spark, shared_dir(spark, "series-store"), "k int, epi_year int, epi_week int, confirmed bigint", K, 8)
+    ss.append(store, rows.where("epi_year < 1999"))
+    ss.append(store, rows.where("epi_year >= 1997"))
+    four = F.sum("confirmed").over(Window.partitionBy("k").orderBy(*WEEK).rowsBetween(-3, 0))
+    return store.read().withColumn("running", four).groupBy("k", "epi_year").agg(F.count("*").alias("n"), F.sum("confirmed").alias("confirmed"), F.max("running").alias("highest"))
 
 
 @query("snk_ledger_append", with_("ledger", "SELECT chain, count(*) AS n, arg_max(hash, r) AS last, 3 AS version FROM chained GROUP BY 1", ranked=_RANKED, chained=_CHAINED).replace("WITH ", "WITH RECURSIVE ", 1))
