@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
     def run(batches):
         enc, part, before = encoder(blob, keeps_space, 700_000), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at, k in portions(b.column("text")):
+            for at, k in portions(b.column("text"), 16 << 20):
                 ids, n = enc.encode(b.column("text").slice(at, k), end_id)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
