@@ -29,33 +29,39 @@ _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 _LISTS = ("ul", "ol", "dl", "table", "select")
 _SCOPE = frozenset("article aside body div fieldset footer form header main nav section table td th ul ol dl blockquote figure html".split())
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_BAD = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside widget comment comments reply replies "
-    "discussion disqus cookie cookies consent gdpr banner notice alert popup modal overlay subscribe newsletter signup share sharing social related recommended recommendations login search toolbar copyright legal disclaimer pagination pager tags contentinfo complementary".split()
-)
-_GOOD = frozenset("article content main post entry story text body maincontent articlebody".split())
-_TYPES = ("root", "nav", "header", "footer", "aside", "form", "article", "div", "bad", "good", "p", "heading", "list", "item", "table", "quote", "other", "leaf")
+#: Words of class names by what they hint at: features for the model, which weighs them against everything else.
+_HINTS = {w: k for k, words in enumerate((
+    "nav navigation navbar menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside widget login search toolbar pagination pager contentinfo complementary navigacion menue fusszeile kopfzeile pied entete pie cabecera",
+    "comment comments reply replies discussion disqus kommentar kommentare commentaire commentaires comentario comentarios commenti reacties",
+    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion anzeige werbung publicite publicidad",
+    "cookie cookies consent gdpr banner notice alert popup modal overlay hinweis avis aviso",
+    "subscribe newsletter signup share sharing",
+    "social related recommended recommendations copyright legal disclaimer tags",
+    "article content main post entry story text body maincontent articlebody artikel inhalt contenu contenido contenuto",
+)) for w in words.split()}
+_TYPES = ("root", "nav", "header", "footer", "aside", "form", "article", "div", "p", "title", "heading", "list", "item", "table", "quote", "other", "leaf")
 _TYPE = {t: i for i, t in enumerate(_TYPES)}
 _OF = {
     "html": "root", "body": "root", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "select": "form", "datalist": "form", "template": "form", "dialog": "aside", "article": "article", "main": "article",
     "div": "div", "section": "div", "center": "div", "p": "p", "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "table",
-    "th": "table", "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", **{f"h{i}": "heading" for i in range(1, 7)},
+    "th": "table", "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "h1": "title", **{f"h{i}": "heading" for i in range(2, 7)},
 }
 _LEAF_FEATURES = 11
-FEATURES = len(_TYPES) + _LEAF_FEATURES
+#: After those of types and leaves: hints, outside and inside of an article element; an element inside one; beside
+#: the last main heading (within the element that holds it); after that element; the element that holds it itself.
+_HINT = len(_TYPES) + _LEAF_FEATURES
+_INSIDE = _HINT + 2 * (max(_HINTS.values()) + 1)
+_BESIDE, _AFTER, _HOLDS = _INSIDE + 1, _INSIDE + 2, _INSIDE + 3
+FEATURES = _HOLDS + 1
 
 
-def _element_type(tag: str, attributes: str) -> int:
-    kind = _OF.get(tag, "other")
-    if attributes and kind not in ("root", "nav", "footer", "form", "article", "leaf"):
-        words: set[str] = set()
-        for m in _NAMED.finditer(attributes):
-            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()) if w)
-        if words & _BAD:
-            return _TYPE["bad"]
-        if words & _GOOD and kind in ("div", "other"):
-            return _TYPE["good"]
-    return _TYPE[kind]
+def _hints(attributes: str, inside: bool) -> tuple[int, ...]:
+    """Features of an element's class, id, role and label, told apart by whether it is inside an article element."""
+    found = set()
+    for m in _NAMED.finditer(attributes):
+        found.update(_HINTS.get(w, -1) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+    found.discard(-1)
+    return (*(_HINT + 2 * k + inside for k in sorted(found)), *((_INSIDE,) if inside else ()))
 
 
 class Page:
@@ -66,16 +72,18 @@ class Page:
     end with their container. Each character is read a bounded number of times.
     """
 
-    __slots__ = ("depth", "features", "leaves", "parent", "texts", "types")
+    __slots__ = ("depth", "features", "inside", "leaves", "parent", "texts", "types")
 
     def __init__(self, source: str):
         self.parent, self.types, self.depth, self.features, self.leaves, self.texts = [-1], [0], [0], [(0,)], [], []
+        self.inside = [False]
         self._read(source)
 
     def _node(self, parent: int, kind: int, extra: tuple = ()) -> int:
         self.parent.append(parent)
         self.types.append(kind)
         self.depth.append(self.depth[parent] + 1)
+        self.inside.append(self.inside[parent] or kind == _TYPE["article"])
         self.features.append((kind, *extra))
         return len(self.parent) - 1
 
@@ -85,6 +93,12 @@ class Page:
         scopes: list[int] = []  # places of the elements that an open paragraph can't reach beyond
         held: list[str] = []
         linked, links = 0, 0
+        titled = None  # (place, node) of the element that holds the last main heading
+
+        def position() -> tuple[int, ...]:
+            if titled is None:
+                return ()
+            return (_BESIDE if titled[0] < len(stack) and stack[titled[0]][1] == titled[1] else _AFTER,)
 
         def flush():
             nonlocal linked
@@ -100,6 +114,7 @@ class Page:
                         len(_TYPES) + 7 + (text[-1] in ".!?…。»\"”"),
                         *((len(_TYPES) + 9,) if "©" in text[:80] else ()),
                         *((len(_TYPES) + 10,) if text.count(" ") < 3 else ()),
+                        *position(),
                     )
                     self.leaves.append(self._node(stack[-1][1], _TYPE["leaf"], extra))
                     self.texts.append(text)
@@ -152,7 +167,12 @@ class Page:
                 opened[tag].append(len(stack))
                 if tag in _SCOPE:
                     scopes.append(len(stack))
-                stack.append((tag, self._node(stack[-1][1], _element_type(tag, attributes))))
+                parent = stack[-1][1]
+                if tag == "h1":
+                    place = len(stack) - 1 - (stack[-1][0] in ("header", "hgroup"))
+                    titled = place, stack[place][1]
+                    self.features[titled[1]] = (*(x for x in self.features[titled[1]] if x != _HOLDS), _HOLDS)
+                stack.append((tag, self._node(parent, _TYPE[_OF.get(tag, "other")], (*_hints(attributes, self.inside[parent]), *position()))))
         flush()
 
 
@@ -254,14 +274,23 @@ class TreeModel:
         return np.exp(belief - z[:, None]), joint, float(z[f.roots].sum())
 
 
-def labelled_pages(n: int, seed: int) -> list[tuple[str, list[bool]]]:
-    """Labelled training pages: layouts drawn from a small grammar, with the label of each text block in page order."""
+def labelled_pages(n: int, seed: int, foreign: float = 0.0, named: float = 0.0) -> list[tuple[str, list[bool]]]:
+    """Labelled training pages: layouts drawn from a small grammar, with the label of each text block in page order.
+
+    foreign: the share of pages whose class names say nothing; named: the share of an article's blocks whose names
+    hint at something else (and, where above 0, some site headers hold a main heading of their own).
+    """
     d = np.random.default_rng(seed)
     pick = lambda *x: x[int(d.integers(0, len(x)))]
     words = lambda a, b: " ".join("".join(map(chr, d.integers(97, 123, d.integers(2, 9)))) for _ in range(d.integers(a, b)))
 
     def page() -> tuple[str, list[bool]]:
-        out, labels = [], []
+        out, labels, hidden = [], [], d.random() < foreign
+
+        def renamed(source: str) -> str:
+            """Random class names and ids, but those of comments: nothing else tells a comment from a text."""
+            told = lambda m: m[0] if _HINTS.get(re.split(r"[^a-z]", m[3])[0]) == _HINTS["comments"] else f"{m[1]}={m[2]}{words(1, 2)}{m[2]}"
+            return re.sub(r"(class|id)=([\"'])([^\"']*)\2", told, source) if hidden else source
 
         def text(s: str, good: bool) -> str:
             labels.append(good)
@@ -274,7 +303,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[bool]]]:
                 out.extend(f'<li><a href="/x">{text(words(1, 3), False)}</a></li>' for _ in range(d.integers(2, 7)))
                 out.append("</ul></nav></div>")
             elif kind == "comments":
-                out.append(pick('<section id="comments">', '<div class="comments">', '<div class="comment-list">'))
+                out.append(pick('<section id="comments">', '<div class="comments">', '<div class="comment-list">', '<div class="kommentare">'))
                 for _ in range(d.integers(1, 4)):
                     out.append(f"<div class='{pick('comment', 'reply', 'x')}'><p>{text(words(4, 40).capitalize() + '.', False)}</p></div>")
                 out.append("</section></div>")
@@ -284,7 +313,9 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[bool]]]:
                 own = {"header": 'div class="header"', "footer": 'div id="footer"', "aside": 'div class="sidebar"', "ad": 'div class="ad"', "cookie": 'div class="cookie-notice"', "related": 'div class="related"', "share": 'div class="share"'}[kind]
                 tag = pick(own, kind if kind in ("header", "footer", "aside") else own, 'div class="banner"', 'div class="promo"', 'div class="notice"')
                 out.append(f"<{tag}>")
-                if d.random() < 0.4:
+                if named and kind == "header" and d.random() < 0.15:  # the name of the site
+                    out.append(f"<h1>{text(words(1, 4), False)}</h1>")
+                elif d.random() < 0.4:
                     out.append(text(("&copy; " if kind == "footer" else "") + words(2, 14) + pick(".", ""), False))
                 else:
                     for _ in range(d.integers(1, 4)):
@@ -305,6 +336,12 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[bool]]]:
                 out.append(pick("<p></p>{}<p></p>", "<div>{}</div>").format(text(words(1, 30) + pick(".", ""), True)))
             elif r < 0.46:
                 out.append(f"<table><tr><td>{text(words(1, 6), True)}</td><td>{text(words(1, 6), True)}</td></tr></table>")
+            elif r < 0.46 + named:  # the article's own part with a name that hints elsewhere
+                name = pick("social", "alert", "related-work", "legal", "notice", "tags", "header", "share", "search", "box", "note", "highlight")
+                out.append(f'<{pick("div", "section")} class="{name}">' if d.random() < 0.6 else f"<ul class='{name}'><li>")
+                for _ in range(d.integers(1, 3)):
+                    out.append(f"<p>{text(words(6, 50).capitalize() + '.', True)}</p>")
+                out.append("</li></ul></div></section>")
             else:
                 s = words(1, 60).capitalize() + pick(".", ".", ".", "!", "")
                 out.append(pick("<p>{}</p>", "<p>{}", "<p><b>{}<br>", '<p>{} <a href="#">x</a></p>').format(text(s, True)))
@@ -323,19 +360,19 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[bool]]]:
         out.append(f"</{wrap.split()[0]}>" if wrap else "</p>")
         for _ in range(d.integers(0, 4)):
             bad_block()
-        return "<html><head><title>t</title><script>var a = '<p>';</script></head><body>" + "".join(out) + pick("</body></html>", ""), labels
+        return "<html><head><title>t</title><script>var a = '<p>';</script></head><body>" + renamed("".join(out)) + pick("</body></html>", ""), labels
 
     return [page() for _ in range(n)]
 
 
 @lru_cache(maxsize=2)
 def train(n: int = 400, rounds: int = 150, seed: int = 5, ridge: float = 0.02) -> TreeModel:
-    """Maximum likelihood on n labelled pages, by gradient ascent on expected against observed counts.
+    """Maximum likelihood on n labelled pages (half of them with class names that say nothing), by gradient ascent on expected against observed counts.
 
     An element is labelled content if a text block below it is.
     """
     pages, states = [], []
-    for source, labels in labelled_pages(n, seed):
+    for source, labels in labelled_pages(n, seed, foreign=0.5, named=0.16):
         p = Page(source)
         if len(p.leaves) != len(labels):
             continue

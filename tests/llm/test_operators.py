@@ -492,6 +492,26 @@ def test_html_keeps_what_the_model_may_judge():
         assert html_text.extract([source], model) == [text]
 
 
+def test_html_weighs_class_names_against_the_page():
+    model = html_text.train()
+    text = "A sentence that is long enough to be read as text by anyone who looks at it, with some more words."
+    for source, want in (
+        ("<article><p>Intro.</p><ul class='related-work'><li>First cited work of the field.</li></ul></article>", "Intro.\nFirst cited work of the field."),
+        (f"<main><h1>T</h1><p>{text}</p><div class='kommentare'><p>{text}</p></div></main>", f"T\n{text}"),
+        (f"<div>Menu</div><div><h1>Head</h1><p>{text}</p><p>{text}</p></div><div>Imprint</div>", f"Head\n{text}\n{text}"),
+        (f"<div class='qx'><a href=/>Home</a></div><div class='zz'><h1>Head</h1><p>{text}</p></div>", f"Head\n{text}"),
+    ):
+        assert html_text.extract([source], model) == [want]
+    for named, bar in ((0.0, 0.97), (0.08, 0.965)):  # layouts whose class names say nothing
+        right = total = 0
+        for source, labels in html_text.labelled_pages(120, 99, foreign=1.0, named=named):
+            page = html_text.Page(source)
+            p = model.marginals(html_text.Forest([page]))[0][:, 1]
+            right += sum((p[leaf] >= 0.5) == good for leaf, good in zip(page.leaves, labels, strict=True))
+            total += len(labels)
+        assert right >= bar * total
+
+
 def test_html_is_linear():
     for part, n in (("<p", 10**5), ("<a x='", 10**5), ('<a x=">" ', 20_000), ("<!--", 10**5), ("</", 10**5), ("<script>", 50_000), ("<a id ", 50_000), ("<div>", 20_000), ("<p><x>", 20_000)):
         began = time.process_time()
