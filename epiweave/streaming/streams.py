@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructField, StructType
 
 from epiweave.sources.shared import shared_dir
 
@@ -71,28 +72,41 @@ def split_late(stream: DataFrame, spark: SparkSession, name: str, delay: str) ->
     return spark.read.parquet(out)
 
 
+#: Keys are dealt into so many buckets, each a map in the state store. A checkpoint holds for one number of them.
+BUCKETS = 2048
+
+
 class Once(StatefulProcessor):
-    """Keeps a key's hash in the state store: the first is appended, equal ones are skipped, others are conflicts.
+    """Keeps the hash of each key of a bucket in the state store: the first is appended, equal ones are skipped, others are conflicts.
 
     Within a batch the smallest hash stands for its key if it has none yet; equal records count once. With
     keep_ms the state of a key goes that long after it was set, which bounds the store where keys age.
+    A call of the processor takes some milliseconds, so it has a bucket of keys; the map is asked only for
+    the keys at hand.
     """
 
-    def __init__(self, keep_ms: int | None = None) -> None:
-        self.keep_ms = keep_ms
+    def __init__(self, key_schema: StructType, keep_ms: int | None = None) -> None:
+        self.key_schema, self.keep_ms = key_schema, keep_ms
 
     def init(self, handle) -> None:
-        self.kept = handle.getValueState("hash", "hash string", self.keep_ms)
+        self.kept = handle.getMapState("hashes", self.key_schema, "hash string", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
-        stored = self.kept.get()[0] if self.kept.exists() else None
-        for hash_ in sorted({h for batch in rows for h in batch["hash"]}):
-            if stored is None:
-                stored, action = hash_, "append"
-                self.kept.update((hash_,))
-            else:
-                action = "skip" if hash_ == stored else "conflict"
-            yield pd.DataFrame({**{f"k{i}": [k] for i, k in enumerate(key)}, "hash": [hash_], "action": [action]})
+        names, out = self.key_schema.names, []
+        hashes: dict[tuple, set[str]] = {}
+        for batch in rows:
+            for *k, hash_ in zip(*(batch[c].tolist() for c in names), batch["hash"].tolist(), strict=True):
+                hashes.setdefault(tuple(k), set()).add(hash_)
+        for k, own in hashes.items():
+            stored = (self.kept.getValue(k) or (None,))[0]
+            for hash_ in sorted(own):
+                if stored is None:
+                    stored, action = hash_, "append"
+                    self.kept.updateValue(k, (hash_,))
+                else:
+                    action = "skip" if hash_ == stored else "conflict"
+                out.append((*k, hash_, action))
+        yield pd.DataFrame(out, columns=[*names, "hash", "action"])
 
 
 def append_once(stream: DataFrame, k: Sequence[str], keep_ms: int | None = None) -> DataFrame:
@@ -102,14 +116,16 @@ def append_once(stream: DataFrame, k: Sequence[str], keep_ms: int | None = None)
     dropped where they lie before the shuffle, so a key of a third of all rows is no burden. Rows of a null
     hash are left out; the keys must not be null. A restart from the checkpoint neither loses nor repeats.
     """
-    names = [*k, "hash"]
-    own = stream.select(*names).where("hash is not null")
+    names = [f"k{i}" for i in range(len(k))]
+    own = stream.where("hash is not null").select(*(F.col(c).alias(n) for n, c in zip(names, k, strict=True)), "hash")
     thin = own.mapInPandas(lambda batches: (b.drop_duplicates() for b in batches), own.schema)
-    kinds = [f"k{i} {own.schema[c].dataType.simpleString()}" for i, c in enumerate(k)]
+    keys = StructType([StructField(n, own.schema[n].dataType) for n in names])
+    kinds = [f"{n} {own.schema[n].dataType.simpleString()}" for n in names]
     use_state_store(stream.sparkSession)
     mode = "none" if keep_ms is None else "processingTime"
-    out = thin.groupBy(*k).transformWithStateInPandas(Once(keep_ms), ", ".join([*kinds, "hash string", "action string"]), "append", mode)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(k)), "hash", "action")
+    dealt = thin.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS))).groupBy("bucket")
+    out = dealt.transformWithStateInPandas(Once(keys, keep_ms), ", ".join([*kinds, "hash string", "action string"]), "append", mode)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, k, strict=True)), "hash", "action")
 
 
 def use_state_store(spark: SparkSession) -> None:

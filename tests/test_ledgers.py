@@ -3,9 +3,12 @@
 import hashlib
 import random
 import threading
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from epiweave.operators import ledgers as led
 from epiweave.sources import ledger_store as ls
@@ -163,6 +166,42 @@ def test_ledger_stream_over_batches_and_restarts(spark, tmp_path):
     assert again.count() == len(seen)  # a restart without new input adds nothing
 
 
+def test_a_call_of_the_ledger_processor_takes_a_bucket_of_keys():
+    """Thousands of keys in chunks go through one call, which asks the map once for each and writes only new ones."""
+
+    class Map(dict):
+        asked = 0
+
+        def getValue(self, k):  # noqa: N802 - name of the interface
+            self.asked += 1
+            return self.get(k)
+
+        updateValue = dict.__setitem__  # noqa: N815 - name of the interface
+
+    kept = Map()
+    own = st.Once(StructType().add("k0", "long"))
+    own.init(SimpleNamespace(getMapState=lambda *_: kept))
+    for batch in (0, 1):
+        rows = pd.DataFrame([(k, f"h{i + batch}") for k in range(3000) for i in (1, 0, 1)], columns=["k0", "hash"])
+        out = pd.concat(own.handleInputRows((5,), iter([rows[:4000], rows[4000:]]), None))
+        assert kept.asked == 3000 * (batch + 1) and len(out) == 6000
+        assert dict(out.groupby(["hash", "action"]).size()) == ({("h0", "append"): 3000, ("h1", "conflict"): 3000} if not batch else {("h1", "conflict"): 3000, ("h2", "conflict"): 3000})
+    assert kept == {(k,): ("h0",) for k in range(3000)}
+
+
+def test_ledger_stream_deals_keys_of_all_types_into_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "a long, b date, c timestamp, d decimal(9,2), e boolean, f double, hash string"
+    key = ["a", "b", "c", "d", "e", "f"]
+    rows = spark.range(5000).selectExpr("id + 9000000000 as a", "date_add(date'2020-01-01', cast(id % 90 as int)) as b", "timestamp'2020-03-29 00:30:00.123456' + make_interval(0, 0, 0, 0, cast(id % 9 as int)) as c", "cast(id / 4 as decimal(9,2)) as d", "id % 2 = 0 as e", "id / 3 as f", "'x' as hash")
+    for own in (rows, rows.where("a % 2 = 0").withColumn("hash", F.when(F.col("a") % 3 == 0, "y").otherwise("x"))):
+        own.coalesce(1).write.mode("append").parquet(path)
+    out = st.run_available(st.append_once(folder_stream(spark, path, schema), key), "once")
+    plan = st.append_once(folder_stream(spark, path, schema), key)._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan[plan.index("TransformWithState") :]
+    want = rows.selectExpr(*key, "'append' as action").union(rows.where("a % 2 = 0").selectExpr(*key, "if(a % 3 = 0, 'conflict', 'skip') as action"))
+    assert out.select(*key, "action").exceptAll(want).isEmpty() and want.count() == out.count()
+
+
 def test_late_rows_over_batches(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "id int, ts timestamp"
     for rows in ([(1, "2020-01-10")], [(2, "2020-01-01"), (3, "2020-01-09")], [(4, "2020-01-20"), (5, "2020-01-08")], [(6, "2020-01-16"), (7, "2020-01-18")], [(8, None)], [(9, "2020-01-01")]):
