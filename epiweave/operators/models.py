@@ -7,6 +7,7 @@ series together, each by Spark; the small logistic maps are fitted by series (`f
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -27,6 +28,8 @@ from epiweave.sources.shared import fingerprint, stage, stored, unstage
 
 WEEK = ["epi_year", "epi_week"]
 HARMONICS = ("s1", "c1", "s2", "c2")
+#: Training rows (some 100 bytes each) of one file, and so of one task in each of a fit's thousands of jobs.
+TRAINING_ROWS = 200_000
 
 
 def with_harmonics(rows: DataFrame) -> DataFrame:
@@ -81,18 +84,24 @@ def weighted(rows: DataFrame, train: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("y") == 1, float(balance or 1.0)).otherwise(1.0))
 
 
+def in_order(rows: DataFrame, by: Sequence[str], each: int = TRAINING_ROWS) -> DataFrame:
+    """Rows in order, in as many partitions as their number asks for, however many a shuffle has and whatever is coalesced."""
+    parts = math.ceil(rows.count() / each)
+    spread = rows.repartition(1) if parts <= 1 else rows.repartitionByRange(parts, *by)
+    return spread.sortWithinPartitions(*by)
+
+
 def stored_gbt(train: DataFrame, features: Sequence[str], trees: int = 300, name: str = "trees") -> PipelineModel:
     """The model of these rows and features, fitted and saved in the shared folder unless it is there.
 
     It is found by a fingerprint of the rows, so changed rows get a model of their own. Trees take many small
-    jobs over the rows, which are first put in order, as the drawn samples go by it, in as many files, and so tasks, as their size
-    asks for.
+    jobs over the rows, which are first put in order, as the drawn samples go by it.
     """
     rows = train.select(*features, "y", "weight")
     key = f"{trees}-{fingerprint(rows)}"
 
     def write(path: str) -> None:
-        table = stage(rows.orderBy(*features, "y"), "training")
+        table = stage(in_order(rows, [*features, "y"]), "training")
         fit_gbt(table, features, trees=trees).write().save(path)
         unstage(table)
 

@@ -275,6 +275,19 @@ def test_boosted_trees(spark, rows):
     assert abs(groups["seasonal"] - top[top.feature.isin(["dry", "epi_week"])].importance.sum()) < 1e-3 and abs(groups.sum() - 1) < 1e-9
 
 
+def test_training_rows_make_tasks_by_their_number(spark):
+    """A fit has thousands of jobs: how many tasks each has goes by the rows, not by the partitions of a shuffle."""
+    df = spark.range(0, 1000, 1, 9).select((F.col("id") * 7 % 1000).alias("a"), (F.col("id") % 2).alias("y"))
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        for each, parts in ((200_000, 1), (1000, 1), (300, 4)):
+            got = md.in_order(df, ["a", "y"], each).rdd.glom().collect()
+            assert len(got) == parts and [r.a for p in got for r in p] == list(range(1000))
+    finally:
+        spark.conf.unset(coalesced)
+
+
 def test_boosted_trees_on_held_out_weeks(spark):
     """On series whose next weeks follow from their last, trees rank weeks they have not seen."""
     d = np.random.default_rng(0)
