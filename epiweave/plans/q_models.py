@@ -12,6 +12,7 @@ from epiweave.operators import evaluation as ev
 from epiweave.operators import features as fea
 from epiweave.operators import fits
 from epiweave.operators import models as md
+from epiweave.sources.shared import stage
 
 from .bindings import SCORES, WEEK
 from .q_features import features, usable
@@ -26,19 +27,29 @@ MAPS = {"recent4": (["roll4"], False), "lag1": (["lag1"], False), "seasonal": (l
 SEEN = {"calibration": "epi_year <= 1997", "test": "part = 'train'", "latest": "y is not null"}
 
 
+def usable_once(spark, d):
+    """The usable rows as a staged table: the orders are read once, not by each fingerprint, fit and score."""
+    return stage(usable(spark, d), "usable")
+
+
 def rows_of(spark, d):
-    return md.with_harmonics(usable(spark, d))
+    return md.with_harmonics(usable_once(spark, d))
 
 
-def trained(spark, d, use):
-    rows = usable(spark, d).where(SEEN[use])
+def _seen(rows, use):
+    rows = rows.where(SEEN[use])
     return md.weighted(rows, rows)
 
 
+def trained(spark, d, use):
+    return _seen(usable_once(spark, d), use)
+
+
 def tree_scores(spark, d, use):
     """(k, week, y, p): the trees of this use on all labelled weeks, or on the last week of each series."""
-    rows = usable(spark, d) if use != "latest" else md.latest(features(spark, d), K).withColumn("y", F.lit(None).cast("int"))
-    return md.stored_scores(trained(spark, d, use), rows, fea.NINE, _ROW)
+    own = usable_once(spark, d)
+    rows = own if use != "latest" else stage(md.latest(features(spark, d), K).withColumn("y", F.lit(None).cast("int")), "latest")
+    return md.stored_scores(_seen(own, use), rows, fea.NINE, _ROW)
 
 
 def _map(spark, d, name):

@@ -275,6 +275,13 @@ def test_boosted_trees(spark, rows):
     assert abs(groups["seasonal"] - top[top.feature.isin(["dry", "epi_week"])].importance.sum()) < 1e-3 and abs(groups.sum() - 1) < 1e-9
 
 
+def test_what_the_trees_read_many_times_is_staged(spark):
+    """Fingerprints, fits and scores read a table of the usable rows; only staging it reads the orders."""
+    for rows in (qm.trained(spark, SF, "calibration"), qm.rows_of(spark, SF)):
+        assert rows.inputFiles() and not any(t in f for f in rows.inputFiles() for t in ("orders", "customer"))
+    assert fingerprint(qm.usable_once(spark, SF)) == fingerprint(usable(spark, SF))
+
+
 def test_training_rows_make_tasks_by_their_number(spark):
     """A fit has thousands of jobs: how many tasks each has goes by the rows, not by the partitions of a shuffle."""
     df = spark.range(0, 1000, 1, 9).select((F.col("id") * 7 % 1000).alias("a"), (F.col("id") % 2).alias("y"))
